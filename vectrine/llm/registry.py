@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("near_dedup",)
+MODULES = ("near_dedup", "quality_rules")
 
 
 def _modules() -> list:
