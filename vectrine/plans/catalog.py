@@ -1,19 +1,514 @@
-"""Registry of the retrieval engine's queries and their SQL oracles."""
+"""Registry of the retrieval engine's queries and, where SQL can express them, their DuckDB twins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from vectrine.functions import text as tx
+from vectrine.functions import vector
+from vectrine.functions.filters import apply_filters, compile_filters
+from vectrine.operators import chunk, embed, evaluate, graph, knn, messages, passages, pq, rag, relational
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        key = name or function.__name__
+        _QUERIES[key] = function
+        if sql is not None:
+            _ORACLES[key] = sql
+        return function
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(0)
+    """Ten best by inner product for every query vector."""
+    return _QUERIES["knn_mips"](spark, sf_dir)
+
+
+# Vector search.  Every vector whose id is divisible by 20 is a query; all vectors are data.
+
+
+def _vectors(spark: SparkSession, sf_dir: str, scaled: bool = False) -> DataFrame:
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    # unit vectors rank alike by all metrics; a scaled copy tells them apart
+    return held.withColumn("embedding", F.expr("transform(embedding, x -> cast(x * (1 + id % 5) as float))")) if scaled else held
+
+
+def _asked(data: DataFrame) -> DataFrame:
+    return data.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding")
+
+
+_V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings)"
+_SCALED = "v AS (SELECT vec_id AS id, [(x * (1 + vec_id % 5)::FLOAT)::FLOAT::DOUBLE for x in embedding] AS e, label FROM embeddings)"
+_L2 = "-(list_dot_product(q.e, q.e) + list_dot_product(v.e, v.e) - 2 * list_dot_product(q.e, v.e))"
+
+
+def _ranked(score: str, k: int, vectors: str = _SCALED, where: str = "", columns: str = "qid, id, score, rank") -> str:
+    return f"""
+WITH {vectors}, s AS (
+  SELECT q.id AS qid, v.id, v.label, round({score}, 6) + 0.0 AS score FROM v q JOIN v ON q.id % 20 = 0 {where}
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s
+)
+SELECT {columns} FROM r WHERE rank <= {k}"""
+
+
+def _knn(metric: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data = _vectors(spark, sf_dir, scaled=True)
+        return knn.exact_top_k(data, _asked(data), 10, metric)
+
+    return run
+
+
+query(_ranked("list_dot_product(q.e, v.e)", 10), "knn_mips")(_knn("mips"))
+query(_ranked(f"least(0, {_L2})", 10), "knn_l2")(_knn("l2"))
+query(_ranked("list_cosine_similarity(q.e, v.e)", 10), "knn_cosine")(_knn("cosine"))
+
+
+@query(_ranked("list_dot_product(q.e, v.e)", 10, _V, columns="qid, id, label, score, rank") + " AND label = 3")
+def knn_post_filter(spark, sf_dir):
+    data = _vectors(spark, sf_dir)
+    return knn.search(data, _asked(data), 10, filters={"label": {"==": 3}}).select("qid", "id", "label", "score", "rank")
+
+
+@query(_ranked("list_dot_product(q.e, v.e)", 10, _V, "AND v.label = 3", "qid, id, label, score, rank"))
+def knn_pre_filter(spark, sf_dir):
+    data = _vectors(spark, sf_dir)
+    return knn.search(data, _asked(data), 10, filters={"label": {"==": 3}}, filter_mode="pre").select("qid", "id", "label", "score", "rank")
+
+
+@query(f"WITH h AS ({_ranked('list_dot_product(q.e, v.e)', 5, _V)}) SELECT h.qid, h.rank, h.id, h.score, d.source, d.lang FROM h JOIN documents d ON d.doc_id = h.id")
+def knn_batch(spark, sf_dir):
+    data = _vectors(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
+    return passages.lookup(knn.exact_top_k(data, _asked(data), 5), docs).select("qid", "rank", "id", "score", "source", "lang")
+
+
+@query("SELECT vec_id, i AS at, round(e[i + 1] / sqrt(list_dot_product(e, e)), 6) + 0.0 AS value FROM (SELECT vec_id, [(x * (1 + vec_id % 5)::FLOAT)::FLOAT::DOUBLE for x in embedding] AS e, unnest(range(0, len(embedding))) AS i FROM embeddings)")
+def normalize_vectors(spark, sf_dir):
+    data = _vectors(spark, sf_dir, scaled=True)
+    out = data.select(F.col("id").alias("vec_id"), F.posexplode(vector.normalised("embedding")).alias("at", "value"))
+    return out.select("vec_id", F.col("at").cast("long").alias("at"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query("SELECT count(*) AS n, min(len(embedding)) AS low, max(len(embedding)) AS high, count(*) FILTER (len([x for x in embedding if NOT isfinite(x)]) > 0) AS broken FROM embeddings")
+def vector_quality(spark, sf_dir):
+    size = F.size("embedding").cast("long")
+    return _vectors(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("high"), F.count_if(~vector.is_finite("embedding")).alias("broken"))
+
+
+def _prefix(data: DataFrame) -> DataFrame:
+    return data.withColumn("embedding", F.slice("embedding", 1, 32))
+
+
+_RECALL = f"""
+WITH {_V}, s AS (
+  SELECT q.id AS qid, v.id, round(list_dot_product(q.e, v.e), 6) AS full_score, round(list_dot_product(q.e[1:32], v.e[1:32]), 6) AS part_score
+  FROM v q JOIN v ON q.id % 20 = 0
+), r AS (
+  SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY full_score DESC, id) AS fr, row_number() OVER (PARTITION BY qid ORDER BY part_score DESC, id) AS pr FROM s
+)"""
+
+
+@query(_RECALL + "SELECT qid, count(*) FILTER (fr <= 10 AND pr <= 10) / 10.0::DOUBLE AS recall FROM r GROUP BY qid")
+def recall_at_k(spark, sf_dir):
+    data = _vectors(spark, sf_dir)
+    part = _prefix(data)
+    return evaluate.recall_at_k(knn.exact_top_k(part, _asked(part), 10), knn.exact_top_k(data, _asked(data), 10))
+
+
+@query(_RECALL + "SELECT qid, id FROM r WHERE fr <= 10 AND pr <= 10")
+def golden_semi_join(spark, sf_dir):
+    data = _vectors(spark, sf_dir)
+    part = _prefix(data)
+    return knn.exact_top_k(part, _asked(part), 10).join(knn.exact_top_k(data, _asked(data), 10), ["qid", "id"], "left_semi").select("qid", "id")
+
+
+@query(f"WITH h AS ({_ranked('list_dot_product(q.e, v.e)', 10, _V)}), d AS (SELECT qid, count(*) FILTER (score > 0.3) AS degree FROM h GROUP BY qid) SELECT qid AS node, degree, (coalesce(sum(degree) OVER (ORDER BY qid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS pointer FROM d")
+def csr_prefix_sum(spark, sf_dir):
+    data = _vectors(spark, sf_dir)
+    near = knn.exact_top_k(data, _asked(data), 10)
+    degrees = near.groupBy(F.col("qid").alias("node")).agg(F.count_if(F.col("score") > 0.3).alias("degree"))
+    return relational.prefix_sum(degrees, "node", "degree").select("node", "degree", F.col("upto").alias("pointer"))
+
+
+@query()
+def graph_search(spark, sf_dir):
+    data = _vectors(spark, sf_dir)
+    return graph.search(graph.build(data), data, _asked(data), 10)
+
+
+@query()
+def graph_search_recompute(spark, sf_dir):
+    """Vectors aren't stored: texts of visited nodes are embedded during the search."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    held = embed.embed(docs)
+    asked = held.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding")
+    return graph.search(graph.build(held, "cosine", 16, 64), docs, asked, 5, "cosine", complexity=32, recompute=("hash", "64"), is_pruned=True)
+
+
+@query()
+def pq_search(spark, sf_dir):
+    data = _vectors(spark, sf_dir)
+    books = pq.train(data)
+    return pq.search(data, pq.encode(data, books), books, _asked(data), 10)
+
+
+# Metadata filters.
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+_D = "documents LEFT JOIN labels USING (doc_id)"
+
+
+def _filter(name: str, source: Callable[[SparkSession, str], DataFrame] | str, key: str, filters: dict, where: str, origin: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = table(spark, sf_dir, source) if isinstance(source, str) else source(spark, sf_dir)
+        return apply_filters(df, filters).select(key)
+
+    query(f"SELECT {key} FROM {origin} WHERE {where}", name)(run)
+
+
+_filter("filter_eq", _labelled, "doc_id", {"lang": {"==": "fr"}}, "lang = 'fr'", _D)
+_filter("filter_ne", _labelled, "doc_id", {"quality": {"!=": 1}}, "quality <> 1", _D)
+_filter("filter_lt", "part", "p_partkey", {"p_size": {"<": 10}}, "p_size < 10", "part")
+_filter("filter_le", "part", "p_partkey", {"p_size": {"<=": 10}}, "p_size <= 10", "part")
+_filter("filter_gt", "orders", "o_orderkey", {"o_totalprice": {">": 200000}}, "o_totalprice > 200000", "orders")
+_filter("filter_ge", "orders", "o_orderkey", {"o_totalprice": {">=": 200000.5}}, "o_totalprice >= 200000.5", "orders")
+_filter("filter_in", "orders", "o_orderkey", {"o_orderstatus": {"in": ["F", "P"]}}, "o_orderstatus IN ('F', 'P')", "orders")
+_filter("filter_not_in", _labelled, "doc_id", {"quality": {"not_in": [0, 7]}}, "quality NOT IN (0, 7)", _D)
+_filter("filter_contains", "part", "p_partkey", {"p_size": {"contains": "1"}}, "contains(p_size::VARCHAR, '1')", "part")
+_filter("filter_starts_with", "documents", "doc_id", {"text": {"starts_with": "The"}}, "starts_with(text, 'The')", "documents")
+_filter("filter_ends_with", "documents", "doc_id", {"source": {"ends_with": "7"}}, "ends_with(source, '7')", "documents")
+_filter("filter_is_true", _labelled, "doc_id", {"toxic": {"is_true": True}}, "toxic <> 0", _D)
+_filter("filter_is_false", _labelled, "doc_id", {"toxic": {"is_false": True}}, "toxic = 0", _D)
+_filter("filter_compound", _labelled, "doc_id", {"lang": {"==": "en"}, "n_chars": {">=": 500, "<": 5000}, "quality": {"==": 1}}, "lang = 'en' AND n_chars >= 500 AND n_chars < 5000 AND quality = 1", _D)
+_filter("filter_range_same_field", "part", "p_partkey", {"p_retailprice": {">=": 1000, "<=": 1500}}, "p_retailprice BETWEEN 1000 AND 1500", "part")
+_filter("filter_missing", "documents", "doc_id", {"nowhere": {"!=": 1}}, "false", "documents")
+_filter("filter_unknown_op", "documents", "doc_id", {"lang": {"~~": "en"}}, "false", "documents")
+_filter("filter_exists", _labelled, "doc_id", {"quality": {}}, "quality IS NOT NULL", _D)
+_filter("filter_none", "documents", "doc_id", {}, "true", "documents")
+_filter("filter_text_order", "orders", "o_orderkey", {"o_orderpriority": {">=": "2"}}, "o_orderpriority >= '2'", "orders")
+_filter("filter_coerce", "part", "p_partkey", {"p_size": {"<": "10"}}, "p_size < 10", "part")
+
+
+@query("SELECT event_id FROM events WHERE json_extract(props, '$.k')::BIGINT >= 50")
+def filter_json_field(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.parse_json("props").alias("metadata"))
+    return rows.where(compile_filters(rows, {"k": {">=": 50}})).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE contains(json_extract_string(props, '$.k'), '7')")
+def filter_json_contains(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.parse_json("props").alias("metadata"))
+    return apply_filters(rows, {"k": {"contains": "7"}}).select("event_id")
+
+
+# Passages and chunks.
+
+
+@query("SELECT o_orderkey AS id, l_linenumber, o_orderpriority FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def passage_lookup(spark, sf_dir):
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber")
+    return passages.lookup(hits, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority"))
+
+
+@query("SELECT id, min(shard) AS shard, arg_min(lang, shard) AS lang FROM (SELECT doc_id // 2 AS id, (doc_id % 2)::INT AS shard, lang FROM documents) GROUP BY id")
+def shard_precedence(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.expr("doc_id div 2").alias("id"), (F.col("doc_id") % 2).cast("int").alias("shard"), "lang")
+    return passages.first_shard_wins(docs)
+
+
+@query("SELECT item, n FROM (SELECT doc_id * 2 + k AS item, CASE WHEN k = 0 THEN text ELSE repeat(' ', (doc_id % 3)::INT) END AS t, doc_id AS n FROM documents, range(2) r(k)) WHERE trim(t) <> ''")
+def blank_chunk_drop(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    blanks = docs.select((F.col("doc_id") * 2 + 1).alias("item"), F.expr("repeat(' ', cast(doc_id % 3 as int))").alias("text"), F.col("doc_id").alias("n"))
+    return chunk.drop_blank(docs.select((F.col("doc_id") * 2).alias("item"), "text", F.col("doc_id").alias("n")).unionByName(blanks)).select("item", "n")
+
+
+_WORDS = r"w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents)"
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, c AS chunk_no, array_to_string(w[c * 48 + 1:c * 48 + 64], ' ') AS chunk FROM (SELECT *, unnest(range(0, greatest(0, ceil((len(w) - 64) / 48.0))::BIGINT + 1)) AS c FROM w WHERE len(w) > 0)")
+def chunk_words(spark, sf_dir):
+    return chunk.word_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), 64, 16)
+
+
+@query("SELECT doc_id, c AS chunk_no, substr(text, c * 448 + 1, 512) AS chunk FROM (SELECT *, unnest(range(0, greatest(0, ceil((length(text) - 512) / 448.0))::BIGINT + 1)) AS c FROM documents WHERE length(text) > 0)")
+def chunk_chars(spark, sf_dir):
+    return chunk.char_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), 512, 64)
+
+
+@query()
+def chunk_sentences(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("a.txt").alias("file_path"))
+    return chunk.chunk_documents(docs).select("doc_id", "chunk_no", "chunk")
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) AS extension, CASE WHEN lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) = '.html' THEN 'html' END AS language, coalesce(lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) = '.html', false) AS is_code FROM pages")
+def code_text_split(spark, sf_dir):
+    return chunk.with_language(table(spark, sf_dir, "pages"), "url", {".html": "html"}).select("page_id", "extension", "language", "is_code")
+
+
+@query("SELECT regexp_extract(url, '[^/](\\.[^./]+)$', 1) AS ext, count(*) AS n FROM pages GROUP BY ext")
+def ext_counts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(chunk.extension(F.col("url")).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT regexp_replace(url, '/[^/]*$', '') AS parent, count(*) AS files, min(page_id) AS first FROM pages GROUP BY parent")
+def files_by_parent(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(F.regexp_replace("url", "/[^/]*$", "").alias("parent")).agg(F.count(F.lit(1)).alias("files"), F.min("page_id").alias("first"))
+
+
+# Messages.
+
+_GAPS = """
+WITH g AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER o, ts) > 1800000000 THEN 1 ELSE 0 END AS new FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, (sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING))::BIGINT AS session_no FROM g)
+"""
+
+
+@query(_GAPS + "SELECT event_id, user_id, session_no FROM s")
+def group_time_gap(spark, sf_dir):
+    return messages.time_sessions(table(spark, sf_dir, "events"), "user_id", "ts").select("event_id", "user_id", "session_no")
+
+
+@query(_GAPS + "SELECT user_id, session_no, count(*) AS messages, sum(length(event_type))::BIGINT AS total_length, min(ts) AS start_time, max(ts) AS end_time FROM s GROUP BY user_id, session_no")
+def session_summary(spark, sf_dir):
+    held = messages.time_sessions(table(spark, sf_dir, "events"), "user_id", "ts")
+    return held.groupBy("user_id", "session_no").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("event_type")).cast("long").alias("total_length"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time"))
+
+
+def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), F.lit(0).cast("long").alias("t"), "text")
+
+
+_FOLD = """
+WITH RECURSIVE m AS (
+  SELECT conv_id, text, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, length(text) AS n FROM conversations WHERE trim(text) <> ''
+), f AS (
+  SELECT conv_id, turn, r, n, n AS held, 0::BIGINT AS group_no FROM m WHERE r = 1
+  UNION ALL
+  SELECT m.conv_id, m.turn, m.r, m.n, CASE WHEN f.held + m.n > 400 THEN m.n ELSE f.held + m.n END, f.group_no + CASE WHEN f.held + m.n > 400 THEN 1 ELSE 0 END
+  FROM f JOIN m ON m.conv_id = f.conv_id AND m.r = f.r + 1
+)
+"""
+
+
+@query(_FOLD + "SELECT conv_id AS conv, group_no, turn AS pos FROM f")
+def group_length_cap(spark, sf_dir):
+    return messages.group_messages(_talks(spark, sf_dir), 400, -1).select("conv", "group_no", "pos")
+
+
+@query(_FOLD + "SELECT conv_id AS conv, group_no, count(*) AS messages, sum(n)::BIGINT AS total_length FROM f GROUP BY ALL")
+def group_summary(spark, sf_dir):
+    return messages.summarise(messages.group_messages(_talks(spark, sf_dir), 400, -1)).select("conv", "group_no", "messages", F.col("total_length").cast("long"))
+
+
+@query()
+def group_overlap(spark, sf_dir):
+    return messages.group_messages(_talks(spark, sf_dir), 400, -1, 1).select("conv", "group_no", "pos", "carried")
+
+
+@query("SELECT conv_id, turn, trim(regexp_replace(text, '^[^:]+:\\s*', '')) AS shown, trim(regexp_replace(text, '^[^:]+:\\s*', '')) <> '' AND NOT starts_with(trim(regexp_replace(text, '^[^:]+:\\s*', '')), '<') AS is_text FROM conversations")
+def readable_messages(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", messages.readable(F.col("text")).alias("shown"), messages.is_text_message(F.col("text")).alias("is_text"))
+
+
+@query("SELECT event_id, '(' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ') ' || CASE WHEN user_id % 2 = 0 THEN '[Me]' ELSE '[Contact]' END || ': ' || event_type AS line FROM events")
+def message_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    return rows.select("event_id", messages.message_line(F.unix_seconds(F.col("ts").cast("timestamp")), F.col("user_id") % 2 == 0, F.col("event_type")).alias("line"))
+
+
+# Context, prompts, templates.
+
+
+def _context_sql() -> str:
+    return f"WITH h AS ({_ranked('list_dot_product(q.e, v.e)', 3, _V)}), c AS (SELECT qid, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM h JOIN documents d ON d.doc_id = h.id GROUP BY qid)"
+
+
+def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _vectors(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return rag.context(passages.lookup(knn.exact_top_k(data, _asked(data), 3), docs))
+
+
+@query(_context_sql() + "SELECT qid, context FROM c")
+def context_concat(spark, sf_dir):
+    return _contexts(spark, sf_dir)
+
+
+_HEAD, _REST = rag.PROMPT.split("{context}")
+_MIDDLE, _TAIL = _REST.split("{question}")
+
+
+@query(_context_sql() + f"SELECT v.vec_id AS qid, '{_HEAD}' || coalesce(context, '') || '{_MIDDLE}' || 'What is like vector ' || v.vec_id || '?' || '{_TAIL}' AS prompt FROM embeddings v LEFT JOIN c ON c.qid = v.vec_id WHERE v.vec_id % 20 = 0")
+def prompt(spark, sf_dir):
+    asked = _asked(_vectors(spark, sf_dir)).select("qid", F.concat(F.lit("What is like vector "), F.col("qid").cast("string"), F.lit("?")).alias("question"))
+    return rag.prompts(_contexts(spark, sf_dir), asked)
+
+
+@query("SELECT page_id, '[Title]: ' || substr(url, 1, 150) || chr(10) || '[URL of the page]: ' || url || chr(10) || '[Last visited time]: ' || page_id || chr(10) || '[Visit times]: ' || length(html) || chr(10) || '[Typed times]: 0' AS document FROM pages")
+def doc_template(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages")
+    return rows.select("page_id", tx.history_document(F.substring("url", 1, 150), F.col("url"), F.col("page_id"), F.length("html"), F.lit(0)).alias("document"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS body FROM pages")
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.stripped_markup(F.col("html")).alias("body"))
+
+
+@query("SELECT page_id, trim(regexp_replace(url, '[\\\\/:*?\"<>|]', '', 'g')) AS name FROM pages")
+def path_safe_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.safe_name(F.col("url")).alias("name"))
+
+
+@query("SELECT event_id, ts AS visited FROM events")
+def chrome_times(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) + F.lit(11_644_473_600_000_000)
+    return rows.select("event_id", tx.chrome_time(micros).alias("visited"))
+
+
+# Embedding.
+
+_HASHED = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^ \t\n\r\f\v]+')) AS token FROM documents),
+b AS (SELECT doc_id, ('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS at, sum(CASE WHEN ('0x' || substr(md5(token), 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM t GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(v * v)::DOUBLE) AS n FROM b GROUP BY doc_id)
+"""
+
+
+@query(_HASHED + "SELECT doc_id, \"at\", round((v / n)::FLOAT::DOUBLE, 6) AS value FROM b JOIN n USING (doc_id) WHERE v <> 0")
+def hash_embed(spark, sf_dir):
+    held = embed.embed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = held.select("doc_id", F.posexplode("embedding").alias("at", "v")).where("v != 0")
+    return out.select("doc_id", F.col("at").cast("long").alias("at"), F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+@query("SELECT label, i AS at, round(avg(embedding[i + 1]::DOUBLE), 6) + 0.0 AS value FROM (SELECT label, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY label, i")
+def mean_pool(spark, sf_dir):
+    out = _vectors(spark, sf_dir).select("label", F.posexplode("embedding").alias("at", "x"))
+    return out.groupBy("label", F.col("at").cast("long").alias("at")).agg((F.round(F.avg(F.col("x").cast("double")), 6) + 0.0).alias("value"))
+
+
+# Measures.
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, max(value) AS most FROM events GROUP BY event_type")
+def mean_latency(spark, sf_dir):
+    held = evaluate.latency(table(spark, sf_dir, "events"), "event_type", "value")
+    return held.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "most")
+
+
+@query("SELECT event_type, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY event_type")
+def median_upper(spark, sf_dir):
+    return evaluate.upper_median_of(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("SELECT event_type, avg(CASE WHEN isfinite(value) THEN 1.0 ELSE 0.0 END)::DOUBLE AS valid FROM events GROUP BY event_type")
+def score_validity(spark, sf_dir):
+    return evaluate.validity(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("SELECT o_orderpriority AS batch, round(avg(o_totalprice) FILTER (o_orderstatus = 'F') / avg(o_totalprice) FILTER (o_orderstatus = 'O'), 6) AS speedup FROM orders GROUP BY batch")
+def speedup_ratio(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "batch")
+    return evaluate.speedup(rows, "batch", "o_orderstatus", "o_totalprice", "F", "O").select("batch", F.round("speedup", 6).alias("speedup"))
+
+
+@query("SELECT source, count(*) AS files, round(sum(strlen(text)) / 1048576.0::DOUBLE, 6) AS mb FROM documents GROUP BY source")
+def size_by_source(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.round(F.sum(F.octet_length("text")) / 1048576.0, 6).alias("mb"))
+
+
+@query("SELECT count(*) FILTER (length(text) < 200) AS skipped, count(*) FILTER (length(text) >= 200) AS kept, count(*) FILTER (text IS NULL) AS failed FROM documents")
+def load_counters(spark, sf_dir):
+    size = F.length("text")
+    return relational.counters(table(spark, sf_dir, "documents"), skipped=size < 200, kept=size >= 200, failed=F.col("text").isNull())
+
+
+@query("SELECT CASE WHEN avg(length(text)) > 300 THEN 500 ELSE 800 END AS batch FROM documents")
+def batch_size_choice(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(F.when(F.avg(F.length("text")) > 300, 500).otherwise(800).alias("batch"))
+
+
+# Limits and sets.
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY source, doc_id LIMIT 300")
+def budget_across_sources(spark, sf_dir):
+    return relational.budget_across_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), 300, "source", "doc_id")
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 100")
+def newest_first(spark, sf_dir):
+    return relational.newest(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", 100, "event_id")
+
+
+@query("SELECT text FROM documents UNION ALL SELECT text FROM benchmark")
+def union_sources(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("text").unionByName(table(spark, sf_dir, "benchmark").select("text"))
+
+
+@query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def set_intersect(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("SELECT DISTINCT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def set_except(spark, sf_dir):
+    return relational.absent(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
+
+
+@query("SELECT DISTINCT text FROM documents")
+def set_distinct(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("text").distinct()
+
+
+@query("SELECT md5(text) AS mark, min(doc_id) AS doc_id FROM documents GROUP BY mark")
+def ordered_distinct(spark, sf_dir):
+    return relational.first_positions(table(spark, sf_dir, "documents").select(F.md5("text").alias("mark"), "doc_id"), "mark", "doc_id")
+
+
+@query("SELECT DISTINCT 'p' || (doc_id % 50) AS project, source AS base, lang AS parent, ('p' || (doc_id % 50)) = 'p7' AS is_current FROM documents WHERE source = 'src7' OR lang = 'src7'")
+def index_name_matches(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("p"), (F.col("doc_id") % 50).cast("string")).alias("project"), F.col("source").alias("base"), F.col("lang").alias("parent"))
+    return relational.name_matches(rows, "src7", "p7")
+
+
+@query("SELECT count(DISTINCT source) AS projects FROM documents")
+def distinct_projects(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(F.countDistinct("source").alias("projects"))
+
+
+@query("SELECT label, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings")
+def positions(spark, sf_dir):
+    order = Window.partitionBy("label").orderBy("id")
+    return _vectors(spark, sf_dir).select("label", "id", F.row_number().over(order).cast("long").alias("place"))
