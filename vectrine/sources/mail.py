@@ -44,7 +44,7 @@ def read(spark: SparkSession, path: str, kind: str = "emlx", include_html: bool
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.emlx" if kind == "emlx" else "*").load(path)
     rows = files.select(F.element_at(F.split("path", "/"), -1), "content").mapInArrow(run, SCHEMA)
-    rows = rows.where((F.trim("body") != "") | (F.col("subject") != "No Subject"))
+    rows = rows.where((F.regexp_replace("body", "(?U)\\s+", "") != "") | (F.col("subject") != "No Subject"))
     return rows.limit(max_count) if max_count is not None and max_count >= 0 else rows
 
 
