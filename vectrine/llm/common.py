@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,9 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="vectrine-")
+        own = tempfile.mkdtemp(prefix="vectrine-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN[app] = f"file://{own}"
     return _OWN[app]
 
 

@@ -57,17 +57,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     order = [F.col("cap") / F.col("weight"), F.col("last"), F.col("name")]
     keep = ["source", "source_size", "last", "name", "weight", "cap"]
     passed = running(filled, order, {"caps": F.col("cap"), "weights": F.col("weight")}, keep)
-    whole = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("whole"))
-    weighed = filled.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("all_weights"))
+    # scalars: the words of all sources, and all weights
+    words, weights_sum = (int(x or 0) for x in passed.agg(F.sum("source_size"), F.sum("weight")).first())
     # a source fills up if the level that its forerunners leave reaches its cap
-    left = F.col("whole") - (F.col("caps") - F.col("cap"))
-    share = F.col("all_weights") - (F.col("weights") - F.col("weight"))
-    level = passed.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(weighed)).withColumn("full", left * F.col("weight") >= F.col("cap") * share)
-    level = materialise(level, "level")
-    rest = level.agg(F.first("whole").alias("w"), F.first("all_weights").alias("a"), F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))), F.lit(0)).alias("c"), F.coalesce(F.sum(F.when(F.col("full"), F.col("weight"))), F.lit(0)).alias("b"))
-    rest = rest.select((F.col("w") - F.col("c")).alias("free"), (F.col("a") - F.col("b")).alias("open"))
-    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("weight").cast("double") * (F.col("free").cast("double") / F.col("open").cast("double")))
-    return level.crossJoin(F.broadcast(rest)).select("source", "source_size", target.alias("target"))
+    left = F.lit(words) - (F.col("caps") - F.col("cap"))
+    share = F.lit(weights_sum) - (F.col("weights") - F.col("weight"))
+    level = materialise(passed.withColumn("full", left * F.col("weight") >= F.col("cap") * share), "level")
+    caps, full_weights = (int(x or 0) for x in level.where("full").agg(F.sum("cap"), F.sum("weight")).first())
+    each = F.lit(float(words - caps) / float(weights_sum - full_weights) if weights_sum > full_weights else 0.0)
+    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("weight").cast("double") * each)
+    return level.select("source", "source_size", target.alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:

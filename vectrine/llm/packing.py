@@ -164,7 +164,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str | None
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows, _ = plan(counts, capacity)
     table = np.array(sorted(rows), np.int64).reshape(len(rows), 5)
-    ranked = pieces.join(by_task.select("task", "length", "before"), ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    ranked = pieces.join(by_task.select("task", "length", "before").hint("merge"), ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "rank"]
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids array<int>, " * with_ids + "sequence_id long, offset long"
     return ranked.select(columns).mapInArrow(partial(_place, table), out)
