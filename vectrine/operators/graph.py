@@ -163,10 +163,9 @@ def search(graph: DataFrame, data: DataFrame, queries: DataFrame, k: int = 5, me
     blocks = max(1, -(-(queries.count() if query_rows is None else query_rows) // QUERIES_PER_BLOCK))
     held = graph.join(data.select(F.col("id").alias("node"), payload), "node")
     held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    shards = graph.select("shard").distinct()
+    last = graph.agg(F.max("shard")).first()[0]
     asked = queries.select("qid", F.col("embedding").cast("array<float>").alias("embedding"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"))
-    # one row a shard, each of ROWS_PER_SHARD nodes
-    asked = asked.join(shards.groupBy().agg(F.collect_list("shard").alias("s")), how="cross").withColumn("shard", F.explode("s")).drop("s")
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")))
     name = metric(metric_name).name
 
     def run(nodes, asking):
