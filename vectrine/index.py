@@ -45,7 +45,7 @@ class GraphBackend:
     def search(self, index: Searcher, queries: DataFrame, k: int, recompute: bool, **options: Any) -> DataFrame:
         m = index.manifest
         data = index.passages.select(F.col("pos").alias("id"), "text") if recompute else index.embeddings()
-        return graph.search(index.spark.read.parquet(f"{index.folder}/graph"), data, queries, k, m.metric, recompute=(m.embedding_mode, m.embedding_model) if recompute else None, is_pruned=m.is_pruned, **options)
+        return graph.search(index.spark.read.parquet(f"{index.folder}/graph"), data, queries, k, m.metric, recompute=(m.embedding_mode, m.embedding_model) if recompute else None, is_pruned=m.is_pruned, rows=m.rows, **options)
 
 
 @register_backend("flat")

@@ -20,21 +20,36 @@ from vectrine.functions.vector import unit
 _GAP = re.compile(r"[ \t\n\r\f\v]+")
 
 
-@lru_cache(maxsize=200_000)
-def bucket(token: str, dimensions: int) -> tuple[int, float]:
-    """Place and sign of a token, from its md5."""
-    digest = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
-    return int(digest[:8], 16) % dimensions, 1.0 if int(digest[8:10], 16) % 2 == 0 else -1.0
+class _Buckets(dict):
+    """Place and sign of tokens, from their md5; kept while there are at most ``LIMIT``."""
+
+    LIMIT = 300_000
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions = dimensions
+
+    def __missing__(self, token: str) -> tuple[int, float]:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        digest = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
+        self[token] = found = int(digest[:8], 16) % self.dimensions, 1.0 if int(digest[8:10], 16) % 2 == 0 else -1.0
+        return found
+
+
+@lru_cache(maxsize=4)
+def _buckets(dimensions: int) -> _Buckets:
+    return _Buckets(dimensions)
 
 
 def hash_embed(texts: list[str], dimensions: int = 64) -> np.ndarray:
     """Signed token counts in hashed buckets, scaled to length 1; deterministic and without a model."""
-    out = np.zeros((len(texts), dimensions))
+    out, held = np.zeros((len(texts), dimensions)), _buckets(dimensions)
     for row, text in zip(out, texts):
-        for token in _GAP.split((text or "").lower()):
-            if token:
-                at, sign = bucket(token, dimensions)
-                row[at] += sign
+        found = [held[token] for token in _GAP.split((text or "").lower()) if token]
+        if found:
+            places, signs = zip(*found)
+            row[:] = np.bincount(places, signs, dimensions)
     return unit(out).astype(np.float32)
 
 

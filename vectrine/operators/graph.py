@@ -6,6 +6,7 @@ Build: nearest candidates of each node, pruned so that no neighbour is closer to
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -17,8 +18,8 @@ from vectrine.functions.vector import METRICS, metric, unit
 from vectrine.operators.embed import EMBEDDERS
 from vectrine.operators.knn import as_matrix, ranked
 
-ROWS_PER_SHARD = 20_000
-QUERIES_PER_BLOCK = 2_048
+ROWS_PER_SHARD = 4_096
+QUERIES_PER_BLOCK = 512
 HUB_SHARE = 0.02
 STRATEGIES = ("global", "local", "proportional")
 
@@ -72,10 +73,14 @@ def _build(name: str, degree: int, candidates: int, alpha: float, table: pa.Tabl
     return pa.table({"shard": pa.array([table["shard"][0].as_py()] * n, pa.int32()), "node": pa.array(ids, pa.int64()), "level": pa.array([1 if i == centre else 0 for i in range(n)], pa.int32()), "neighbors": pa.array(neighbours, pa.list_(pa.int64()))})
 
 
+def shard_count(rows: int) -> int:
+    return max(1, -(-rows // ROWS_PER_SHARD))
+
+
 def build(vectors: DataFrame, metric_name: str = "mips", degree: int = 32, candidates: int = 200, alpha: float = 1.2, rows: int | None = None) -> DataFrame:
     """(shard, node, level, neighbors) of ``vectors`` (id, embedding); level 1 marks the entry point of a shard."""
     name = metric(metric_name).name
-    shards = max(1, -(-(vectors.count() if rows is None else rows) // ROWS_PER_SHARD))
+    shards = shard_count(vectors.count() if rows is None else rows)
     placed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", F.col("embedding").cast("array<float>").alias("embedding"))
 
     def run(table):
@@ -86,16 +91,14 @@ def build(vectors: DataFrame, metric_name: str = "mips", degree: int = 32, candi
 
 def beam(entry: int, neighbours: Callable[[int], list[int]], score: Callable[[list[int]], np.ndarray], complexity: int, beam_width: int = 1, drop: Callable[[list[int]], list[int]] | None = None, stop_early: bool = True) -> tuple[dict[int, float], int]:
     """Scores of the ``complexity`` best nodes found, and how many nodes were scored."""
-    seen = {entry: float(score([entry])[0])}
-    open_nodes, top = dict(seen), dict(seen)
-    scored = 1
-    passed = {entry}
-    while open_nodes:
-        if stop_early and len(top) >= complexity and max(open_nodes.values()) < min(top.values()):
+    first = float(score([entry])[0])
+    # best first, and worst first; ties go to smaller nodes
+    waiting, top = [(-first, entry)], [(first, -entry)]
+    passed, scored = {entry}, 1
+    while waiting:
+        if stop_early and len(top) >= complexity and -waiting[0][0] < top[0][0]:
             break
-        step = sorted(open_nodes, key=lambda v: (-open_nodes[v], v))[:beam_width]
-        for v in step:
-            del open_nodes[v]
+        step = [heapq.heappop(waiting)[1] for _ in range(min(beam_width, len(waiting)))]
         new = sorted({w for v in step for w in neighbours(v)} - passed)
         passed.update(new)
         if drop is not None and new:
@@ -103,16 +106,14 @@ def beam(entry: int, neighbours: Callable[[int], list[int]], score: Callable[[li
         if not new:
             continue
         scored += len(new)
-        for w, s in zip(new, score(new)):
-            s = float(s)
-            if len(top) < complexity or s > min(top.values()):
-                top[w] = s
-                open_nodes[w] = s
-                if len(top) > complexity:
-                    worst = min(top, key=lambda v: (top[v], -v))
-                    del top[worst]
-                    open_nodes.pop(worst, None)
-    return top, scored
+        for w, s in zip(new, score(new).tolist()):
+            if len(top) < complexity:
+                heapq.heappush(top, (s, -w))
+                heapq.heappush(waiting, (-s, w))
+            elif (s, -w) > top[0]:
+                heapq.heapreplace(top, (s, -w))
+                heapq.heappush(waiting, (-s, w))
+    return {-v: s for s, v in top}, scored
 
 
 def _search(name: str, k: int, complexity: int, beam_width: int, mode: tuple[str, str] | None, prune_ratio: float, stop_early: bool, graph: pa.Table, queries: pa.Table) -> pa.Table:
@@ -126,8 +127,9 @@ def _search(name: str, k: int, complexity: int, beam_width: int, mode: tuple[str
         entry = int(nodes[np.argmax(levels)])
         stored = None if mode else as_matrix(graph["embedding"].combine_chunks())
         texts = graph["text"] if mode else None
+        # a node is embedded when a query of this task first visits it
+        cache: dict[int, np.ndarray] = {}
         for qid, q in zip(queries["qid"].to_pylist(), as_matrix(queries["embedding"].combine_chunks())):
-            cache: dict[int, np.ndarray] = {}
 
             def vectors(wanted: list[int]) -> np.ndarray:
                 if stored is not None:
@@ -150,10 +152,11 @@ def _search(name: str, k: int, complexity: int, beam_width: int, mode: tuple[str
     return pa.table({"qid": pa.array([r[0] for r in rows], pa.int64()), "id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64()), "visited": pa.array([r[3] for r in rows], pa.int64())})
 
 
-def search(graph: DataFrame, data: DataFrame, queries: DataFrame, k: int = 5, metric_name: str = "mips", complexity: int = 64, beam_width: int = 1, recompute: tuple[str, str] | None = None, is_pruned: bool = False, prune_ratio: float = 0.0, strategy: str = "global", stop_early: bool = True, query_rows: int | None = None) -> DataFrame:
+def search(graph: DataFrame, data: DataFrame, queries: DataFrame, k: int = 5, metric_name: str = "mips", complexity: int = 64, beam_width: int = 1, recompute: tuple[str, str] | None = None, is_pruned: bool = False, prune_ratio: float = 0.0, strategy: str = "global", stop_early: bool = True, query_rows: int | None = None, rows: int | None = None) -> DataFrame:
     """(qid, id, score, visited, rank): visited is how many nodes of the shard were scored for the query.
 
-    data: (id, embedding), or (id, text) when vectors are recomputed with ``recompute`` = (mode, model).
+    data: (id, embedding), or (id, text) when vectors are recomputed with ``recompute`` = (mode, model).  rows and query_rows: how many
+    nodes and queries there are, where that is known; a graph that isn't written yet would be built once more to count them.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown pruning strategy {strategy!r}; known: {', '.join(STRATEGIES)}")
@@ -163,7 +166,7 @@ def search(graph: DataFrame, data: DataFrame, queries: DataFrame, k: int = 5, me
     blocks = max(1, -(-(queries.count() if query_rows is None else query_rows) // QUERIES_PER_BLOCK))
     held = graph.join(data.select(F.col("id").alias("node"), payload), "node")
     held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    last = graph.agg(F.max("shard")).first()[0]
+    last = graph.agg(F.max("shard")).first()[0] if rows is None else shard_count(rows) - 1
     asked = queries.select("qid", F.col("embedding").cast("array<float>").alias("embedding"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")))
     name = metric(metric_name).name

@@ -156,16 +156,18 @@ def csr_prefix_sum(spark, sf_dir):
 @query()
 def graph_search(spark, sf_dir):
     data = _vectors(spark, sf_dir)
-    return graph.search(graph.build(data), data, _asked(data), 10)
+    n = data.count()
+    return graph.search(graph.build(data, rows=n), data, _asked(data), 10, rows=n)
 
 
 @query()
 def graph_search_recompute(spark, sf_dir):
     """Vectors aren't stored: texts of visited nodes are embedded during the search."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    held = embed.embed(docs)
-    asked = held.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding")
-    return graph.search(graph.build(held, "cosine", 16, 64), docs, asked, 5, "cosine", complexity=32, recompute=("hash", "64"), is_pruned=True)
+    n, asked = docs.count(), docs.where("id % 20 = 0")
+    built = graph.build(embed.embed(docs), "cosine", 16, 64, rows=n)
+    queries = embed.embed(asked).select(F.col("id").alias("qid"), "embedding")
+    return graph.search(built, docs, queries, 5, "cosine", complexity=32, recompute=("hash", "64"), is_pruned=True, rows=n, query_rows=asked.count())
 
 
 @query()
