@@ -51,6 +51,28 @@ def test_recompute_visits_few_nodes(spark):
         graph.search(built, held, asked, 3, strategy="other")
 
 
+def test_graph_recall_beside_copies(spark, monkeypatch):
+    """Parameters of graph_search_recompute; more copies of one text in each shard than a node has candidates."""
+    draw = np.random.default_rng(2)
+    texts = [" ".join(f"w{w}" for w in draw.integers(0, 400, 30)) for _ in range(2000)] + ["one text that is found again and again"] * 1000
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "id long, text string").repartition(4).cache()
+    monkeypatch.setattr(graph, "ROWS_PER_SHARD", 1000)
+    held = embed.embed(docs).cache()
+    asked = held.where("id % 20 = 0 and id < 2100").select(F.col("id").alias("qid"), "embedding")
+    built = graph.build(held, "cosine", 16, 64, rows=3000).cache()
+    assert built.count() == 3000 and built.groupBy("shard").agg(F.sum((F.col("level") < 0).cast("int")).alias("n")).where("n > 200").count() == 3
+
+    def found(data):
+        return graph.search(built, data, asked, 5, "cosine", complexity=32, recompute=("hash", "64"), is_pruned=True, rows=3000)
+
+    golden = knn.exact_top_k(held, asked, 5, "cosine")
+    assert recall(found(docs).where("qid < 2000"), golden.where("qid < 2000")) >= 0.9
+    assert recall(found(docs).where("qid >= 2000"), golden.where("qid >= 2000")) == 1
+    # the copies' own node is gone, the others are still found
+    left = found(docs.where("id >= 2100")).where("qid >= 2000").collect()
+    assert sorted({r["id"] for r in left}) == [2100, 2101, 2102, 2103, 2104]
+
+
 def test_blocks_don_t_change_results(data, held_out, monkeypatch):
     whole = knn.exact_top_k(data, held_out, 7).collect()
     monkeypatch.setattr(knn, "QUERY_BLOCK", 7)

@@ -1,7 +1,8 @@
 """A proximity graph in memory-sized shards, searched best-first; vectors can be recomputed for the visited nodes only.
 
 Build: nearest candidates of each node, pruned so that no neighbour is closer to a kept one than to the node (robust pruning, factor
-``alpha``), with reverse edges; hubs keep up to twice the degree.  Search: a beam over each shard, then one global top-k.
+``alpha``), with reverse edges; hubs keep up to twice the degree.  Equal vectors of a shard are one node of its graph, so that copies
+can't fill one another's candidates.  Search: a beam over each shard, hits with their copies, then one global top-k.
 """
 
 from __future__ import annotations
@@ -30,7 +31,13 @@ def _build(name: str, degree: int, candidates: int, alpha: float, table: pa.Tabl
     ids, x = ids[order], as_matrix(table["embedding"].combine_chunks())[order]
     if name == "cosine":
         x = unit(x)
-    elif name == "mips":
+    # the graph is that of distinct vectors; each stands under the smallest of its ids
+    every_id = ids
+    _, first, group = np.unique(x + 0.0, axis=0, return_index=True, return_inverse=True) if len(x) else (x, np.zeros(0, int), np.zeros(0, int))
+    owner = first[group.reshape(-1)]
+    first = np.sort(first)
+    ids, x = ids[first], x[first]
+    if name == "mips":
         # one more component makes inner products distances
         lengths = (x**2).sum(axis=1)
         x = np.hstack([x, np.sqrt(np.maximum(lengths.max(initial=0) - lengths, 0))[:, None]])
@@ -70,7 +77,12 @@ def _build(name: str, degree: int, candidates: int, alpha: float, table: pa.Tabl
             every = forward + rest[: limit - len(forward)]
         neighbours.append(ids[every].tolist())
     centre = int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1))) if n else -1
-    return pa.table({"shard": pa.array([table["shard"][0].as_py()] * n, pa.int32()), "node": pa.array(ids, pa.int64()), "level": pa.array([1 if i == centre else 0 for i in range(n)], pa.int32()), "neighbors": pa.array(neighbours, pa.list_(pa.int64()))})
+    levels = [1 if i == centre else 0 for i in range(n)]
+    copies = np.flatnonzero(owner != np.arange(len(owner)))
+    of = np.searchsorted(first, owner[copies])
+    neighbours += [[int(ids[i]), *neighbours[i]] for i in of]
+    nodes = np.concatenate([ids, every_id[copies]])
+    return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(nodes), pa.int32()), "node": pa.array(nodes, pa.int64()), "level": pa.array(levels + [-1] * len(copies), pa.int32()), "neighbors": pa.array(neighbours, pa.list_(pa.int64()))})
 
 
 def shard_count(rows: int) -> int:
@@ -78,7 +90,10 @@ def shard_count(rows: int) -> int:
 
 
 def build(vectors: DataFrame, metric_name: str = "mips", degree: int = 32, candidates: int = 200, alpha: float = 1.2, rows: int | None = None) -> DataFrame:
-    """(shard, node, level, neighbors) of ``vectors`` (id, embedding); level 1 marks the entry point of a shard."""
+    """(shard, node, level, neighbors) of ``vectors`` (id, embedding); level 1 marks the entry point of a shard.
+
+    Level -1 marks a copy: its first neighbour is the node that holds the same vector, the others are that node's.
+    """
     name = metric(metric_name).name
     shards = shard_count(vectors.count() if rows is None else rows)
     placed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", F.col("embedding").cast("array<float>").alias("embedding"))
@@ -123,8 +138,20 @@ def _search(name: str, k: int, complexity: int, beam_width: int, mode: tuple[str
     edges = graph["neighbors"].to_pylist()
     levels = graph["level"].to_numpy()
     rows: list[tuple] = []
+    # any row of a group can be filtered away; the smallest id that is left stands for it
+    members: dict[int, list[int]] = {}
+    for v, level, near in sorted(zip(nodes.tolist(), levels.tolist(), edges)):
+        members.setdefault(near[0] if level < 0 else v, []).append(v)
+    held = {key: group[0] for key, group in members.items()}
+    copies = {group[0]: group[:k] for group in members.values()}
+
+    def near(v: int) -> list[int]:
+        at = place[v]
+        return [held[w] for w in edges[at][1 if levels[at] < 0 else 0 :] if w in held]
+
     if len(nodes) and len(queries):
         entry = int(nodes[np.argmax(levels)])
+        entry = held[edges[place[entry]][0]] if levels[place[entry]] < 0 else held[entry]
         stored = None if mode else as_matrix(graph["embedding"].combine_chunks())
         texts = graph["text"] if mode else None
         # a node is embedded when a query of this task first visits it
@@ -146,8 +173,9 @@ def _search(name: str, k: int, complexity: int, beam_width: int, mode: tuple[str
                 # without codes to order them by, the share that is dropped has the largest ids' hashes
                 return sorted(new, key=lambda v: (v * 0x9E3779B1) & 0xFFFFFFFF)[: max(1, round(len(new) * (1 - prune_ratio)))]
 
-            top, scored = beam(entry, lambda v: [w for w in edges[place[v]] if w in place], score, max(complexity, k), beam_width, drop if prune_ratio > 0 else None, stop_early)
-            best = sorted(top.items(), key=lambda p: (-p[1], p[0]))[:k]
+            top, scored = beam(entry, near, score, max(complexity, k), beam_width, drop if prune_ratio > 0 else None, stop_early)
+            # ties go to smaller ids by the score that is returned
+            best = sorted(((w, round(s, 6) + 0.0) for v, s in top.items() for w in copies[v]), key=lambda p: (-p[1], p[0]))[:k]
             rows += [(qid, v, s, scored) for v, s in best]
     return pa.table({"qid": pa.array([r[0] for r in rows], pa.int64()), "id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64()), "visited": pa.array([r[3] for r in rows], pa.int64())})
 
