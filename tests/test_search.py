@@ -51,6 +51,29 @@ def test_recompute_visits_few_nodes(spark):
         graph.search(built, held, asked, 3, strategy="other")
 
 
+@pytest.mark.parametrize("metric", ["mips", "l2", "cosine"])
+def test_pq_on_large_tables_and_near_copies(spark, metric, monkeypatch):
+    """More near copies of one vector than the shortlist holds: their codes tie, and the best of them lie outside it."""
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(6000, 64))
+    x[5000:] = x[5000] + draw.normal(size=(1000, 64)) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= draw.choice([0.5, 1, 2], size=6000)[:, None] if metric == "cosine" else 1
+    y = np.concatenate([x[5000:5020] + draw.normal(size=(20, 64)) * 0.001, draw.normal(size=(20, 64))])
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>").repartition(4).cache()
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "qid long, embedding array<float>").cache()
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 25)
+    monkeypatch.setattr(knn, "DATA_BLOCK", 2500)
+    books = pq.train(data, rows=2000)
+    codes = pq.encode(data, books).cache()
+    golden = knn.exact_top_k(data, asked, 10, metric)
+    assert recall(pq.search(data, codes, books, asked, metric_name=metric), golden) == 1
+    # queries among near copies rule the rest of the table out
+    close = asked.where("qid < 20").select("qid", "embedding").join(golden.where("rank = 10").select("qid", F.col("score").alias("least")), "qid")
+    assert pq.candidates(codes, books, close, metric, 6000, 20).count() < 3000
+    assert recall(pq.search(data.limit(7), pq.encode(data.limit(7), books), books, asked, metric_name=metric), knn.exact_top_k(data.limit(7), asked, 10, metric)) == 1
+
+
 def test_graph_recall_beside_copies(spark, monkeypatch):
     """Parameters of graph_search_recompute; more copies of one text in each shard than a node has candidates."""
     draw = np.random.default_rng(2)

@@ -1,4 +1,4 @@
-"""Product quantisation: codebooks, codes, and search by reconstructed vectors with an exact rerank."""
+"""Product quantisation: codebooks, codes, and exact search: codes with a bound on their error rule vectors out, the others are compared."""
 
 from __future__ import annotations
 
@@ -10,9 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectrine.functions.vector import metric, unit
+from vectrine.operators import knn
 from vectrine.operators.knn import as_matrix, exact_top_k, rerank
 
 TRAIN_ROWS = 8_192
+#: scores are rounded to six digits, and computed in floating point
+SLACK, RELATIVE_SLACK = 2e-6, 1e-6
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 15, seed: int = 5) -> np.ndarray:
@@ -36,23 +40,76 @@ def train(vectors: DataFrame, parts: int = 16, codes: int = 64, rows: int = TRAI
 
 
 def encode(vectors: DataFrame, books: list[np.ndarray]) -> DataFrame:
-    """(id, codes) of every vector."""
+    """(id, codes, error, length) of every vector: how far it is from what its codes decode to, and its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = as_matrix(batch.column(1)) if len(batch) else np.zeros((0, sum(b.shape[1] for b in books)))
             slices = np.array_split(x, len(books), axis=1)
             found = np.stack([((b**2).sum(axis=1)[None, :] - 2 * s @ b.T).argmin(axis=1) for b, s in zip(books, slices)], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found.astype(np.int16)), pa.list_(pa.int16()))], ["id", "codes"])
+            error, length = np.linalg.norm(x - decode(books, found), axis=1), np.linalg.norm(x, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found.astype(np.int16)), pa.list_(pa.int16())), pa.array(error), pa.array(length)], ["id", "codes", "error", "length"])
 
-    return vectors.select("id", F.col("embedding").cast("array<float>")).mapInArrow(run, "id long, codes array<short>")
+    return vectors.select("id", F.col("embedding").cast("array<float>")).mapInArrow(run, "id long, codes array<short>, error double, length double")
 
 
 def decode(books: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
     return np.hstack([b[codes[:, i].astype(int)] for i, b in enumerate(books)])
 
 
+def upper_bounds(name: str, queries: np.ndarray, decoded: np.ndarray, error: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """No score of a query with a vector is above its bound."""
+    if name == "cosine":
+        queries = unit(queries)
+    sizes = np.linalg.norm(queries, axis=1)[:, None]
+    products = queries @ decoded.T
+    if name == "l2":
+        far = np.sqrt(np.maximum(sizes**2 + (decoded**2).sum(axis=1) - 2 * products, 0))
+        return -np.maximum(far - error, 0) ** 2 + SLACK + RELATIVE_SLACK * (sizes + length + error) ** 2
+    bound = products + sizes * error + RELATIVE_SLACK * sizes * (length + error)
+    return (bound / np.where(length == 0, 1, length) if name == "cosine" else bound) + SLACK
+
+
+def _possible(name: str, books: list[np.ndarray], asking: pa.Table, codes: pa.Table) -> pa.Table:
+    """Ids of a block of codes that may reach the k-th score found so far of some query of a block."""
+    kept = []
+    if len(asking) and len(codes):
+        queries, least = as_matrix(asking["embedding"].combine_chunks()), asking["least"].to_numpy()[:, None]
+        ids, error, length = (codes[c].to_numpy() for c in ("id", "error", "length"))
+        held = as_matrix(codes["codes"].combine_chunks())
+        for low in range(0, len(ids), 2048):
+            part = slice(low, low + 2048)
+            kept.append(ids[part][(upper_bounds(name, queries, decode(books, held[part]), error[part], length[part]) >= least).any(axis=0)])
+    return pa.table({"id": pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64), pa.int64())})
+
+
+def candidates(codes: DataFrame, books: list[np.ndarray], asked: DataFrame, metric_name: str, data_rows: int, query_rows: int) -> DataFrame:
+    """id of each vector whose bound reaches ``least`` of some of ``asked`` (qid, embedding, least); in blocks, like ``exact_top_k``."""
+    rows, columns = max(1, -(-query_rows // knn.QUERY_BLOCK)), max(1, -(-data_rows // knn.DATA_BLOCK))
+
+    def blocks(count: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    name = metric(metric_name).name
+    asking = asked.select(F.pmod(F.xxhash64("qid"), F.lit(rows)).cast("int").alias("one"), blocks(columns).alias("other"), F.col("embedding").cast("array<float>").alias("embedding"), "least")
+    offered = codes.select(blocks(rows).alias("one"), F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("other"), "id", "codes", "error", "length")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _possible(name, books, left, right)
+
+    return asking.groupBy("one", "other").cogroup(offered.groupBy("one", "other")).applyInArrow(run, "id long").distinct()
+
+
 def search(vectors: DataFrame, codes: DataFrame, books: list[np.ndarray], queries: DataFrame, k: int = 10, shortlist: int = 256, metric_name: str = "mips") -> DataFrame:
-    """The ``shortlist`` best by codes, then their vectors fetched once and the ``k`` best by exact score."""
-    near = exact_top_k(codes.select("id", F.col("codes").alias("embedding")), queries, shortlist, metric_name, decode=partial(decode, books))
-    return rerank(near, vectors, queries, k, metric_name)
+    """The ``k`` best by exact score, whatever the codes lose.
+
+    The exact scores of the ``shortlist`` best by codes give each query a k-th score to reach; vectors are fetched if the error of their codes
+    leaves them that chance for some query.  A shortlist of any length gives the same result; codes of small errors rule more out.
+    """
+    n, q = codes.count(), queries.count()
+    near = exact_top_k(codes.select("id", F.col("codes").alias("embedding")), queries, max(k, shortlist), metric_name, n, q, partial(decode, books))
+    # with fewer than k hits, nothing is ruled out
+    least = rerank(near, vectors, queries, k, metric_name).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
+    asked = queries.select("qid", "embedding").join(least, "qid", "left").fillna(float("-inf"), "least")
+    possible = candidates(codes, books, asked, metric_name, n, q)
+    return exact_top_k(vectors.select("id", "embedding").join(possible, "id", "left_semi"), queries, k, metric_name, n, q)
