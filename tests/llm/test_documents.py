@@ -35,6 +35,20 @@ def test_rules_of_lines():
     assert fails("A plain sentence without any fault ends here.") is None
 
 
+def test_diversity_is_that_of_all_words():
+    at = quality_model.FEATURES.index("short_distinct")
+    clean, same = [f"w{i}" for i in range(100)], ["again"] * 100
+    text = lambda words: quality_model.features(" ".join(words).encode())[at]
+    assert text(clean + same) == text(same + clean) == 0.505
+    assert text(clean) == 1 and text(clean[:7] + same[:1] * 3) == 0.8 and text([]) == 0
+    # the last window ends with the text, so that its few words don't count as diverse by being few
+    assert text(clean + same[:50]) == (1 + 0.51) / 2
+    draw = random.Random(8)
+    words = [f"w{draw.randrange(90)}" for _ in range(730)]
+    windows = [words[i * 100 : i * 100 + 100] for i in range(7)] + [words[630:]]
+    assert abs(text(words) - sum(len(set(w)) / 100 for w in windows) / 8) < 1e-12
+
+
 def test_repeats_against_brute_force():
     draw = random.Random(4)
     for _ in range(300):
