@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -35,6 +36,18 @@ def test_rules_of_lines():
     assert fails("A plain sentence without any fault ends here.") is None
 
 
+def test_rules_of_all_runs_match_sql(spark, same_rows):
+    """Every pair of marks at the end of a word; ten words a document, all of them in such lines."""
+    rows = [(i, "\n".join([f"are you serious{a}{b}{end}", "it goes on and on here."])) for i, (a, b, end) in enumerate((a, b, end) for a in "!?*" for b in "!?*" for end in ("", ".", ","))]
+    rows += [(100 + i, "\n".join([f"line {k} stands{run}" for k in range(4)])) for i, run in enumerate(("?!", "!?", "!!", "??"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    assert all(found[i]["n_failed_lines"] == 1 for i in range(27)) and all(found[i]["n_failed_lines"] == 4 and not found[i]["kept"] for i in range(100, 104))
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    same_rows(quality_rules.judge(docs), quality_rules.ORACLES["op3_quality_rules"], db)
+
+
 def test_diversity_is_that_of_all_words():
     at = quality_model.FEATURES.index("short_distinct")
     clean, same = [f"w{i}" for i in range(100)], ["again"] * 100

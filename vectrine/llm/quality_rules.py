@@ -25,6 +25,7 @@ BOILERPLATE = ("javascript is disabled", "enable cookies", "we use cookies", "co
 MAX_LOST_PERCENT = 50
 _SYMBOL = re.compile(rb"[#*$%&|<>]")
 _RUN = re.compile(rb"[!?*]{2}[.,]?$")
+_MARKED = re.compile(rb"[#*$%&|<>]|[!?*]{2}")
 _SEPARATORS = frozenset((b"|", b">", "»".encode(), "·".encode()))
 _ENDS = tuple(x.encode() for x in (".", "!", "?", '"', "'", ":", ";", ")", "]", "”", "»", "…", "。", "！", "？"))
 _PHRASE = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
@@ -38,7 +39,7 @@ def line_fails(line: bytes, only: bool = False) -> str | None:
     separators = sum(w in _SEPARATORS for w in words)
     if separators >= 2 and 5 * separators >= n:
         return "navigation"
-    marked = sum(1 for w in words if _SYMBOL.search(w) or _RUN.search(w)) if _SYMBOL.search(line) or b"!!" in line or b"??" in line or b"!?" in line else 0
+    marked = sum(1 for w in words if _SYMBOL.search(w) or _RUN.search(w)) if _MARKED.search(line) else 0
     if 10 * marked > n:
         return "punctuation"
     if n < 5 and not only and not words[-1].endswith(_ENDS):
