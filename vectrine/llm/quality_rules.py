@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from vectrine.llm.common import read
@@ -103,37 +104,49 @@ def judge(docs: DataFrame, max_lost: int = MAX_LOST_PERCENT) -> DataFrame:
     return rows.mapInArrow(_judge(max_lost), SCHEMA)
 
 
-def _filter(max_lost: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def cleaned(text: bytes) -> bytes:
+    """``text`` without its failed lines; lines without a word stay."""
+    lines = text.split(b"\n")
+    alone = sum(1 for line in lines if line.split()) == 1
+    return b"\n".join(line for line in lines if not line.split() or not line_fails(line, alone))
+
+
+def _clean(max_lost: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with cleaned texts; with ``max_lost``, only those that ``judge`` keeps."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            good = []
+            at, size_at = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
+            good, texts = [], []
             for text in batch.column(at).cast(pa.large_binary()):
-                m = measure(text.as_py() or b"")
-                good.append(m[0] >= 10 and 100 * m[4] <= 20 * m[0] and 100 * m[5] <= max_lost * m[0])
-            yield batch.filter(pa.array(good, pa.bool_()))
+                raw = text.as_py()
+                m = measure(raw or b"")
+                kept = max_lost is None or (m[0] >= 10 and 100 * m[4] <= 20 * m[0] and 100 * m[5] <= max_lost * m[0])
+                good.append(kept)
+                if kept:
+                    texts.append(raw if raw is None or not m[6] else cleaned(raw))
+            out = batch.filter(pa.array(good, pa.bool_()))
+            columns = list(out.columns)
+            columns[at] = pa.array(texts, pa.large_binary()).cast(batch.schema.field(at).type)
+            if size_at >= 0 and pa.types.is_integer(batch.schema.field(size_at).type):
+                columns[size_at] = pc.utf8_length(columns[at]).cast(batch.schema.field(size_at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return run
 
 
-def keep_good(docs: DataFrame, max_lost: int = MAX_LOST_PERCENT) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all columns; no shuffle and no join."""
-    return docs.mapInArrow(_filter(max_lost), docs.schema)
+def keep_clean(docs: DataFrame, max_lost: int = MAX_LOST_PERCENT) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all columns and without their failed lines; no shuffle and no join.
 
-
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text in batch.column(1):
-            lines = (text.as_py() or b"").split(b"\n")
-            alone = sum(1 for line in lines if line.split()) == 1
-            texts.append(b"\n".join(line for line in lines if not line.split() or not line_fails(line, alone)).decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+    An integer column n_chars is set to the new length.  Null and empty texts go; null ids and other columns, ties and repeated rows
+    pass through row by row, very long texts are read whole, an empty table gives none.
+    """
+    return docs.mapInArrow(_clean(max_lost), docs.schema)
 
 
 def clean_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and the text without its failed lines; a null text becomes empty."""
-    return docs.select("doc_id", docs["text"].cast("binary").alias("text")).mapInArrow(_clean, "doc_id long, text string")
+    """All rows of ``docs`` without their failed lines; as ``keep_clean``, but that none is rejected and a null text stays null."""
+    return docs.mapInArrow(_clean(None), docs.schema)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
