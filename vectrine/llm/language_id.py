@@ -21,6 +21,8 @@ from vectrine.llm.learn import linear_svm
 
 DIMENSIONS = 2048
 PER_LANGUAGE = 1500
+TRAIN_ROWS = 24_000
+LANGUAGES = 200
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb", "yi"),
     "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl", "oc", "la"),
@@ -88,13 +90,20 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["lang", "x"])
 
 
-def train(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on at most about ``per_language`` rows of each language, drawn by a seeded hash of the id from the learnable rows."""
-    known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    drawn = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30))
-    wanted = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(int((1 << 30) * min(1.0, per_language / n)))) for lang, n in counts.items())) if counts else F.lit(0)
-    rows = known.where(drawn < wanted).select("lang", "text").mapInArrow(_featured, "lang string, x binary").collect()
+def train(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE, rows: int = TRAIN_ROWS, languages: int = LANGUAGES) -> Model:
+    """Fit on about ``per_language`` distinct texts of each language at most, and about ``rows`` of all, drawn by a seeded hash of the text.
+
+    Rows that share an id, or have none, are drawn like any others; copies of a text count once for each language.  Of more than
+    ``languages`` values of lang, the most frequent are learned.
+    """
+    known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.lit(7), "text").alias("drawn"))
+    held = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("drawn", 0.02).alias("texts"))
+    counts = {r["lang"]: r["texts"] for r in held.orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    each = min(per_language, rows // max(1, len(counts)))
+    share = {lang: int((1 << 30) * min(1.0, each / max(1, n))) for lang, n in counts.items()}
+    wanted = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(s)) for lang, s in share.items())) if share else F.lit(0)
+    some = known.where(F.pmod("drawn", F.lit(1 << 30)) < wanted).dropDuplicates(["lang", "drawn"])
+    rows = some.select("lang", "text").mapInArrow(_featured, "lang string, x binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     x = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(len(rows), DIMENSIONS)
     langs = np.array([r["lang"] for r in rows], object)
