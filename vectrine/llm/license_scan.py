@@ -9,6 +9,7 @@ bounded-error matching decides, and reports the span and its number of edits.  N
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -40,6 +41,7 @@ NOTICES = (
     ("all rights reserved", "all-rights-reserved", 1),
     ("spdx license identifier", "spdx", 2),
 )
+_GAP = re.compile(" ")
 _SPACE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
@@ -65,65 +67,89 @@ def _automaton() -> ahocorasick.Automaton:
 
 @cache
 def _patterns() -> tuple[regex.Pattern, ...]:
-    return tuple(regex.compile(f"(?e)(?<![^ ])(?:{regex.escape(phrase, literal_spaces=True)}){{e<={edits}}}(?![^ ])") for phrase, _, edits in NOTICES)
+    """Of each notice, its best match at the start of a piece, up to the end of a word."""
+    return tuple(regex.compile(f"(?b)(?:{regex.escape(phrase, literal_spaces=True)}){{e<={edits}}}(?![^ ])") for phrase, _, edits in NOTICES)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().translate(_SPACE).split()
 
 
+def match_at(joined: str, notice: int, start: int, known: dict | None = None) -> tuple[int, int, str, int] | None:
+    """(start, end, label, edits) if the notice stands at ``start``, the first character of a word, within its edits."""
+    phrase, label, edits = NOTICES[notice]
+    # one character more than any match, so that it tells whether a word ends there
+    piece = joined[start : start + len(phrase) + edits + 1]
+    known = {} if known is None else known
+    if (notice, piece) not in known:
+        m = _patterns()[notice].match(piece)
+        known[notice, piece] = (m.end(), sum(m.fuzzy_counts)) if m else None
+    fit = known[notice, piece]
+    return (start, start + fit[0], label, fit[1]) if fit else None
+
+
 def fuzzy_spans(joined: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, label, edits) in characters of the joined words; of overlapping places, the one with fewest edits."""
-    windows: dict[int, list[list[int]]] = {}
-    for end, (length, places) in _automaton().iter(joined):
-        for notice, offset in places:
-            phrase, _, edits = NOTICES[notice]
-            start = end + 1 - length - offset
-            low, high = max(0, start - 2 * edits), min(len(joined), start + len(phrase) + 2 * edits)
-            own = windows.setdefault(notice, [])
-            if own and low <= own[-1][1]:
-                own[-1][1] = max(own[-1][1], high)
-            else:
-                own.append([low, high])
-    found = []
-    for notice, own in windows.items():
-        for low, high in own:
-            # whole words at both ends, so that the look-arounds see them
-            low = joined.rfind(" ", 0, low) + 1
-            high = n if (n := joined.find(" ", high)) >= 0 else len(joined)
-            for m in _patterns()[notice].finditer(joined, low, high):
-                found.append((m.start(), m.end(), NOTICES[notice][1], sum(m.fuzzy_counts)))
+    """(start, end, label, edits) in characters of the joined words; of overlapping places, the one with fewest edits, then the longest, then the first."""
+    # where a notice would start if nothing before the seed were changed; several seeds often say the same
+    guesses: set[tuple[int, int]] = set()
+    for end, (length, seeded) in _automaton().iter(joined):
+        at = end + 1 - length
+        guesses.update([(notice, at - offset) for notice, offset in seeded])
+    places: set[tuple[int, int]] = set()
+    for notice, start in guesses:
+        # the edits before the seed move the start by as much at most; it starts a word
+        edits = NOTICES[notice][2]
+        if start <= edits:
+            places.add((notice, 0))
+            start = max(start, edits + 1)
+        high = start + edits
+        at = joined.find(" ", start - edits - 1, high)
+        while at >= 0:
+            places.add((notice, at + 1))
+            at = joined.find(" ", at + 1, high)
+    known: dict = {}
+    found = [m for notice, start in places if (m := match_at(joined, notice, start, known))]
     found.sort(key=lambda x: (x[3], x[0] - x[1], x[0], x[2]))
+    # kept places don't overlap, so only the neighbours of a new one can
     kept: list[tuple[int, int, str, int]] = []
     for x in found:
-        if not any(x[0] < y[1] and y[0] < x[1] for y in kept):
-            kept.append(x)
-    return sorted(kept)
+        k = bisect_left(kept, x)
+        if (k == 0 or kept[k - 1][1] <= x[0]) and (k == len(kept) or x[1] <= kept[k][0]):
+            kept.insert(k, x)
+    return kept
+
+
+def gaps(joined: str) -> list[int]:
+    """Where the spaces stand; a character's word is the number of spaces before it."""
+    return [m.start() for m in _GAP.finditer(joined)]
 
 
-def base_places(joined: str) -> list[tuple[int, str]]:
+def base_places(joined: str, spaces: list[int] | None = None) -> list[tuple[int, str]]:
     """(first word, label) of each place where a base phrase's words stand consecutively."""
+    spaces = gaps(joined) if spaces is None else spaces
     padded = f" {joined} "
     found = []
     for phrase, label in BASE:
         at = padded.find(f" {phrase} ")
         while at >= 0:
-            found.append((padded.count(" ", 0, at), label))
+            found.append((bisect_left(spaces, at), label))
             at = padded.find(f" {phrase} ", at + 1)
     return found
 
 
 def scan(text: bytes | None) -> tuple:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, spans; in time about linear in the text."""
     words = words_of(text)
     joined = b" ".join(words).decode("utf-8", "replace")
-    base = base_places(joined) if "license" in joined else []
     spans = fuzzy_spans(joined)
+    has_base = "license" in joined
+    spaces = gaps(joined) if spans or has_base else []
+    base = base_places(joined, spaces) if has_base else []
     base_labels = {label for _, label in base}
     labels = base_labels | {label for _, _, label, _ in spans}
     score = 1.0 if base else max((1 - edits / (end - start) for start, end, _, edits in spans), default=0.0)
     places = [at for at, _ in base]
-    word_spans = [(joined.count(" ", 0, start), joined.count(" ", 0, end), label, edits) for start, end, label, edits in spans]
+    word_spans = [(bisect_left(spaces, start), bisect_left(spaces, end), label, edits) for start, end, label, edits in spans]
     return len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, word_spans
 
 
