@@ -24,7 +24,8 @@ from vectrine.llm.common import materialise, read
 
 CAPACITY = 2048
 END = 0
-_SPACES = re.compile(r"\s{20000}")
+#: A run of white space that long is more than the stack of ``tiktoken`` may hold.
+_SPACES = re.compile(r"(?<!\s)\s{20000}")
 
 
 def default_tokenizer() -> tuple[str, str]:
@@ -57,7 +58,7 @@ def encode(text: str, json_path: str, ranks_path: str | None = None) -> np.ndarr
     holds a very long run of white space, still goes through ``tokenizers``.
     """
     slow, fast, special = _tokenizers(json_path, ranks_path)
-    if fast is None or any(token in text for token in special) or (len(text) > 20_000 and _SPACES.search(text)):
+    if fast is None or any(token in text for token in special) or _SPACES.search(text):
         return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
     return np.array(fast.encode_ordinary(text), np.uint32)
 
