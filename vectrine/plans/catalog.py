@@ -209,7 +209,7 @@ _filter("filter_ends_with", "documents", "doc_id", {"source": {"ends_with": "7"}
 _filter("filter_is_true", _labelled, "doc_id", {"toxic": {"is_true": True}}, "toxic <> 0", _D)
 _filter("filter_is_false", _labelled, "doc_id", {"toxic": {"is_false": True}}, "toxic = 0", _D)
 _filter("filter_compound", _labelled, "doc_id", {"lang": {"==": "en"}, "n_chars": {">=": 500, "<": 5000}, "quality": {"==": 1}}, "lang = 'en' AND n_chars >= 500 AND n_chars < 5000 AND quality = 1", _D)
-_filter("filter_range_same_field", "part", "p_partkey", {"p_retailprice": {">=": 1000, "<=": 1500}}, "p_retailprice BETWEEN 1000 AND 1500", "part")
+_filter("filter_range_same_field", "part", "p_partkey", {"p_retailprice": {">=": 920, "<=": 950.5}}, "p_retailprice BETWEEN 920 AND 950.5", "part")
 _filter("filter_missing", "documents", "doc_id", {"nowhere": {"!=": 1}}, "false", "documents")
 _filter("filter_unknown_op", "documents", "doc_id", {"lang": {"~~": "en"}}, "false", "documents")
 _filter("filter_exists", _labelled, "doc_id", {"quality": {}}, "quality IS NOT NULL", _D)
@@ -484,9 +484,9 @@ def set_intersect(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
-@query("SELECT DISTINCT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def set_except(spark, sf_dir):
-    return relational.absent(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
+    return relational.absent(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
 
 
 @query("SELECT DISTINCT text FROM documents")
