@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, key long, score string, kept string, shard string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, key long, score string, kept string, shard string, _place string, _times string, _mark string, _copy string, _w string, row string, bucket string, size_ string, `_source` string, `place` long"
 
 
 @pytest.fixture(scope="session")
@@ -13,7 +13,7 @@ def odd(spark):
         (4, " \t\n ", "de", "b"), (5, "word", "en", "b"), (6, long, "en", "c"), (7, None, "fr", "c"), (8, "1234 5678", None, "d"), (9, text + " Tail.", "en", "d"),
         (9, "another text under the same id as the one before it, with words of its own.", "en", "e"), (10, "\U0001f600 \x00 é ß ñ", "es", ""),
     ]
-    return spark.createDataFrame([(*r, 0, "clash", 1, None, "no", "x") for r in rows], SCHEMA).repartition(3).cache()
+    return spark.createDataFrame([(*r, 0, "clash", 1, None, "no", "x", *("clash",) * 9, 7) for r in rows], SCHEMA).repartition(3).cache()
 
 
 @pytest.fixture(scope="session")

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from vectrine.llm import exact_topk, mixing, near_dedup, packing, quality_model, quality_rules, sharding
@@ -32,7 +33,7 @@ def test_sharding_of_odd_rows(spark, odd, none, tmp_path, per_bucket):
     sharding.write_shards(held, str(tmp_path / "s"), 5, per_bucket=per_bucket)
     out = spark.read.parquet(str(tmp_path / "s"))
     assert set(out.columns) == {*odd.columns, "slot"}
-    key = lambda r: (r["doc_id"], r["text"], r["lang"], r["source"])
+    key = lambda r: (r["doc_id"], r["text"], r["lang"], r["source"], r["_place"], r["bucket"], r["row"], r["place"])
     assert Counter(map(key, out.collect())) == Counter(map(key, held.collect()))
     counts = [r["count"] for r in out.groupBy("shard").count().collect()]
     assert max(counts) - min(counts) <= 1
@@ -98,6 +99,23 @@ def test_mixing_of_a_hot_source(spark):
     check_mix(mixing.mix(docs).collect())
 
 
+def test_mixing_of_a_hot_id(spark):
+    """A third of all rows under one id, most of them equal; a third without an id."""
+    docs = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 5).when(F.col("id") % 3 == 2, F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 6 == 0, "the same words in each of them").otherwise(F.expr("repeat('w ', cast(1 + id % 13 as int))")).alias("text"),
+        F.concat(F.lit("s"), F.col("id") % 4).alias("source"),
+    )
+    rows = mixing.mix(docs).collect()
+    check_mix(rows)
+    held = mixing.repeat(docs).collect()
+    assert len(held) == sum(r["times"] for r in rows)
+    words = Counter()
+    for r in held:
+        words[r["source"]] += len(r["text"].split())
+    assert words == Counter({s: sum(r["taken"] for r in rows if r["source"] == s) for s in words})
+
+
 def test_sizes(spark):
     texts = ["", " ", "a", " a  b\t\nc\x0b\x0cd\re ", "a b c", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
@@ -152,6 +170,22 @@ def test_cuts_and_special_tokens():
         assert list(packing.encode(text, *paths)) == list(packing.encode(text, paths[0], None))
 
 
+def test_ids_are_those_of_the_tokenizer():
+    """Over all documents of the largest table, and over long texts of mixed scripts, symbols and white space."""
+    import pyarrow.parquet as pq
+
+    paths = packing.default_tokenizer()
+    slow = packing._tokenizers(*paths)[0]
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    draw = np.random.default_rng(5)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "a", "don't", "I'LL", "x9", "12345", "...", "!?", "é", "ß", "ñ", "日本", "привет", "\U0001f600", "\u200d", "\x00", "\u0301", "|", "<|endoftext|>", "<|endof", "_", "'s"]
+    texts += ["".join(parts[k] for k in draw.integers(0, len(parts), int(n))) for n in [*draw.integers(1, 60, 2000), *draw.integers(5_000, 60_000, 20)]]
+    texts += [" " * n + "y" for n in (1, 19_999, 20_000, 300_000)]
+    for at in range(0, len(texts), 500):
+        want = slow.encode_batch_fast([t or "" for t in texts[at : at + 500]], add_special_tokens=False)
+        assert all(packing.encode(t or "", *paths).tolist() == w.ids for t, w in zip(texts[at : at + 500], want))
+
+
 def test_fullest_against_brute_force():
     from itertools import product
 
@@ -191,6 +225,35 @@ def test_topk_on_odd_rows(spark, monkeypatch, per_group, per_block):
     assert exact_topk.exact_top_k(df, F.lit(False)).count() == 0
 
 
+def test_topk_of_huge_components(spark):
+    """Products beyond doubles' whole numbers are exact, those beyond a long become its ends; one id with many vectors fills no list."""
+    rows = [(0, [1.0, 0.0]), (1, [600000.0, 0.0]), (2, [900000.0, 1.0]), (3, [float(2**40), 3.0]), (4, [1e30, 0.0]), (5, [-1e30, 1.0]), (6, [1e35, 0.0]), (7, [2.0**30 + 2.0**-8, 0.0])]
+    rows += [(50, [float(j), 1.0]) for j in range(9)] + [(100, [3e5, 2.5e5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    top = (1 << 63) - 1
+    whole = lambda v: [math.floor(256 * x) for x in v]
+    want = []
+    for q, v in rows:
+        if q % 50 == 0:
+            hits = sorted((-max(-top, min(top, sum(a * b for a, b in zip(whole(v), whole(w))))), i) for i, w in rows if i != q)[:5]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(hits)]
+    assert sorted(map(tuple, exact_topk.exact_top_k(df, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
+
+
+def test_topk_prunes(spark):
+    """Vectors in far clusters: queries are copied only to blocks that can hold their neighbours, and results stay exact."""
+    draw = np.random.default_rng(8)
+    centres = draw.normal(size=(12, 8)) * 40
+    x = (centres[np.arange(1500) % 12] + draw.normal(size=(1500, 8)) * 0.05).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = np.floor(256 * x.astype(float)).astype(np.int64)
+    score = whole[::50] @ whole.T
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in exact_topk.exact_top_k(df, F.col("vec_id") % 50 == 0).collect()}
+    for row, q in zip(score, range(0, 1500, 50)):
+        hits = sorted((-int(s), i) for i, s in enumerate(row) if i != q)[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(i, -s) for s, i in hits]
+
+
 def test_pipeline_against_brute_force(spark, sf):
     import corpus_pipeline
 
@@ -203,9 +266,22 @@ def test_pipeline_against_brute_force(spark, sf):
         df = materialise(stage(spark, df, sf), "stage")
         got[name] = df.collect()
         assert name == "packing" or df.columns == columns
-    held = [r for r in held if (m := quality_rules.measure((r["text"] or "").encode()))[0] >= 10 and 100 * m[4] <= 20 * m[0] and 100 * m[5] <= 50 * m[0]]
+    clean = []
+    for r in held:
+        lines = (r["text"] or "").split("\n")
+        full = [line.encode() for line in lines if line.split()]
+        bad = {line for line in full if quality_rules.line_fails(line, len(full) == 1)}
+        m = quality_rules.measure((r["text"] or "").encode())
+        if m[0] >= 10 and 100 * m[4] <= 20 * m[0] and 100 * sum(len(line.split()) for line in full if line in bad) <= 50 * m[0]:
+            text = "\n".join(line for line in lines if line.encode() not in bad)
+            clean.append(Row(**{**r.asDict(), "text": text, "n_chars": len(text)}))
+    # no line of a kept text fails
+    for r in got["quality rules"]:
+        full = [line for line in r["text"].encode().split(b"\n") if line.split()]
+        assert not any(quality_rules.line_fails(line, len(full) == 1) for line in full)
+    held = clean
     assert sorted(got["quality rules"]) == sorted(held)
-    model = quality_model.train(spark.createDataFrame(held, docs.schema), spark.read.parquet(f"{sf}/labels.parquet"), lambda i: ~quality_model.held_out(i))
+    model = quality_model.train(docs, spark.read.parquet(f"{sf}/labels.parquet"), lambda i: ~quality_model.held_out(i))
     held = [r for r in held if model.scores(np.array([quality_model.features((r["text"] or "").encode())]))[0] >= 0.5]
     assert sorted(got["quality classifier"]) == sorted(held)
     sets = {r["doc_id"]: near_dedup.shingles(near_dedup.words_of(r["text"].encode())) for r in held}

@@ -69,6 +69,21 @@ def test_small_salts(spark, corpus, monkeypatch):
     assert got == brute(corpus[:300])
 
 
+def test_several_texts_under_an_id_and_a_hot_leader(spark, monkeypatch):
+    """The distance to one of several texts bounds nothing; a leader of a third of all documents is spread over tasks."""
+    draw = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [draw.choice(vocabulary) for _ in range(100)]
+    rows = [(1, near(draw, base, 3)), (1, [draw.choice(vocabulary) for _ in range(80)])]
+    rows += [(2 + i, near(draw, base, draw.randrange(0, 16))) for i in range(120)]
+    rows += [(500 + i // 2, near(draw, base, draw.randrange(5, 20)) if i % 3 else [draw.choice(vocabulary) for _ in range(90)]) for i in range(80)]
+    rows += [(900 + i, [draw.choice(vocabulary) for _ in range(50)]) for i in range(100)]
+    rows = [(k, " ".join(w)) for k, w in rows]
+    monkeypatch.setattr(op, "PARTNERS_PER_TASK", 16)
+    got = {r["doc_id"]: r["component_id"] for r in op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_odd_rows(odd, none):
     found = op.near_duplicates(odd).collect()
     assert len(found) == odd.count()

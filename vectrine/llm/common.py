@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -43,6 +43,57 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], keep: list[str], by: list[str] | None = None, tasks: int = 64) -> DataFrame:
+    """``rows`` with running totals (own row included) of ``sums`` in ``order``, for each value of ``by``; no task sees all rows.
+
+    Rows are split into ranges of ``by`` and ``order``, written, and each range's totals are carried on to the next ones.  Rows equal in both can be
+    split between ranges only if ``order`` ends with something that tells them apart.
+    """
+    by = by or []
+    ranged = materialise(rows.repartitionByRange(tasks, *by, *order).select(*keep, *(v.alias(k) for k, v in sums.items()), F.spark_partition_id().alias("_range")), "ranges")
+    totals = ranged.groupBy("_range", *by).agg(*(F.sum(k).alias(k) for k in sums))
+    # at most ``tasks`` rows for each value of ``by``
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_range", *by, *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_{k}") for k in sums))
+    within = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.select(*keep, "_range", *(F.sum(k).over(within).alias(k) for k in sums))
+    same = ["_range", *by]
+    return local.join(F.broadcast(carried) if not by else carried, same).select(*keep, *((F.col(k) + F.col(f"_{k}")).alias(k) for k in sums))
+
+
+#: Rows of a lookup table that may be broadcast; larger ones are joined by shuffles.
+BROADCAST_ROWS = 100_000
+
+
+def small_lookup(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+    """Join ``rows`` with ``table``, which is unique by ``key`` and written already: by broadcast if it is counted to be small, else salted."""
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key)
+    return salted_lookup(rows, table, key, 64)
+
+
+#: A key with more than one in so many of all rows is hot; so there are fewer hot keys than that.
+HOT_SHARE = 1000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, salts: int = 64, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``table`` by ``key``; rows of the keys in ``hot`` (fewer than ``HOT_SHARE``, broadcast) are spread over ``salts`` tasks.
+
+    Only the entries of ``table`` with such a key are copied.
+    """
+    marked = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0)).cast("long")
+    last = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0)).cast("long")
+    spread = rows.join(marked, key, "left").withColumn("_salt", salt).drop("_hot")
+    copies = table.join(marked, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_hot")
+    return spread.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def hot_keys(counts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """The keys with more than one in ``HOT_SHARE`` of ``total`` rows."""
+    return counts.where(F.col(weight) * HOT_SHARE > total).select(key).limit(HOT_SHARE)
+
+
 def salted_lookup(rows: DataFrame, small: DataFrame, key: list[str], salts: int = 8, how: str = "inner") -> DataFrame:
     """Join ``rows`` with ``small``, which is unique by ``key``, so that a hot key of ``rows`` falls into ``salts`` tasks."""
     spread = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))

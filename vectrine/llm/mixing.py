@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectrine.llm.common import materialise, read, salted_lookup
+from vectrine.llm.common import materialise, read, running, small_lookup
 
 MAX_EPOCHS = 3
 SEED = "mix-1"
@@ -20,28 +20,8 @@ CELLS = 4096
 
 
 def size_of(text: Column) -> Column:
-    """Number of words ``[^\\x20\\x09-\\x0D]+``; 0 for null.
-
-    A word's first character is one whose forerunner is white space; only those places are counted.
-    """
-    flat = F.regexp_replace(F.translate(text, "\t\n\x0b\x0c\r", "     "), " +", " ")
-    trimmed = F.trim(flat)
-    return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, F.lit(0)).otherwise(F.length(trimmed) - F.length(F.translate(trimmed, " ", "")) + 1).cast("long")
-
-
-def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], keep: list[str], tasks: int = 64) -> DataFrame:
-    """``rows`` with running totals (own row included) of ``sums`` in ``order``, without a single task that sees all rows.
-
-    Rows are split into ranges, written, and each range's totals are carried on to the next ones.
-    """
-    ranged = materialise(rows.repartitionByRange(tasks, *order).select(*keep, *(v.alias(k) for k, v in sums.items()), F.spark_partition_id().alias("_range")), "ranges")
-    totals = ranged.groupBy("_range").agg(*(F.sum(k).alias(k) for k in sums))
-    # one row a range
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select("_range", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_{k}") for k in sums))
-    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.select(*keep, "_range", *(F.sum(k).over(within).alias(k) for k in sums))
-    return local.join(F.broadcast(carried), "_range").select(*keep, *((F.col(k) + F.col(f"_{k}")).alias(k) for k in sums))
+    """Number of words ``[^\\x20\\x09-\\x0D]+``; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -69,54 +49,78 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     return level.select("source", "source_size", target.alias("target"))
 
 
+def _keyed(docs: DataFrame, seed: str) -> DataFrame:
+    """(row, _source, _key, _cell, size, _mark): the whole row in one column, so that no name of ``docs`` can clash."""
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    mark = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    held = docs.select(F.struct("*").alias("row"), source.alias("_source"), key.alias("_key"), size_of(F.col("text")).alias("size"), mark.alias("_mark"))
+    return held.withColumn("_cell", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
+
+
+def plan(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """A row for each source of ``sizes`` (source, _source, _cell, size): source_size, target, whole repetitions, and the cell in which the rest ends.
+
+    Cells before ``edge`` are taken once more, those after it are not; of the edge itself, ``rest`` words are wanted.
+    """
+    cells = materialise(sizes.groupBy("source", "_source", "_cell").agg(F.sum("size").alias("cell_size")), "mix-cells")
+    aims = materialise(targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, max_epochs), "mix-targets")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    aims = aims.withColumn("whole", F.least(whole, F.lit(max_epochs).cast("long")))
+    aims = aims.withColumn("wanted", F.when(F.col("whole") >= max_epochs, F.lit(0.0)).otherwise(F.col("target") - F.col("whole") * F.col("source_size")))
+    aims = aims.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+    # of a source there are 4,096 cells at most
+    upto = Window.partitionBy("_source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cells.select("_source", "_cell", "cell_size", F.sum("cell_size").over(upto).alias("after")).join(aims.select("_source", "wanted"), "_source")
+    # the first cell that isn't taken whole; none of the cells before it ends beyond what is wanted
+    cut = placed.where((F.col("wanted") > 0) & (F.col("after") > F.col("wanted"))).groupBy("_source")
+    edges = cut.agg(F.min_by(F.struct("_cell", (F.col("wanted") - (F.col("after") - F.col("cell_size"))).alias("rest")), "_cell").alias("e"))
+    joined = aims.join(edges, "_source", "left")
+    edge = F.when(F.col("wanted") <= 0, F.lit(-1)).otherwise(F.coalesce("e._cell", F.lit(CELLS)))
+    rest = F.when(F.col("wanted") <= 0, F.lit(0.0)).otherwise(F.coalesce("e.rest", F.lit(0.0)))
+    return materialise(joined.select("_source", "source_size", "target", "whole", edge.alias("edge"), rest.alias("rest")), "mix-plan")
+
+
+def _times(keyed: DataFrame, aims: DataFrame) -> DataFrame:
+    """``keyed`` rows with their source's plan and ``times``; only rows in the cell where a source's rest ends are put in order."""
+    joined = small_lookup(keyed, aims, ["_source"])
+    settled = joined.where("_cell != edge").withColumn("times", F.col("whole") + (F.col("_cell") < F.col("edge")).cast("long"))
+    edge = materialise(joined.where("_cell = edge").withColumn("_tie", F.monotonically_increasing_id()), "mix-edge")
+    # the last column only tells equal rows apart, of which any may be chosen
+    order = [F.col("_key"), F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.col("size"), F.col("_mark"), F.col("_tie")]
+    narrow = edge.select("_source", "_key", F.struct("row.doc_id").alias("row"), "size", "_mark", "_tie", "rest")
+    upto = running(narrow, order, {"upto": F.col("size")}, ["_source", "_key", "row", "size", "_mark", "_tie", "rest"], ["_source"])
+    extra = (F.col("rest") > 0) & (F.col("upto") - F.col("size") / 2 <= F.col("rest"))
+    chosen = edge.join(upto.select("_tie", extra.alias("_extra")), "_tie").withColumn("times", F.col("whole") + F.col("_extra").cast("long"))
+    return settled.unionByName(chosen.select(settled.columns))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """The rows of ``docs`` with size, source_size, target, taken (words) and times (repeats, 0 to ``max_epochs``).
+    """The rows of ``docs`` (doc_id, source) with size, source_size, target, taken (words) and times (repeats, 0 to ``max_epochs``).
 
     A source's taken words miss its target by half of one document at most.  Rows are chosen by the md5 of seed and id, then id, size and text, so reruns
     agree.  A source of a third of all rows is split into 4,096 cells by that hash; only the cell in which the fraction ends is
-    put in order.
+    put in order, in ranges that split rows of one id, and equal rows too.
 
     A null text has size 0 and is taken 0 times in words; a null source is a source of its own, last in order; a null id counts as an
-    empty one.  Repeated rows are chosen one by one.  With no words at all every target is 0.  An empty table gives none.
+    empty one.  Repeated rows are chosen one by one.  With no words at all every target is 0.  An empty table gives none.  Other columns are ignored.
     """
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select("doc_id", "text", "source").select("doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("_key"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_mark"))
-    rows = materialise(rows.withColumn("_cell", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int")), "mix-sizes")
-    cells = materialise(rows.groupBy("source", "_cell").agg(F.sum("size").alias("cell_size")), "mix-cells")
-    aims = materialise(targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, max_epochs), "mix-targets")
-    # of a source there are 4,096 cells at most
-    before = Window.partitionBy("source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cells.select("source", "_cell", "cell_size", F.coalesce(F.sum("cell_size").over(before), F.lit(0)).alias("cell_before"))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    aims = aims.withColumn("whole", F.least(whole, F.lit(max_epochs).cast("long"))).withColumn("wanted", F.when(F.col("whole") >= max_epochs, F.lit(0.0)).otherwise(F.col("target") - F.col("whole") * F.col("source_size")))
-    same = placed["source"].eqNullSafe(aims["source"])
-    plan = placed.join(aims, same).select(placed["source"], "_cell", "source_size", "target", "whole", "wanted", "cell_before", "cell_size")
-    plan = plan.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_source"), "_cell", "source_size", "target", "whole", "wanted", "cell_before", (F.col("cell_before") + F.col("cell_size")).alias("cell_after"))
-    joined = salted_lookup(rows.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))), plan, ["_source", "_cell"], salts=2)
-    edge = (F.col("wanted") > F.col("cell_before")) & (F.col("wanted") < F.col("cell_after"))
-    joined = materialise(joined.withColumn("_edge", edge), "mix-rows")
-    in_order = Window.partitionBy("_source").orderBy("_key", F.col("doc_id").isNull(), "doc_id", "size", "_mark").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = joined.where("_edge").withColumn("upto", F.col("cell_before") + F.sum("size").over(in_order)).withColumn("extra", (F.col("wanted") > 0) & (F.col("upto") - F.col("size") / 2 <= F.col("wanted")))
-    settled = joined.where("not _edge").withColumn("upto", F.lit(0).cast("long")).withColumn("extra", (F.col("wanted") > 0) & (F.col("cell_after") <= F.col("wanted")))
-    times = F.col("whole") + F.col("extra").cast("long")
-    return settled.unionByName(ordered).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), "_mark")
-
-
-def repeat(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: each row of ``docs`` as often as ``mix`` takes it, with all columns.
-
-    Texts move once, and only those of rows that are taken.
+    narrow = _keyed(docs.select("doc_id", "text", "source"), seed)
+    rows = materialise(narrow.select(F.struct("row.doc_id", "row.source").alias("row"), "_source", "_key", "size", "_mark", "_cell"), "mix-sizes")
+    aims = plan(rows.select("row.source", "_source", "_cell", "size"), weights, max_epochs)
+    return _times(rows, aims).select("row.doc_id", "row.source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+
+
+def repeat(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mixture itself: each row of ``docs`` as often as ``mix`` takes it, with all columns; no shuffle over texts.
+
+    ``docs`` is read twice.  Nulls, ties, repeated rows and empty tables count as in ``mix``; columns may have any names.
     """
-    chosen = mix(docs, **options).where("times > 0").groupBy("doc_id", F.col("_mark"), "source").agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
-    rows = docs.withColumn("_mark", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    # repeated rows have one entry, whose times they share in turn
-    mine = chosen.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_m"), F.col("source").alias("_s"), "_times", "_rows")
-    out = rows.join(mine, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")) & F.col("source").eqNullSafe(F.col("_s")))
-    several = out.where("_rows > 1")
-    once = out.where("_rows = 1").withColumn("_n", F.col("_times"))
-    turn = Window.partitionBy("doc_id", "_mark", "source").orderBy(F.lit(0))
-    shared = several.withColumn("_at", F.row_number().over(turn)).withColumn("_n", F.floor(F.col("_times") / F.col("_rows")) + (F.col("_at") <= F.pmod(F.col("_times"), F.col("_rows"))).cast("long")).drop("_at")
-    return once.unionByName(shared).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).where("_n > 0").select(*docs.columns)
+    keyed = _keyed(docs, seed)
+    aims = plan(keyed.select("row.source", "_source", "_cell", "size"), weights, max_epochs)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_copy")
+    taken = _times(keyed, aims).where("times > 0").select("row", copies)
+    return taken.select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
