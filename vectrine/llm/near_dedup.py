@@ -3,7 +3,8 @@
 A document's set is its distinct two-word shingles.  Its signature has 32 MinHash symbols of 16 bits, held
 in eight chunks of four.  Two signatures that differ in at most 15 symbols agree, by pigeonhole, in at least three symbols of some
 chunk; the allowed single error of a chunk is enumerated by leaving out each symbol in turn, so every document
-has 8 * 4 keys.  Two sets of Jaccard similarity 0.8 share none of them with a probability of 1.1e-6.
+has 8 * 4 keys.  Two sets of Jaccard similarity 0.8 share none of them with a probability of 1.1e-6, and are taken for more
+than 18 symbols apart, beyond which none is compared, with one of 1.2e-6.
 
 Candidates are never all pairs of a bucket.  First, each member of a bucket is compared with the bucket's leader
 (its smallest id), which settles groups of copies of any size in linear work.  Then only members outside the leader's
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrine.llm.common import materialise, read, salted_lookup
+from vectrine.llm.common import hot_join, hot_keys, materialise, read, salted_lookup
 
 SYMBOLS, CHUNKS, PER_CHUNK = 32, 8, 4
 MAX_DISTANCE = 18
@@ -117,23 +118,25 @@ def _distance(a: str, b: str) -> Column:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, inter, total) of the distinct pairs (a, b), on the full sets of words.
+    """(a, b, inter, total, sure) of the distinct, written pairs (a, b), on the full sets of words.
 
     Texts go to tasks by b.  A b with many partners is spread over salts, and its own text goes to each of them.
     """
-    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS_PER_TASK).alias("salts"))
-    spread = pairs.join(many, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts"))).select("b", "salt", F.col("a").alias("doc_id"), F.lit(False).alias("own"))
-    own = spread.select("b", "salt").distinct().select("b", "salt", F.col("b").alias("doc_id"), F.lit(True).alias("own"))
-    asked = spread.unionByName(own)
-    rows = asked.join(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text")), "doc_id")
+    total = pairs.count()
+    many = materialise(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / PARTNERS_PER_TASK)), "partners")
+    hot = hot_keys(many, "b", "n", total)
+    spread = hot_join(pairs, many.select("b", "salts"), "b", hot).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts"))).select("b", "salt", F.col("a").alias("doc_id"), F.lit(False).alias("own"))
+    own = many.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("b").alias("doc_id"), F.lit(True).alias("own"))
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = hot_join(spread.unionByName(own), texts, "doc_id", hot.select(F.col("b").alias("doc_id")))
     ordered = rows.select("b", "salt", "own", "doc_id", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("own"))
-    return ordered.mapInArrow(_compare, "a long, b long, inter long, total long")
+    return ordered.mapInArrow(_compare, "a long, b long, inter long, total long, sure boolean")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, sets = None, []
     for batch in batches:
-        found: list[tuple[int, int, int, int]] = []
+        found: list[tuple[int, int, int, int, bool]] = []
         for b, salt, own, a, text in zip(*(column.to_pylist() for column in batch.columns)):
             if (b, salt) != at:
                 at, sets = (b, salt), []
@@ -143,8 +146,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif mine:
                 # ids that carry several texts count with the pair of texts that is most alike
                 best = max(((i := len(mine & other)) / (u := len(mine) + len(other) - i), i, u) for other in sets) if sets else (0, 0, 1)
-                found.append((a, b, best[1], best[2]))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)] if found else [pa.array([], pa.int64())] * 4, ["a", "b", "inter", "total"])
+                # the distance to one of several sets bounds nothing
+                found.append((a, b, best[1], best[2], len(sets) == 1))
+        columns = list(zip(*found)) if found else [()] * 5
+        kinds = [pa.int64()] * 4 + [pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["a", "b", "inter", "total", "sure"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,15 +194,21 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100)) ->
 
     keys = classes.select("id", F.explode(_keys("sig")).alias("key"))
     buckets = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count(F.lit(1)).alias("members")).where("leader != last").drop("last")
-    members = materialise(keys.join(buckets, "key").select("key", "id", "leader", "members"), "members")
+    n_keys = CHUNKS * PER_CHUNK * classes.count()
+    members = materialise(hot_join(keys, buckets, "key", hot_keys(buckets, "key", "members", n_keys)).select("key", "id", "leader", "members"), "members")
+    n_members = members.count()
 
     sizes = classes.select("id", "n", "sig")
 
     def close(pairs: DataFrame) -> DataFrame:
-        """Pairs within the signature distance whose sizes allow the threshold."""
-        out = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+        """Pairs within the signature distance whose sizes allow the threshold, written."""
+        pairs = materialise(pairs, "pairs")
+        many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("w"))
+        hot = hot_keys(many, "b", "w", pairs.count())
+        ours, theirs = sizes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+        out = hot_join(pairs.join(ours, "a"), theirs, "b", hot)
         fits = F.least("na", "nb") * threshold[1] >= F.greatest("na", "nb") * threshold[0]
-        return out.where(fits & (_distance("sa", "sb") <= MAX_DISTANCE)).select("a", "b").distinct()
+        return materialise(out.where(fits & (_distance("sa", "sb") <= MAX_DISTANCE)).select("a", "b").distinct(), "close")
 
     is_link = F.col("inter") * threshold[1] >= F.col("total") * threshold[0]
     first = materialise(_verify(close(members.where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()), docs), "verified")
@@ -206,13 +218,17 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100)) ->
     # Buckets with more than two members of which some lie outside the leader's component.
     crowd = members.where("members > 2")
     named = crowd.join(label, "id", "left").select("key", "id", "leader", F.coalesce("component", "id").alias("comp"))
-    outside = named.join(label.select(F.col("id").alias("leader"), F.col("component").alias("leads")), "leader", "left").withColumn("out", F.col("comp") != F.coalesce("leads", "leader"))
-    outside = materialise(outside.join(first.select(F.col("a").alias("id"), F.col("b").alias("leader"), (1 - F.col("inter") / F.col("total")).alias("d")), ["id", "leader"], "left").select("key", "id", "leader", "comp", "out", "d"), "outside")
+    led = crowd.groupBy("leader").agg(F.count(F.lit(1)).alias("w"))
+    outside = hot_join(named, label.select(F.col("id").alias("leader"), F.col("component").alias("leads")), "leader", hot_keys(led, "leader", "w", n_members), how="left")
+    outside = outside.withColumn("out", F.col("comp") != F.coalesce("leads", "leader"))
+    apart = F.when(F.col("sure"), 1 - F.col("inter") / F.col("total")).alias("d")
+    outside = materialise(outside.join(first.select(F.col("a").alias("id"), F.col("b").alias("leader"), apart), ["id", "leader"], "left").select("key", "id", "leader", "comp", "out", "d"), "outside")
     open_ = outside.groupBy("key").agg(F.sum(F.col("out").cast("long")).alias("n_out"), F.count(F.lit(1)).alias("n_all")).where("n_out > 0")
-    salts = open_.select("key", F.ceil(F.col("n_all") / 2048).alias("salts"))
+    salts = materialise(open_.select("key", "n_all", F.ceil(F.col("n_all") / 2048).alias("salts")), "open")
+    hot = hot_keys(salts, "key", "n_all", n_members)
     far = 1 - threshold[0] / threshold[1] + 1e-9
-    left = outside.where("out and id != leader").join(salts, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("d").alias("dx"))
-    right = outside.where("id != leader").join(salts, "key").select("key", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("d").alias("dy"), "out")
+    left = hot_join(outside.where("out and id != leader"), salts, "key", hot).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("d").alias("dx"))
+    right = hot_join(outside.where("id != leader"), salts, "key", hot).select("key", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("d").alias("dy"), "out")
     apart = (F.col("cx") != F.col("cy")) & (~F.col("out") | (F.col("x") < F.col("y"))) & F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= far, F.lit(True))
     rest = left.join(right, ["key", "salt"]).where(apart).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     second = materialise(_verify(close(rest), docs), "verified")
