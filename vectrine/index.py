@@ -1,15 +1,18 @@
 """Indexes on disk: build, search, ask, list and remove.
 
-An index is a folder: Parquet datasets ``passages`` and ``graph``, ``embeddings`` unless the index is pruned, and
-``manifest.json``, which is written last.
+An index is a folder, local or on a store that Spark knows: Parquet datasets ``passages`` and the backend's own (``graph``, or ``codes`` and ``books``),
+``embeddings`` unless the index is pruned, and ``manifest.json``, which is written last.
 """
 
 from __future__ import annotations
 
+import importlib
 import json
 import os
+import pkgutil
 import shutil
 import warnings
+from abc import ABC, abstractmethod
 from dataclasses import replace
 from pathlib import Path
 from typing import Any
@@ -19,40 +22,126 @@ from pyspark.sql import functions as F
 
 from vectrine.functions.filters import apply_filters
 from vectrine.functions.vector import default_metric, dimension, is_finite, metric
-from vectrine.operators import embed, graph, knn, passages, rag
-from vectrine.schema import Manifest
+from vectrine.operators import embed, graph, knn, passages, pq, rag
+from vectrine.schema import Manifest, Store
 
-BACKENDS: dict[str, type] = {}
-OPTIONS = {"metric", "degree", "candidates", "alpha", "is_compact", "is_recompute"}
+BACKENDS: dict[str, type[Backend]] = {}
+OPTIONS = {"metric", "is_compact", "is_recompute"}
+#: Packages whose names begin so are imported when an unknown backend is asked for; they register their own.
+PLUGIN_PREFIX = "vectrine_backend_"
+
+
+class Backend(ABC):
+    """What an index is searched by.  options: the names of build options that it takes."""
+
+    options: set[str] = set()
+
+    @abstractmethod
+    def build(self, vectors: DataFrame, manifest: Manifest, path: str, passages: DataFrame) -> None:
+        """Write what the search needs beside the passages."""
+
+    @abstractmethod
+    def search(self, index: Searcher, queries: DataFrame, k: int, recompute: bool, **options: Any) -> DataFrame:
+        """(qid, id, score, rank) of the ``k`` best."""
 
 
 def register_backend(name: str):
-    """Class decorator: the class builds (``build(vectors, manifest)``) and searches (``search(index, queries, ...)``)."""
+    """Class decorator for a subclass of ``Backend``."""
 
-    def add(cls: type) -> type:
+    def add(cls: type[Backend]) -> type[Backend]:
         BACKENDS[name] = cls
         return cls
 
     return add
 
 
+def discover() -> list[str]:
+    """Import plug-in packages, in order of their names; the names of all backends, in order."""
+    for name in sorted(m.name for m in pkgutil.iter_modules() if m.name.startswith(PLUGIN_PREFIX)):
+        importlib.import_module(name)
+    return sorted(BACKENDS)
+
+
+def found_backend(name: str) -> type[Backend]:
+    if name not in BACKENDS and name not in discover():
+        raise ValueError(f"unknown backend {name!r}; known: {', '.join(sorted(BACKENDS))}")
+    return BACKENDS[name]
+
+
 @register_backend("graph")
-class GraphBackend:
-    def build(self, vectors: DataFrame, manifest: Manifest) -> DataFrame | None:
-        options = manifest.backend_kwargs
-        return graph.build(vectors, manifest.metric, options.get("degree", 32), options.get("candidates", 200), options.get("alpha", 1.2), manifest.rows)
+class GraphBackend(Backend):
+    """A sharded proximity graph.  With ``codes`` the layout holds product codes, by which a search can prune."""
+
+    options = {"degree", "candidates", "alpha", "codes"}
+
+    def build(self, vectors: DataFrame, manifest: Manifest, path: str, passages: DataFrame) -> None:
+        o = manifest.backend_kwargs
+        built = graph.build(vectors, manifest.metric, o.get("degree", 32), o.get("candidates", 200), o.get("alpha", 1.2), manifest.rows)
+        built.write.mode("overwrite").parquet(f"{path}/adjacency")
+        built = vectors.sparkSession.read.parquet(f"{path}/adjacency")
+        codes = None
+        if o.get("codes"):
+            books = pq.train(vectors, pq.code_parts(manifest.dimensions, None, manifest.rows))
+            pq.write_books(books, vectors.sparkSession, f"{path}/books")
+            codes = pq.encode(vectors, books)
+        data = passages.select(F.col("pos").alias("id"), "text") if manifest.is_recompute else vectors
+        graph.layout(built, data, codes).write.mode("overwrite").parquet(f"{path}/graph")
+        Store(vectors.sparkSession).delete(f"{path}/adjacency")
 
     def search(self, index: Searcher, queries: DataFrame, k: int, recompute: bool, **options: Any) -> DataFrame:
         m = index.manifest
-        data = index.passages.select(F.col("pos").alias("id"), "text") if recompute else index.embeddings()
-        return graph.search(index.spark.read.parquet(f"{index.folder}/graph"), data, queries, k, m.metric, recompute=(m.embedding_mode, m.embedding_model) if recompute else None, is_pruned=m.is_pruned, rows=m.rows, **options)
+        held = index.spark.read.parquet(f"{index.folder}/graph")
+        data = None
+        if recompute != m.is_recompute:
+            data = index.passages.select(F.col("pos").alias("id"), "text") if recompute else index.embeddings()
+            held = held.drop("text", "embedding")
+        books = pq.read_books(index.spark, f"{index.folder}/books") if options.get("prune_ratio", 0) > 0 and m.backend_kwargs.get("codes") else None
+        # scores of models that return unit vectors lie close together, so that the beam would stop too soon
+        stop_early = not (m.metric == "cosine" and m.embedding_mode == "openai")
+        return graph.search(held, data, queries, k, m.metric, recompute=(m.embedding_mode, m.embedding_model) if recompute else None, is_pruned=m.is_pruned, rows=m.rows, stop_early=stop_early, books=books, **options)
+
+
+@register_backend("disk")
+class DiskBackend(Backend):
+    """Product codes and codebooks on disk: all codes are scored, and the shortlist's vectors are read, or recomputed once, for exact scores."""
+
+    options = {"parts", "codes_per_part", "search_memory_gb"}
+
+    def build(self, vectors: DataFrame, manifest: Manifest, path: str, passages: DataFrame) -> None:
+        o = manifest.backend_kwargs
+        parts = o.get("parts") or pq.code_parts(manifest.dimensions, o.get("search_memory_gb"), manifest.rows)
+        books = pq.train(vectors, parts, o.get("codes_per_part", 256))
+        # staged, counted, then put in place, so that a failed build leaves the old index whole
+        staged = f"{path}/_staged_codes"
+        pq.encode(vectors, books).write.mode("overwrite").parquet(staged)
+        if vectors.sparkSession.read.parquet(staged).count() != manifest.rows:
+            raise RuntimeError("codes are missing")
+        store = Store(vectors.sparkSession)
+        pq.write_books(books, vectors.sparkSession, f"{path}/books")
+        store.delete(f"{path}/codes")
+        store.rename(staged, f"{path}/codes")
+
+    def search(self, index: Searcher, queries: DataFrame, k: int, recompute: bool, complexity: int = 64, strategy: str = "global", **options: Any) -> DataFrame:
+        m = index.manifest
+        if strategy == "proportional":
+            raise NotImplementedError("the disk backend has no proportional pruning")
+        if options.pop("prune_ratio", 0.0) or options.pop("beam_width", 1) != 1:
+            raise ValueError("the disk backend scores all codes: it takes complexity only")
+        books = pq.read_books(index.spark, f"{index.folder}/books")
+        near = pq.shortlist(index.spark.read.parquet(f"{index.folder}/codes"), books, queries, max(complexity, k), m.metric, m.rows)
+        if recompute:
+            wanted = index.passages.select(F.col("pos").alias("id"), "text").join(near.select("id").distinct(), "id", "left_semi")
+            data = embed.embed(wanted, model=m.embedding_model, mode=m.embedding_mode).drop("text")
+        else:
+            data = index.embeddings()
+        return knn.rerank(near, data, queries, k, m.metric)
 
 
 @register_backend("flat")
-class FlatBackend:
+class FlatBackend(Backend):
     """Exact search; nothing to build."""
 
-    def build(self, vectors: DataFrame, manifest: Manifest) -> DataFrame | None:
+    def build(self, vectors: DataFrame, manifest: Manifest, path: str, passages: DataFrame) -> None:
         return None
 
     def search(self, index: Searcher, queries: DataFrame, k: int, recompute: bool, **options: Any) -> DataFrame:
@@ -68,9 +157,7 @@ class Builder:
     """Collects documents, then writes an index."""
 
     def __init__(self, spark: SparkSession, backend: str = "graph", embedding_model: str = "64", embedding_mode: str = "hash", **options: Any):
-        if backend not in BACKENDS:
-            raise ValueError(f"unknown backend {backend!r}; known: {', '.join(BACKENDS)}")
-        if unknown := set(options) - OPTIONS:
+        if unknown := set(options) - OPTIONS - found_backend(backend).options:
             raise ValueError(f"unknown options: {', '.join(sorted(unknown))}")
         expected = default_metric(embedding_model, embedding_mode)
         chosen = options.pop("metric", expected)
@@ -133,9 +220,10 @@ class Builder:
         return self._finish(path, vectors, True)
 
     def _write_passages(self, rows: DataFrame, path: str, force: bool) -> DataFrame:
-        if Path(path, "manifest.json").exists() and not force:
+        store = Store(self.spark)
+        if store.exists(f"{path}/manifest.json") and not force:
             raise FileExistsError(f"{path} holds an index; force rebuilds it")
-        Path(path, "manifest.json").unlink(missing_ok=True)
+        store.delete(f"{path}/manifest.json")
         rows.write.mode("overwrite").parquet(f"{path}/passages")
         held = self.spark.read.parquet(f"{path}/passages")
         n = held.count()
@@ -150,12 +238,13 @@ class Builder:
         vectors.write.mode("overwrite").parquet(f"{path}/embeddings")
         stored = self.spark.read.parquet(f"{path}/embeddings")
         self.manifest = replace(self.manifest, dimensions=dimension(stored), built_from_precomputed_embeddings=precomputed)
-        built = BACKENDS[self.manifest.backend_name]().build(stored, self.manifest)
-        if built is not None:
-            built.write.mode("overwrite").parquet(f"{path}/graph")
-        if self.manifest.is_pruned:
-            shutil.rmtree(Path(path, "embeddings"))
-        self.manifest.write(path)
+        try:
+            found_backend(self.manifest.backend_name)().build(stored, self.manifest, path, self.spark.read.parquet(f"{path}/passages"))
+        finally:
+            # a pruned index keeps no vectors, whether its build succeeds or not
+            if self.manifest.is_pruned:
+                Store(self.spark).delete(f"{path}/embeddings")
+        self.manifest.write(path, self.spark)
         register_project(os.getcwd())
         return self.manifest
 
@@ -163,7 +252,7 @@ class Builder:
 class Searcher:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.folder = spark, path
-        self.manifest = Manifest.read(path)
+        self.manifest = Manifest.read(path, spark)
         self.passages = spark.read.parquet(*self.manifest.passages_at(path))
 
     def embeddings(self) -> DataFrame:
@@ -180,8 +269,8 @@ class Searcher:
         texts = [texts] if isinstance(texts, str) else texts
         k = min(top_k, self.manifest.rows)
         recompute = self.manifest.is_recompute if recompute is None else recompute
-        options = {"complexity": complexity, "beam_width": beam_width, "prune_ratio": prune_ratio, "strategy": pruning_strategy} if self.manifest.backend_name == "graph" else {}
-        hits = BACKENDS[self.manifest.backend_name]().search(self, self.embed_queries(texts), k, recompute, **options)
+        options = {} if self.manifest.backend_name == "flat" else {"complexity": complexity, "beam_width": beam_width, "prune_ratio": prune_ratio, "strategy": pruning_strategy}
+        hits = found_backend(self.manifest.backend_name)().search(self, self.embed_queries(texts), k, recompute, **options)
         found = hits.select("qid", "rank", F.col("id").alias("pos"), "score").join(self.passages, "pos").select("qid", "rank", "id", "score", "text", "metadata")
         return apply_filters(found, filters).orderBy("qid", "rank")
 

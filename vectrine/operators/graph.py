@@ -1,6 +1,7 @@
 """A proximity graph in memory-sized shards, searched best-first; vectors can be recomputed for the visited nodes only.
 
-Build: nearest candidates of each node, pruned so that no neighbour is closer to a kept one than to the node (robust pruning, factor
+Vectors near one another share a shard: cells around centres that are trained on a bounded sample, large cells in several shards.  A query goes to the
+shards whose means are nearest to it.  Build: nearest candidates of each node, pruned so that no neighbour is closer to a kept one than to the node (robust pruning, factor
 ``alpha``), with reverse edges; hubs keep up to twice the degree.  Equal vectors of a shard are one node of its graph, so that copies
 can't fill one another's candidates.  Search: a beam over each shard, hits with their copies, then one global top-k.
 """
@@ -12,17 +13,43 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrine.functions.vector import METRICS, metric, unit
 from vectrine.operators.embed import EMBEDDERS
-from vectrine.operators.knn import as_matrix, ranked
+from vectrine.operators.knn import as_matrix, exact_top_k, ranked
+from vectrine.operators.pq import decode, k_means
 
 ROWS_PER_SHARD = 4_096
 QUERIES_PER_BLOCK = 512
 HUB_SHARE = 0.02
 STRATEGIES = ("global", "local", "proportional")
+CELLS, SAMPLE_ROWS = 1_024, 16_384
+BROADCAST_SHARDS = 100_000
+GRAPH = "shard int, node long, level int, neighbors array<long>, centre array<float>"
+
+
+def _connect(x: np.ndarray, neighbours: list[list[int]], entry: int) -> None:
+    """Make every node reachable: where a search can't come, the nearest pair across is joined both ways, and the entry leads there at once."""
+    reached = np.zeros(len(x), bool)
+    waiting = [entry] if len(x) else []
+    while waiting:
+        reached[waiting] = True
+        while waiting:
+            for w in neighbours[waiting.pop()]:
+                if not reached[w]:
+                    reached[w] = True
+                    waiting.append(w)
+        left = np.flatnonzero(~reached)
+        if len(left):
+            node = int(left[((x[left] - x[entry]) ** 2).sum(axis=1).argmin()])
+            inside = np.flatnonzero(reached)
+            near = int(inside[((x[inside] - x[node]) ** 2).sum(axis=1).argmin()])
+            for v in {near, entry}:
+                neighbours[v] = [*neighbours[v], node]
+            neighbours[node] = list(dict.fromkeys([near, *neighbours[node]]))
+            waiting = [node]
 
 
 def _build(name: str, degree: int, candidates: int, alpha: float, table: pa.Table) -> pa.Table:
@@ -33,6 +60,7 @@ def _build(name: str, degree: int, candidates: int, alpha: float, table: pa.Tabl
         x = unit(x)
     # the graph is that of distinct vectors; each stands under the smallest of its ids
     every_id = ids
+    mean = x.mean(axis=0) if len(x) else None
     _, first, group = np.unique(x + 0.0, axis=0, return_index=True, return_inverse=True) if len(x) else (x, np.zeros(0, int), np.zeros(0, int))
     owner = first[group.reshape(-1)]
     first = np.sort(first)
@@ -75,37 +103,84 @@ def _build(name: str, degree: int, candidates: int, alpha: float, table: pa.Tabl
             forward = out[node][: limit // 2]
             rest = [every[i] for i in np.argsort(d, kind="stable") if every[i] not in set(forward)]
             every = forward + rest[: limit - len(forward)]
-        neighbours.append(ids[every].tolist())
+        neighbours.append(every)
     centre = int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1))) if n else -1
+    _connect(x, neighbours, centre)
+    neighbours = [ids[every].tolist() for every in neighbours]
     levels = [1 if i == centre else 0 for i in range(n)]
     copies = np.flatnonzero(owner != np.arange(len(owner)))
     of = np.searchsorted(first, owner[copies])
     neighbours += [[int(ids[i]), *neighbours[i]] for i in of]
     nodes = np.concatenate([ids, every_id[copies]])
-    return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(nodes), pa.int32()), "node": pa.array(nodes, pa.int64()), "level": pa.array(levels + [-1] * len(copies), pa.int32()), "neighbors": pa.array(neighbours, pa.list_(pa.int64()))})
+    centres = [mean.tolist() if level == 1 else None for level in levels] + [None] * len(copies)
+    return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(nodes), pa.int32()), "node": pa.array(nodes, pa.int64()), "level": pa.array(levels + [-1] * len(copies), pa.int32()), "neighbors": pa.array(neighbours, pa.list_(pa.int64())), "centre": pa.array(centres, pa.list_(pa.float32()))})
 
 
 def shard_count(rows: int) -> int:
     return max(1, -(-rows // ROWS_PER_SHARD))
 
 
-def build(vectors: DataFrame, metric_name: str = "mips", degree: int = 32, candidates: int = 200, alpha: float = 1.2, rows: int | None = None) -> DataFrame:
-    """(shard, node, level, neighbors) of ``vectors`` (id, embedding); level 1 marks the entry point of a shard.
+def shard_bound(rows: int) -> int:
+    """No graph of so many rows has more shards: each cell's last one may be partly filled."""
+    shards = shard_count(rows)
+    return shards if shards == 1 else shards + min(CELLS, shards)
+
+
+def placed(vectors: DataFrame, name: str, shards: int, rows: int, sample: DataFrame | None) -> DataFrame:
+    """``vectors`` (id, embedding) with their shard; of one shard nothing is trained."""
+    if shards == 1:
+        return vectors.withColumn("shard", F.lit(0))
+    drawn = F.xxhash64(F.lit(17), "id")
+    some = (vectors if sample is None else sample).where(F.pmod(drawn, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * SAMPLE_ROWS / rows)))
+    x = as_matrix(some.select("id", "embedding").orderBy(drawn, "id").limit(SAMPLE_ROWS).select(F.col("embedding").cast("array<float>").alias("e")).toArrow()["e"].combine_chunks())
+    x = unit(x) if name == "cosine" else x
+    centres = k_means(x, min(CELLS, shards))
+    squares = (centres**2).sum(axis=1)
+    # the sample tells how large the cells are, and so how many shards each takes
+    share = (np.bincount((squares - 2 * x @ centres.T).argmin(axis=1), minlength=len(centres)) + 1) / (len(x) + len(centres))
+    parts = np.maximum(1, np.ceil(share * rows / ROWS_PER_SHARD)).astype(np.int64)
+    first = np.cumsum(parts) - parts
 
-    Level -1 marks a copy: its first neighbour is the node that holds the same vector, the others are that node's.
+    def run(batches):
+        for batch in batches:
+            y = as_matrix(batch.column(1)) if len(batch) else np.zeros((0, centres.shape[1]))
+            cell = (squares - 2 * (unit(y) if name == "cosine" else y) @ centres.T).argmin(axis=1)
+            mixed = (batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            shard = first[cell] + mixed.astype(np.int64) % parts[cell]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard.astype(np.int32))], ["id", "embedding", "shard"])
+
+    return vectors.mapInArrow(run, "id long, embedding array<float>, shard int")
+
+
+def build(vectors: DataFrame, metric_name: str = "mips", degree: int = 32, candidates: int = 200, alpha: float = 1.2, rows: int | None = None, sample: DataFrame | None = None) -> DataFrame:
+    """(shard, node, level, neighbors, centre) of ``vectors`` (id, embedding); level 1 marks the entry point of a shard, which holds the shard's mean.
+
+    Level -1 marks a copy: its first neighbour is the node that holds the same vector, the others are that node's.  sample: vectors to train the
+    cells on, where ``vectors`` would be computed twice; at most 16,384 of them are used.
     """
     name = metric(metric_name).name
-    shards = shard_count(vectors.count() if rows is None else rows)
-    placed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = vectors.count() if rows is None else rows
+    held = placed(vectors.select("id", F.col("embedding").cast("array<float>").alias("embedding")), name, shard_count(rows), rows, sample)
 
     def run(table):
         return _build(name, degree, candidates, alpha, table)
 
-    return placed.groupBy("shard").applyInArrow(run, "shard int, node long, level int, neighbors array<long>")
+    return held.groupBy("shard").applyInArrow(run, GRAPH)
+
 
+def layout(graph: DataFrame, data: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """The graph beside each node's vector or text (and codes), in order of shards: what a search reads, without a join."""
+    held = graph.join(data.select(F.col("id").alias("node"), *(c for c in data.columns if c in ("embedding", "text"))), "node")
+    if codes is not None:
+        held = held.join(codes.select(F.col("id").alias("node"), "codes"), "node")
+    return held.repartitionByRange("shard").sortWithinPartitions("shard", "node")
 
-def beam(entry: int, neighbours: Callable[[int], list[int]], score: Callable[[list[int]], np.ndarray], complexity: int, beam_width: int = 1, drop: Callable[[list[int]], list[int]] | None = None, stop_early: bool = True) -> tuple[dict[int, float], int]:
-    """Scores of the ``complexity`` best nodes found, and how many nodes were scored."""
+
+def beam(entry: int, neighbours: Callable[[int], list[int]], score: Callable[[list[int]], np.ndarray], complexity: int, beam_width: int = 1, choose: Callable[[list[list[int]]], list[int]] | None = None, stop_early: bool = True) -> tuple[dict[int, float], int]:
+    """Scores of the ``complexity`` best nodes found, and how many nodes were scored.
+
+    choose: which of the nodes first seen in a step (by expanded node) are scored.
+    """
     first = float(score([entry])[0])
     # best first, and worst first; ties go to smaller nodes
     waiting, top = [(-first, entry)], [(first, -entry)]
@@ -114,10 +189,11 @@ def beam(entry: int, neighbours: Callable[[int], list[int]], score: Callable[[li
         if stop_early and len(top) >= complexity and -waiting[0][0] < top[0][0]:
             break
         step = [heapq.heappop(waiting)[1] for _ in range(min(beam_width, len(waiting)))]
-        new = sorted({w for v in step for w in neighbours(v)} - passed)
-        passed.update(new)
-        if drop is not None and new:
-            new = drop(new)
+        fresh = []
+        for v in step:
+            fresh.append(sorted(set(neighbours(v)) - passed))
+            passed.update(fresh[-1])
+        new = sorted(w for own in fresh for w in own) if choose is None else choose(fresh)
         if not new:
             continue
         scored += len(new)
@@ -131,7 +207,30 @@ def beam(entry: int, neighbours: Callable[[int], list[int]], score: Callable[[li
     return {-v: s for s, v in top}, scored
 
 
-def _search(name: str, k: int, complexity: int, beam_width: int, mode: tuple[str, str] | None, prune_ratio: float, stop_early: bool, graph: pa.Table, queries: pa.Table) -> pa.Table:
+def chooser(strategy: str, ratio: float, near: Callable[[list[int]], np.ndarray]) -> Callable[[list[list[int]]], list[int]]:
+    """Drops the share ``ratio`` of new nodes that codes place farthest: of each expanded node's (local), of the step's (proportional), or
+    of all that wait in one queue (global; those that stay in it can still be taken in later steps)."""
+    queue: list[tuple[float, int]] = []
+
+    def best(nodes: list[int]) -> list[int]:
+        order = np.argsort(-near(nodes), kind="stable") if nodes else []
+        return [nodes[i] for i in order[: max(1, round(len(nodes) * (1 - ratio)))]]
+
+    def choose(fresh: list[list[int]]) -> list[int]:
+        every = sorted(w for own in fresh for w in own)
+        if strategy == "local":
+            return sorted(w for own in fresh for w in best(own))
+        if strategy == "proportional":
+            return sorted(best(every))
+        for w, s in zip(every, near(every).tolist() if every else []):
+            heapq.heappush(queue, (-s, w))
+        wanted = max(1, round(len(every) * (1 - ratio))) if every else 0
+        return sorted(heapq.heappop(queue)[1] for _ in range(min(wanted, len(queue))))
+
+    return choose
+
+
+def _search(name: str, k: int, complexity: int, beam_width: int, mode: tuple[str, str] | None, prune_ratio: float, strategy: str, books: list[np.ndarray] | None, stop_early: bool, graph: pa.Table, queries: pa.Table) -> pa.Table:
     measure = METRICS[name]
     nodes = graph["node"].to_numpy()
     place = {int(v): i for i, v in enumerate(nodes)}
@@ -154,6 +253,7 @@ def _search(name: str, k: int, complexity: int, beam_width: int, mode: tuple[str
         entry = held[edges[place[entry]][0]] if levels[place[entry]] < 0 else held[entry]
         stored = None if mode else as_matrix(graph["embedding"].combine_chunks())
         texts = graph["text"] if mode else None
+        coded = decode(books, as_matrix(graph["codes"].combine_chunks())) if prune_ratio > 0 else None
         # a node is embedded when a query of this task first visits it
         cache: dict[int, np.ndarray] = {}
         for qid, q in zip(queries["qid"].to_pylist(), as_matrix(queries["embedding"].combine_chunks())):
@@ -169,44 +269,99 @@ def _search(name: str, k: int, complexity: int, beam_width: int, mode: tuple[str
             def score(wanted: list[int]) -> np.ndarray:
                 return measure.scores(q[None, :], vectors(wanted))[0]
 
-            def drop(new: list[int]) -> list[int]:
-                # without codes to order them by, the share that is dropped has the largest ids' hashes
-                return sorted(new, key=lambda v: (v * 0x9E3779B1) & 0xFFFFFFFF)[: max(1, round(len(new) * (1 - prune_ratio)))]
+            def by_codes(wanted: list[int]) -> np.ndarray:
+                return measure.scores(q[None, :], coded[[place[v] for v in wanted]])[0]
 
-            top, scored = beam(entry, near, score, max(complexity, k), beam_width, drop if prune_ratio > 0 else None, stop_early)
+            choose = chooser(strategy, prune_ratio, by_codes) if prune_ratio > 0 else None
+            top, scored = beam(entry, near, score, max(complexity, k), beam_width, choose, stop_early)
             # ties go to smaller ids by the score that is returned
             best = sorted(((w, round(s, 6) + 0.0) for v, s in top.items() for w in copies[v]), key=lambda p: (-p[1], p[0]))[:k]
             rows += [(qid, v, s, scored) for v, s in best]
     return pa.table({"qid": pa.array([r[0] for r in rows], pa.int64()), "id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64()), "visited": pa.array([r[3] for r in rows], pa.int64())})
 
 
-def search(graph: DataFrame, data: DataFrame, queries: DataFrame, k: int = 5, metric_name: str = "mips", complexity: int = 64, beam_width: int = 1, recompute: tuple[str, str] | None = None, is_pruned: bool = False, prune_ratio: float = 0.0, strategy: str = "global", stop_early: bool = True, query_rows: int | None = None, rows: int | None = None) -> DataFrame:
+def routes(graph: DataFrame, queries: DataFrame, probes: int, metric_name: str, shards: int, query_rows: int) -> DataFrame:
+    """(qid, shard): the ``probes`` shards whose means score best with each query."""
+    means = graph.where("level = 1").select(F.col("shard").cast("long").alias("id"), F.col("centre").alias("embedding"))
+    near = exact_top_k(means, queries, probes, metric_name, shards, query_rows)
+    return near.select("qid", F.col("id").cast("int").alias("shard"))
+
+
+def search(
+    graph: DataFrame, data: DataFrame | None, queries: DataFrame, k: int = 5, metric_name: str = "mips", complexity: int = 64, beam_width: int = 1, recompute: tuple[str, str] | None = None, is_pruned: bool = False,
+    prune_ratio: float = 0.0, strategy: str = "global", stop_early: bool = True, query_rows: int | None = None, rows: int | None = None, probes: int | None = None, books: list[np.ndarray] | None = None,
+) -> DataFrame:
     """(qid, id, score, visited, rank): visited is how many nodes of the shard were scored for the query.
 
-    data: (id, embedding), or (id, text) when vectors are recomputed with ``recompute`` = (mode, model).  rows and query_rows: how many
-    nodes and queries there are, where that is known; a graph that isn't written yet would be built once more to count them.
+    data: (id, embedding), or (id, text) when vectors are recomputed with ``recompute`` = (mode, model); None if ``graph`` is a stored layout that holds
+    them.  rows and query_rows: how many nodes and queries there are, where that is known; a graph that isn't written yet would be built once more
+    to count them.  probes: in how many shards each query is searched; by default in 8, or twice the root of their number if that is more.
+    prune_ratio drops a share of the neighbours by their codes (``strategy``), so it needs codes in the layout and ``books``.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown pruning strategy {strategy!r}; known: {', '.join(STRATEGIES)}")
     if recompute is None and is_pruned:
         raise RuntimeError("a pruned index has no vectors: search it with recomputation")
+    if prune_ratio > 0 and (books is None or "codes" not in graph.columns):
+        raise ValueError("prune_ratio needs the codes of an index that was built with them")
     payload = "text" if recompute else "embedding"
-    blocks = max(1, -(-(queries.count() if query_rows is None else query_rows) // QUERIES_PER_BLOCK))
-    held = graph.join(data.select(F.col("id").alias("node"), payload), "node")
-    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    last = graph.agg(F.max("shard")).first()[0] if rows is None else shard_count(rows) - 1
-    asked = queries.select("qid", F.col("embedding").cast("array<float>").alias("embedding"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")))
+    if data is not None:
+        graph = graph.join(data.select(F.col("id").alias("node"), payload), "node")
+    held = graph.select("shard", "node", "level", "neighbors", payload, *(["codes"] if prune_ratio > 0 else []))
     name = metric(metric_name).name
+    n_queries = queries.count() if query_rows is None else query_rows
+    last = graph.agg(F.max("shard")).first()[0] if rows is None else shard_bound(rows) - 1
+    shards = (last if last is not None else -1) + 1
+    probes = max(8, int(2 * shards**0.5)) if probes is None else probes
+    asked = queries.select("qid", F.col("embedding").cast("array<float>").alias("embedding"))
+    if shards <= probes:
+        blocks = max(1, -(-n_queries // QUERIES_PER_BLOCK))
+        held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+        asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")))
+    else:
+        routed = routes(graph, asked, probes, name, shards, n_queries)
+        # a row for each shard that is asked: how many blocks its queries take
+        busy = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_BLOCK).cast("int").alias("blocks"))
+        held = held.join(F.broadcast(busy) if shards <= BROADCAST_SHARDS else busy, "shard").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
+        asked = asked.join(routed, "qid").join(F.broadcast(busy) if shards <= BROADCAST_SHARDS else busy, "shard").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).drop("blocks")
 
     def run(nodes, asking):
-        return _search(name, k, complexity, beam_width, recompute, prune_ratio, stop_early, nodes, asking)
+        return _search(name, k, complexity, beam_width, recompute, prune_ratio, strategy, books, stop_early, nodes, asking)
 
     found = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(run, "qid long, id long, score double, visited long")
     return ranked(found.withColumn("score", F.round("score", 6)), k)
 
 
 def compact(graph: DataFrame) -> DataFrame:
-    """Adjacency without padding (negative neighbours), with the running count of neighbours in order of node as pointer."""
-    kept = graph.select("shard", "node", "level", F.filter("neighbors", lambda n: n >= 0).alias("neighbors"))
-    return kept.withColumn("degree", F.size("neighbors").cast("long"))
+    """(shard, node, level, degree, pointer, neighbors): adjacency without padding (negative neighbours); pointer is where a node's neighbours begin
+    in its shard's list, in order of node."""
+    kept = graph.select("shard", "node", "level", F.filter("neighbors", lambda n: n >= 0).alias("neighbors")).withColumn("degree", F.size("neighbors").cast("long"))
+    # a shard holds a bounded number of nodes
+    before = Window.partitionBy("shard").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    return kept.select("shard", "node", "level", "degree", F.coalesce(F.sum("degree").over(before), F.lit(0)).alias("pointer"), "neighbors")
+
+
+def check_compact(rows: DataFrame) -> dict[str, int]:
+    """Counts of what is wrong with a compact graph: pointers that don't follow one another, neighbours that are padding, not in the
+    shard, or the node itself, repeated nodes, and shards without exactly one entry point."""
+    order = Window.partitionBy("shard").orderBy("node")
+    follows = F.lead("pointer").over(order)
+    placed = rows.withColumn("_next", follows).withColumn("_first", F.row_number().over(order) == 1)
+    wrong = placed.agg(
+        F.count_if((F.col("_next") != F.col("pointer") + F.col("degree")) | (F.col("_first") & (F.col("pointer") != 0))).alias("pointers"),
+        F.count_if(F.exists("neighbors", lambda n: n < 0) | (F.size("neighbors") != F.col("degree"))).alias("padding"),
+        F.count_if(F.array_contains("neighbors", F.col("node"))).alias("loops"),
+    ).first()
+    edges = rows.select("shard", F.explode("neighbors").alias("node"))
+    foreign = edges.join(rows.select("shard", "node"), ["shard", "node"], "left_anti").count()
+    repeated = rows.groupBy("shard", "node").count().where("count > 1").count()
+    entries = rows.groupBy("shard").agg(F.count_if(F.col("level") == 1).alias("n")).where("n != 1").count()
+    return {**wrong.asDict(), "foreign": foreign, "repeated": repeated, "entries": entries}
+
+
+def partitions(graph: DataFrame) -> DataFrame:
+    """(shard, nodes, edges, inside) of each shard: its nodes, its edges, and the share of them that stay in it."""
+    own = graph.groupBy("shard").agg(F.count(F.lit(1)).alias("nodes"))
+    edges = graph.select("shard", F.explode("neighbors").alias("node")).join(graph.select(F.col("shard").alias("other"), "node"), "node", "left")
+    return own.join(edges.groupBy("shard").agg(F.count(F.lit(1)).alias("edges"), F.avg((F.col("other") == F.col("shard")).cast("double")).alias("inside")), "shard", "left")

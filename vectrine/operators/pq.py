@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrine.functions.vector import metric, unit
@@ -113,3 +113,32 @@ def search(vectors: DataFrame, codes: DataFrame, books: list[np.ndarray], querie
     asked = queries.select("qid", "embedding").join(least, "qid", "left").fillna(float("-inf"), "least")
     possible = candidates(codes, books, asked, metric_name, n, q)
     return exact_top_k(vectors.select("id", "embedding").join(possible, "id", "left_semi"), queries, k, metric_name, n, q)
+
+
+def write_books(books: list[np.ndarray], spark: SparkSession, path: str) -> None:
+    """Codebooks as rows (part, code, centre); there are at most parts times codes of them."""
+    rows = [(p, c, [float(v) for v in centre]) for p, book in enumerate(books) for c, centre in enumerate(book)]
+    spark.createDataFrame(rows, "part int, code int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_books(spark: SparkSession, path: str) -> list[np.ndarray]:
+    rows = spark.read.parquet(path).orderBy("part", "code").collect()
+    parts = sorted({r["part"] for r in rows})
+    return [np.array([r["centre"] for r in rows if r["part"] == p]) for p in parts]
+
+
+def shortlist(codes: DataFrame, books: list[np.ndarray], queries: DataFrame, complexity: int, metric_name: str, rows: int, query_rows: int | None = None) -> DataFrame:
+    """(qid, id) of the ``complexity`` vectors that score best by their codes; vectors or texts are fetched for these only."""
+    return exact_top_k(codes.select("id", F.col("codes").alias("embedding")), queries, complexity, metric_name, rows, query_rows, partial(decode, books)).select("qid", "id")
+
+
+def code_parts(dimensions: int, memory_gb: float | None, rows: int) -> int:
+    """Bytes of a code: as many as let ``rows`` codes fit into the memory that a search may take, 1 to ``dimensions``; a quarter of them by default."""
+    if memory_gb is None:
+        return max(1, dimensions // 4)
+    return int(min(dimensions, max(1, memory_gb * 2**30 // max(1, rows))))
+
+
+def memory_budget(index_bytes: int, available_gb: float, total_gb: float) -> tuple[float, float]:
+    """GB that a search and a build may take: a tenth of the index and at least 0.1; half of what is free, at most 3/4 of all, at least 2."""
+    return max(0.1, index_bytes / 2**30 / 10), max(2.0, min(0.5 * available_gb, 0.75 * total_gb))

@@ -160,23 +160,58 @@ def graph_search(spark, sf_dir):
     return graph.search(graph.build(data, rows=n), data, _asked(data), 10, rows=n)
 
 
+@query(_ranked("list_dot_product(q.e, v.e)", 10, _V))
+def graph_search_whole_beam(spark, sf_dir):
+    """A beam as wide as a shard, in every shard, is exact search along the graph's edges."""
+    data = _vectors(spark, sf_dir)
+    n = data.count()
+    built = graph.build(data, rows=n)
+    return graph.search(built, data, _asked(data), 10, rows=n, complexity=graph.ROWS_PER_SHARD, probes=graph.shard_bound(n), stop_early=False).select("qid", "id", "score", "rank")
+
+
 @query()
 def graph_search_recompute(spark, sf_dir):
     """Vectors aren't stored: texts of visited nodes are embedded during the search."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     n, asked = docs.count(), docs.where("id % 20 = 0")
-    built = graph.build(embed.embed(docs), "cosine", 16, 64, rows=n)
+    share = F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * graph.SAMPLE_ROWS / max(1, n)))
+    built = graph.build(embed.embed(docs), "cosine", 16, 64, rows=n, sample=embed.embed(docs.where(share)))
     queries = embed.embed(asked).select(F.col("id").alias("qid"), "embedding")
     return graph.search(built, docs, queries, 5, "cosine", complexity=32, recompute=("hash", "64"), is_pruned=True, rows=n, query_rows=asked.count())
 
 
-@query()
+@query(_ranked("list_dot_product(q.e, v.e)", 10, _V))
 def pq_search(spark, sf_dir):
     data = _vectors(spark, sf_dir)
     books = pq.train(data)
     return pq.search(data, pq.encode(data, books), books, _asked(data), 10)
 
 
+@query("SELECT m AS method, count(*) AS queries, true AS is_enough FROM embeddings, (VALUES ('graph'), ('codes')) t(m) WHERE vec_id % 20 = 0 GROUP BY m")
+def recall_of_indexes(spark, sf_dir):
+    """Whether the mean recall@10 over all queries, against exact search, reaches 0.95 for the graph and for a shortlist by codes."""
+    data = _vectors(spark, sf_dir)
+    n, asked = data.count(), _asked(data)
+    golden = knn.exact_top_k(data, asked, 10, data_rows=n)
+    books = pq.train(data)
+    near = pq.shortlist(pq.encode(data, books), books, asked, 256, "mips", n)
+    found = {"graph": graph.search(graph.build(data, rows=n), data, asked, 10, rows=n, complexity=128), "codes": knn.rerank(near, data, asked, 10)}
+    parts = [evaluate.recall_at_k(hits, golden).agg(F.lit(name).alias("method"), F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.95).alias("is_enough")) for name, hits in found.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT vec_id AS node, true AS is_whole FROM embeddings")
+def csr_check(spark, sf_dir):
+    """Every node of the compact graph: its neighbours begin where those of the node before end, none is padding, itself or foreign."""
+    data = _vectors(spark, sf_dir)
+    rows = graph.compact(graph.build(data, "l2", 16, 64, rows=data.count()))
+    order = Window.partitionBy("shard").orderBy("node")
+    before = F.lag(F.col("pointer") + F.col("degree"), 1, 0).over(order)
+    known = rows.groupBy("shard").agg(F.collect_set("node").alias("_known"))
+    fine = (before == F.col("pointer")) & (F.size("neighbors") == F.col("degree")) & ~F.array_contains("neighbors", F.col("node")) & F.forall("neighbors", lambda w: w >= 0)
+    return rows.withColumn("_fine", fine).join(known, "shard").select("node", (F.col("_fine") & (F.size(F.array_except("neighbors", "_known")) == 0)).alias("is_whole"))
+
+
 # Metadata filters.
 
 
