@@ -2,7 +2,7 @@
 
 import pytest
 
-from vectrine.plans import catalog
+from vectrine.plans import catalog, sources  # noqa: F401  (sources registers its queries)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))

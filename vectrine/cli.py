@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -27,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("--docs", nargs="+", default=["."])
     build.add_argument("--file-types")
     build.add_argument("--include-hidden", action="store_true")
-    build.add_argument("--backend", default="graph", choices=sorted(index.BACKENDS))
+    build.add_argument("--backend", default="graph", choices=index.discover())
     build.add_argument("--embedding-mode", default="hash")
     build.add_argument("--embedding-model", default="64")
     build.add_argument("--chunk-size", type=int, default=256)
@@ -37,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("search", "ask"):
         step = steps.add_parser(name)
         step.add_argument("name")
-        step.add_argument("text")
+        step.add_argument("text", nargs="?" if name == "ask" else None)
         step.add_argument("--top-k", type=int, default=5)
         step.add_argument("--complexity", type=int, default=64)
         if name == "ask":
@@ -89,8 +90,13 @@ def main(arguments: list[str] | None = None) -> int:
         for row in index.Searcher(spark, path).search(a.text, a.top_k, a.complexity).collect():
             print(line(row))
         return 0
-    answer = index.Chat(spark, path, {"type": a.llm, "model": a.model}).ask(a.text, a.top_k, {"thinking_budget": a.thinking_budget} if a.thinking_budget else None, complexity=a.complexity)
-    print(answer)
+    chat = index.Chat(spark, path, {"type": a.llm, "model": a.model})
+    options = {"top_k": a.top_k, "llm_options": {"thinking_budget": a.thinking_budget} if a.thinking_budget else None, "complexity": a.complexity}
+    if a.text is None:
+        # a question a line, until quit
+        chat.loop(sys.stdin, **options)
+    else:
+        print(chat.ask(a.text, **options))
     return 0
 
 

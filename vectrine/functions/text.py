@@ -33,6 +33,10 @@ def mail_document(file: Column, sender: Column, to: Column, subject: Column, dat
     return F.concat(head, F.lit("\n[EMAIL BODY Start]:\n"), F.coalesce(body, F.lit("")))
 
 
+def mailbox_document(sender: Column, to: Column, subject: Column, date: Column, body: Column) -> Column:
+    return F.concat(fields(("From", sender), ("To", to), ("Subject", subject), ("Date", date)), F.lit("\n[EMAIL BODY Start]:\n"), F.coalesce(body, F.lit("")))
+
+
 def chrome_time(micros: Column) -> Column:
     """A browser's microseconds since 1601 as a timestamp."""
     return F.timestamp_micros(micros - F.lit(11_644_473_600_000_000))
@@ -82,6 +86,17 @@ def mail_parts(raw: bytes, include_html: bool = False) -> dict[str, str]:
 _CODECS = {"utf-8", "us-ascii", "ascii", "iso-8859-1", "latin-1", "windows-1252", "cp1252", "iso-8859-15", "gbk", "gb2312", "big5", "shift_jis", "euc-jp", "euc-kr", "koi8-r", "utf-16"}
 
 
+def checked_model(name: str, known: list[str]) -> str:
+    """``name`` if it is known, or the one known model that differs by case or by a missing tag; else an error that suggests others."""
+    if name in known:
+        return name
+    same = [m for m in known if m.lower() == name.lower() or m.lower().split(":")[0] == name.lower()]
+    if len(same) == 1:
+        return same[0]
+    likely = suggest(name, known)
+    raise ValueError(f"unknown model {name!r}" + (f"; did you mean {', '.join(likely)}?" if likely else ""))
+
+
 def suggest(name: str, known: list[str], limit: int = 8) -> list[str]:
     """Likely meanings of a misspelt name: the same but for case, then prefixes, parts, the same family, and close spellings."""
     low, found = name.lower(), []

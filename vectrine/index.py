@@ -13,6 +13,7 @@ import pkgutil
 import shutil
 import warnings
 from abc import ABC, abstractmethod
+from collections.abc import Callable, Iterable
 from dataclasses import replace
 from pathlib import Path
 from typing import Any
@@ -249,6 +250,11 @@ class Builder:
         return self.manifest
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a finished index is there."""
+    return Store(spark).exists(f"{path}/manifest.json")
+
+
 class Searcher:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.folder = spark, path
@@ -289,6 +295,18 @@ class Chat:
         return self.llm.ask(prompt, **(llm_options or {}))
 
 
+    def loop(self, lines: Iterable[str], say: Callable[[str], None] = print, **options: Any) -> int:
+        """Answer line after line until one says quit, exit or q; blank ones are passed over.  How many were answered."""
+        n = 0
+        for text in map(str.strip, lines):
+            if text.lower() in ("quit", "exit", "q"):
+                break
+            if text:
+                say(self.ask(text, **options))
+                n += 1
+        return n
+
+
 def registry_file() -> Path:
     return Path(os.environ.get("VECTRINE_HOME", Path.home() / ".vectrine")) / "projects.json"
 

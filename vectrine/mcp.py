@@ -11,13 +11,13 @@ from typing import Any
 from vectrine import __version__, cli
 
 TOOLS = [
-    {"name": "search", "description": "Find passages of an index that are close to a text.", "inputSchema": {"type": "object", "properties": {"index": {"type": "string"}, "text": {"type": "string"}, "top_k": {"type": "integer", "default": 5}}, "required": ["index", "text"]}},
+    {"name": "search", "description": "Find passages of an index that are close to a text.", "inputSchema": {"type": "object", "properties": {"index": {"type": "string"}, "text": {"type": "string"}, "top_k": {"type": "integer", "default": 5}, "complexity": {"type": "integer", "default": 64}}, "required": ["index", "text"]}},
     {"name": "list", "description": "Name the indexes there are.", "inputSchema": {"type": "object", "properties": {}}},
 ]
 
 
 def call(name: str, given: dict[str, Any]) -> str:
-    arguments = {"list": lambda: ["list"], "search": lambda: ["search", given["index"], given["text"], "--top-k", str(given.get("top_k", 5))]}
+    arguments = {"list": lambda: ["list"], "search": lambda: ["search", given["index"], given["text"], "--top-k", str(given.get("top_k", 5)), "--complexity", str(given.get("complexity", 64))]}
     if name not in arguments:
         raise ValueError(f"unknown tool {name!r}")
     with contextlib.redirect_stdout(io.StringIO()) as out:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectrine.functions.text import checked_model
 from vectrine.functions.vector import unit
 
 _GAP = re.compile(r"[ \t\n\r\f\v]+")
@@ -53,10 +54,38 @@ def hash_embed(texts: list[str], dimensions: int = 64) -> np.ndarray:
     return unit(out).astype(np.float32)
 
 
-def _transformers(texts: list[str], model: str, batch_size: int = 32) -> np.ndarray:
+#: Texts a batch by device.
+DEVICE_BATCH = {"cuda": 256, "mps": 128, "cpu": 32}
+
+
+def device() -> str:
+    """The best device that an installed torch can use."""
+    try:
+        import torch  # optional
+    except ImportError:
+        return "cpu"
+    if torch.cuda.is_available():
+        return "cuda"
+    return "mps" if getattr(torch.backends, "mps", None) is not None and torch.backends.mps.is_available() else "cpu"
+
+
+def _transformers(texts: list[str], model: str, batch_size: int | None = None) -> np.ndarray:
     from sentence_transformers import SentenceTransformer  # optional
 
-    return _model(SentenceTransformer, model).encode(texts, batch_size=batch_size, convert_to_numpy=True, show_progress_bar=False).astype(np.float32)
+    where = device()
+    held = _model(SentenceTransformer, model)
+    if where != "cpu" and hasattr(held, "half"):
+        held = held.half()
+    return held.encode(texts, batch_size=batch_size or DEVICE_BATCH[where], convert_to_numpy=True, show_progress_bar=False).astype(np.float32)
+
+
+def by_tokens(texts: list[str], tokenise: Callable[[list[str], int], tuple[np.ndarray, np.ndarray]], forward: Callable[[np.ndarray, np.ndarray], np.ndarray], max_length: int = 512, batch_size: int = 32) -> np.ndarray:
+    """Masked means of token vectors: ``tokenise(texts, max_length)`` gives ids and mask, ``forward(ids, mask)`` the vectors of all tokens."""
+    out = []
+    for low in range(0, len(texts), batch_size):
+        ids, mask = tokenise(texts[low : low + batch_size], max_length)
+        out.append(pooled(forward(ids, mask), mask))
+    return np.concatenate(out).astype(np.float32) if out else np.zeros((0, 0), np.float32)
 
 
 @lru_cache(maxsize=4)
@@ -85,22 +114,35 @@ def _openai(texts: list[str], model: str) -> np.ndarray:
     return np.array([d.embedding for at in range(0, len(texts), step) for d in client.embeddings.create(model=model, input=texts[at : at + step]).data], np.float32)
 
 
+def _ask_ollama(url: str, body: dict | None = None, tries: int = 3) -> dict:
+    data = None if body is None else json.dumps(body).encode()
+    for attempt in range(tries):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, data, {"Content-Type": "application/json"}), timeout=60) as answer:
+                return json.load(answer)
+        except OSError:
+            if attempt == tries - 1:
+                raise
+    raise AssertionError
+
+
 def _ollama(texts: list[str], model: str, host: str | None = None, tries: int = 3) -> np.ndarray:
+    """Whole texts go to the service; a text that it fails to embed gets a zero vector, unless it fails on all."""
     host = host or os.environ.get("OLLAMA_HOST", "http://localhost:11434")
-    out = []
+    model = checked_model(model, [m["name"] for m in _ask_ollama(f"{host}/api/tags", tries=tries).get("models", [])])
+    out: list[list[float] | None] = []
     for text in texts:
-        body = json.dumps({"model": model, "prompt": text[:8000]}).encode()
-        for attempt in range(tries):
-            try:
-                with urllib.request.urlopen(urllib.request.Request(f"{host}/api/embeddings", body, {"Content-Type": "application/json"}), timeout=60) as answer:
-                    out.append(json.load(answer)["embedding"])
-                break
-            except OSError:
-                if attempt == tries - 1:
-                    raise
-    if len({len(v) for v in out}) > 1:
+        try:
+            out.append(_ask_ollama(f"{host}/api/embeddings", {"model": model, "prompt": text}, tries)["embedding"])
+        except (OSError, KeyError) as error:
+            out.append(None)
+            failed = error
+    sizes = {len(v) for v in out if v is not None}
+    if len(sizes) > 1:
         raise ValueError("the model returned vectors of several dimensions")
-    return unit(np.array(out, np.float64)).astype(np.float32)
+    if not sizes and out:
+        raise failed
+    return unit(np.array([[0.0] * next(iter(sizes)) if v is None else v for v in out], np.float64)).astype(np.float32)
 
 
 def _gemini(texts: list[str], model: str) -> np.ndarray:
@@ -160,3 +202,22 @@ def recomputed_distances(ids: DataFrame, passages: DataFrame, query: list[float]
     scored = embed(found, model=model, mode=mode).withColumn("_q", F.array(*(F.lit(float(x)) for x in query)))
     distance = F.when(F.col("embedding").isNull(), F.lit(MISSING_DISTANCE)).otherwise(metric(metric_name).distance("embedding", "_q"))
     return scored.select("id", distance.alias("distance"))
+
+
+def recomputed(ids: DataFrame, passages: DataFrame, dimensions: int, model: str = "64", mode: str = "hash") -> DataFrame:
+    """(id, embedding, is_found) of ``ids``: texts embedded on demand; an id without a passage, or with a blank one, gets zeros."""
+    found = ids.select("id").join(passages.select("id", "text"), "id", "left")
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), dimensions)
+    return embed(found, model=model, mode=mode).select("id", F.coalesce("embedding", zeros).alias("embedding"), F.col("embedding").isNotNull().alias("is_found"))
+
+
+def mean_pool(tokens: DataFrame, by: str, vector: str, mask: str | None = None) -> DataFrame:
+    """(by, at, value): the mean of each component over a group's token vectors, or over those that ``mask`` marks with 1.
+
+    A group whose mask is 0 throughout gets zeros.
+    """
+    weight = F.lit(1.0) if mask is None else F.col(mask).cast("double")
+    rows = tokens.select(by, weight.alias("_w"), F.posexplode(vector).alias("at", "_x"))
+    total = F.sum("_w")
+    mean = F.sum(F.col("_w") * F.col("_x").cast("double")) / F.greatest(total, F.lit(1e-9))
+    return rows.groupBy(by, F.col("at").cast("long").alias("at")).agg(mean.alias("value"))

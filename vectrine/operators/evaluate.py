@@ -15,14 +15,8 @@ def recall_at_k(found: DataFrame, golden: DataFrame, by: str = "qid", item: str
     return every.join(sizes, by, "left").join(shared, by, "left").select(by, F.coalesce(F.col("shared") / F.col("golden"), F.lit(0.0)).alias("recall"))
 
 
-def upper_median(values: str) -> Column:
-    """The middle value, the higher of two: item n // 2 of the sorted values, from 0."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
-
-
 def upper_median_of(df: DataFrame, by: str, value: str) -> DataFrame:
-    """As ``upper_median`` for each group, by ranks; no group is held in one row."""
+    """The middle value of each group, the higher of two, by ranks; no group is held in one row."""
     from pyspark.sql import Window
 
     counted = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
@@ -46,3 +40,16 @@ def speedup(df: DataFrame, by: str, config: str, seconds: str, base: str, other:
     """Mean time of one configuration over that of another."""
     wide = df.groupBy(by).pivot(config, [base, other]).agg(F.avg(seconds))
     return wide.select(by, (F.col(f"`{base}`") / F.col(f"`{other}`")).alias("speedup"))
+
+
+def memory(df: DataFrame, by: str, sample: str, order: str) -> DataFrame:
+    """Peak of samples of memory, and how far it lies above the first sample."""
+    first = F.min_by(sample, order)
+    return df.groupBy(by).agg(F.max(sample).alias("peak"), (F.max(sample) - first).alias("delta"))
+
+
+def memory_of_this_process() -> float:
+    """MB that this process holds at its peak, for samples around a step."""
+    import resource
+
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectrine.storage import written
+
 
 def budget_across_sources(rows: DataFrame, limit: int, source: str, order: str) -> DataFrame:
     """The first ``limit`` rows, sources in order, then rows in order (both orders in one sort, top rows per task first)."""
@@ -15,16 +17,22 @@ def newest(rows: DataFrame, time: str, limit: int, tie: str) -> DataFrame:
     return rows.orderBy(F.desc(time), tie).limit(limit)
 
 
-def prefix_sum(rows: DataFrame, order: str, value: str, width: int = 100_000) -> DataFrame:
-    """``rows`` with ``upto``, the sum of ``value`` before each row in ascending ``order`` (an integer).
+def prefix_sum(rows: DataFrame, order: str, value: str, tasks: int = 64) -> DataFrame:
+    """``rows`` with ``upto``, the sum of ``value`` before each row in ascending ``order``.
 
-    Ranges of ``width`` are summed first, so that only one row a range meets in one task.
+    Rows are split into ranges of the order, whatever its values are, and written; the ranges' sums meet in one task, ``tasks`` rows at most.
     """
-    ranged = rows.withColumn("_r", F.floor(F.col(order) / width))
+    ranged = written(rows.repartitionByRange(tasks, order).withColumn("_r", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_r").agg(F.sum(value).alias("_v")).select("_r", F.coalesce(F.sum("_v").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(starts, "_r").withColumn("upto", F.col("_start") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_r", "_start")
+    return ranged.join(F.broadcast(starts), "_r").withColumn("upto", F.col("_start") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_r", "_start")
+
+
+def byte_offsets(rows: DataFrame, order: str, text: str) -> DataFrame:
+    """``rows`` with ``offset``, where each record's line begins in a file of UTF-8 lines in ascending ``order``."""
+    sized = rows.withColumn("_size", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 1)
+    return prefix_sum(sized, order, "_size").withColumnRenamed("upto", "offset").drop("_size")
 
 
 def first_positions(rows: DataFrame, key: str, position: str) -> DataFrame:

@@ -366,11 +366,6 @@ def group_summary(spark, sf_dir):
     return messages.summarise(messages.group_messages(_talks(spark, sf_dir), 400, -1)).select("conv", "group_no", "messages", F.col("total_length").cast("long"))
 
 
-@query()
-def group_overlap(spark, sf_dir):
-    return messages.group_messages(_talks(spark, sf_dir), 400, -1, 1).select("conv", "group_no", "pos", "carried")
-
-
 @query("SELECT conv_id, turn, trim(regexp_replace(text, '^[^:]+:\\s*', '')) AS shown, trim(regexp_replace(text, '^[^:]+:\\s*', '')) <> '' AND NOT starts_with(trim(regexp_replace(text, '^[^:]+:\\s*', '')), '<') AS is_text FROM conversations")
 def readable_messages(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", messages.readable(F.col("text")).alias("shown"), messages.is_text_message(F.col("text")).alias("is_text"))

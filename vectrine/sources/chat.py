@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import sqlite3
+from collections.abc import Callable, Iterator
+from contextlib import closing
+from itertools import islice
 from pathlib import Path
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,11 +23,17 @@ def exports(base: str | Path) -> list[Path]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(contact, pos, t, own, text) of all files; the contact is the file's stem, pos the place in the file.
+    """Messages of all JSON files below ``path``; the contact is the file's stem."""
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
+    return parsed(raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("contact"), "value"))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """(contact, pos, t, own, text) of JSON arrays of messages (contact, value); pos is the place in the array.
 
     A content that is text is read without prefixes; one that is an object gives its title, quoted, content and text.
     """
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("contact"), F.parse_json("value").alias("v"))
+    raw = files.select("contact", F.parse_json("value").alias("v"))
     items = raw.select("contact", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("pos", "m"))
     get = lambda name, kind: F.try_variant_get("m", f"$.{name}", kind)
     text = F.coalesce(F.nullif(readable_fields(get("content", "variant")), F.lit("")), get("message", "string"), F.lit(""))
@@ -60,3 +71,41 @@ def export_json(messages: DataFrame, path: str) -> None:
     messages.withColumn("user", safe_name(F.col("contact"))).write.mode("overwrite").partitionBy("user").json(path)
 
 
+def export_sqlite(messages: DataFrame, path: str, table: str = "messages", batch: int = 10_000) -> int:
+    """Messages into a table of an SQLite file, streamed through one writer, as SQLite has only one; how many there were."""
+    if not table.isidentifier():
+        raise ValueError("the table has to be a plain name")
+    rows = messages.select("contact", "pos", "t", "own", "text").orderBy("contact", "pos").toLocalIterator(prefetchPartitions=True)
+    n = 0
+    with closing(sqlite3.connect(path)) as db:
+        db.execute(f"DROP TABLE IF EXISTS {table}")
+        db.execute(f"CREATE TABLE {table} (contact TEXT, pos INTEGER, t INTEGER, own INTEGER, text TEXT)")
+        while part := list(islice(rows, batch)):
+            db.executemany(f"INSERT INTO {table} VALUES (?, ?, ?, ?, ?)", [tuple(r) for r in part])
+            n += len(part)
+        db.commit()
+    return n
+
+
+def unwrapped(xml: str | None) -> str:
+    """Title and quoted text of a message card, cards within cards included; what isn't XML stays as it is."""
+    try:
+        root = ElementTree.fromstring((xml or "").strip())
+    except ElementTree.ParseError:
+        return (xml or "").strip()
+    found = [t.text.strip() for t in root.iter("title") if (t.text or "").strip()]
+    for quoted_part in root.iter("refermsg"):
+        inner = unwrapped(quoted_part.findtext("content"))
+        found += [inner] if inner else []
+    return " | ".join(dict.fromkeys(found))
+
+
+def pulled(fetch: Callable[[str, int, int], list[dict]], contact: str, page: int = 500) -> Iterator[dict]:
+    """Messages of a contact from a service that answers ``fetch(contact, offset, limit)``, page by page until one is short."""
+    at = 0
+    while True:
+        part = fetch(contact, at, page)
+        yield from part
+        at += len(part)
+        if len(part) < page:
+            return

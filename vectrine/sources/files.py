@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import fnmatch
+import io
 import os
+import re
 import warnings
 from collections.abc import Iterator
 from pathlib import Path
@@ -12,10 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectrine.schema import Store
+
 TEXT_EXTENSIONS = tuple(".txt .md .markdown .rst .tex .csv .tsv .json .jsonl .yaml .yml .toml .ini .cfg .conf .xml .html .htm .css .scss .log .py .ipynb .r .rb .java .kt .scala .js .jsx .ts .tsx .vue .c .h .cpp .hpp .cc .cs .go .rs .swift .php .pl .lua .sh .bash .sql .docx .pptx".split())
 CODE_EXTENSIONS = tuple(".py .java .js .jsx .ts .tsx .cs .c .h .cpp .hpp .go .rs .rb .php .swift .kt .scala .sh .sql .r".split())
 EXCLUDED_FOLDERS = (".git", "__pycache__", "node_modules", "venv", ".venv", "env", "build", "dist", "target", ".idea", ".vscode", ".mypy_cache", ".pytest_cache")
 MAX_CODE_BYTES = 1_000_000
+SCHEMA = "file_path string, file_name string, extension string, size long, text string"
 
 
 def parse_extensions(wanted: str | None) -> list[str] | None:
@@ -67,64 +72,112 @@ def _local(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
-def read(spark: SparkSession, paths: list[str], extensions: list[str] | None = None, include_hidden: bool = False, max_bytes: int | None = None) -> DataFrame:
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, relative) of the files below ``root``, or of the one file; names only, no content is read.
+
+    The file system's own recursive listing is streamed; names are all that the driver sees.
+    """
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.makeQualified(at).toString().rstrip("/")
+    found, entries = [], system.listFiles(at, True)
+    while entries.hasNext():
+        status = entries.next()
+        path = status.getPath().toString()
+        found.append((path, status.getLen(), path[len(base) + 1 :] or path.rsplit("/", 1)[-1]))
+    return spark.createDataFrame(found, "path string, size long, relative string")
+
+
+def read(spark: SparkSession, paths: list[str], extensions: list[str] | None = None, include_hidden: bool = False, max_bytes: int | None = None, excluded: tuple[str, ...] = ()) -> DataFrame:
     """Documents of files and of folders, searched through.  What doesn't exist is left out with a warning.
 
-    Names are filtered before contents are read; undecodable bytes become replacement characters; PDF needs an optional parser.
+    Folders are listed first and names filtered; the contents of the files that are left are all that is read.  Undecodable bytes become
+    replacement characters; PDF needs an optional parser.
     """
     wanted = [e.lower() for e in extensions] if extensions else [*TEXT_EXTENSIONS, ".pdf"]
     frames = []
     for root in paths:
-        if "://" not in root and not os.path.exists(root):
+        if not Store(spark).exists(root):
             warnings.warn(f"{root} does not exist", stacklevel=2)
             continue
-        held = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        where = _local(F.col("path"))
-        base = str(Path(root).resolve()) if "://" not in root else root.rstrip("/")
-        relative = F.when(F.startswith(where, F.lit(base + "/")), F.substr(where, F.lit(len(base) + 2))).otherwise(F.element_at(F.split(where, "/"), -1))
-        rows = held.select(where.alias("file_path"), relative.alias("relative"), F.element_at(F.split(where, "/"), -1).alias("file_name"), F.col("length").alias("size"), "content", "path")
+        local = root.removeprefix("file://")
+        rows = listed(spark, root).withColumn("file_name", F.element_at(F.split("relative", "/"), -1))
         rows = rows.withColumn("extension", F.lower(F.regexp_extract("file_name", r".(\.[^.]+)$", 1)))
-        if os.path.isdir(root):
+        if not os.path.isfile(local):
             rows = rows.where(F.col("extension").isin(wanted))
             if not include_hidden:
                 rows = rows.where(~is_hidden(F.col("relative")))
-            rules, skipped = ignore_rules(root), submodules(root)
+            rules, skipped = ignore_rules(local), submodules(local)
             ignored = F.pandas_udf(lambda s: s.map(lambda r: is_ignored(r, rules) or any(r == m or r.startswith(m + "/") for m in skipped)), "boolean")
             rows = rows.where(~ignored("relative"))
+            if excluded:
+                rows = rows.where(~in_folder(F.col("relative"), excluded))
         if max_bytes is not None:
             rows = rows.where(F.col("size") <= max_bytes)
         frames.append(rows)
     if not frames:
-        return spark.createDataFrame([], "file_path string, file_name string, extension string, size long, text string")
+        return spark.createDataFrame([], SCHEMA)
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
-    return out.select("file_path", "file_name", "extension", "size", "content").mapInArrow(_decoded, "file_path string, file_name string, extension string, size long, text string")
+    kept = out.select("path", "file_name", "extension", "size").dropDuplicates(["path"])
+    chosen = [r["path"] for r in kept.select("path").toLocalIterator()]
+    if not chosen:
+        return spark.createDataFrame([], SCHEMA)
+    held = spark.read.format("binaryFile").load([_escaped(p) for p in chosen]).select("path", "content")
+    rows = held.join(kept, "path").select(_local(F.col("path")).alias("file_path"), "file_name", "extension", "size", "content")
+    return rows.mapInArrow(_decoded, SCHEMA)
+
+
+def _escaped(path: str) -> str:
+    """A path whose own characters aren't taken for a pattern."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
 
 
 def read_code(spark: SparkSession, root: str, extensions: tuple[str, ...] = CODE_EXTENSIONS, excluded: tuple[str, ...] = EXCLUDED_FOLDERS, max_bytes: int = MAX_CODE_BYTES) -> DataFrame:
     """Source files of a repository, without excluded folders and files over ``max_bytes``."""
-    return read(spark, [root], list(extensions), max_bytes=max_bytes).where(~in_folder(F.col("file_path"), excluded))
+    return read(spark, [root], list(extensions), max_bytes=max_bytes, excluded=excluded)
+
+
+def extensions_of(documents: DataFrame) -> DataFrame:
+    """(extension, files) in order of extension."""
+    return documents.groupBy("extension").agg(F.count(F.lit(1)).alias("files")).orderBy("extension")
+
+
+def _by_fitz(content: bytes) -> str:
+    import fitz  # optional
+
+    with fitz.open(stream=content, filetype="pdf") as doc:
+        return "\n".join(page.get_text() for page in doc)
+
+
+def _by_plumber(content: bytes) -> str:
+    import pdfplumber  # optional
+
+    with pdfplumber.open(io.BytesIO(content)) as doc:
+        return "\n".join(page.extract_text() or "" for page in doc.pages)
+
+
+def _by_pypdf(content: bytes) -> str:
+    import pypdf  # optional
+
+    return "\n".join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(content)).pages)
+
+
+#: Tried in turn; the first that gives text decides.
+PDF_READERS = [_by_fitz, _by_plumber, _by_pypdf]
 
 
 def pdf_text(content: bytes) -> str | None:
-    """By PyMuPDF, else pdfplumber; None where neither is installed or can read it."""
-    import io
-
-    try:
-        import fitz
-
-        with fitz.open(stream=content, filetype="pdf") as doc:
-            return "\n".join(page.get_text() for page in doc)
-    except Exception:
-        pass
-    try:
-        import pdfplumber
-
-        with pdfplumber.open(io.BytesIO(content)) as doc:
-            return "\n".join(page.extract_text() or "" for page in doc.pages)
-    except Exception:
-        return None
+    """By PyMuPDF, else pdfplumber, else pypdf; None where none is installed or can read it."""
+    for reader in PDF_READERS:
+        try:
+            if (text := reader(content)).strip():
+                return text
+        except Exception:  # a missing package, or a file that it can't read
+            continue
+    return None
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

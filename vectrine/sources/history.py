@@ -61,13 +61,18 @@ def read_table(spark: SparkSession, path: str, table: str, schema: str) -> DataF
     return spark.read.format("vectrine_sqlite").schema(schema).option("table", table).load(path)
 
 
+def documents(rows: DataFrame, with_url: bool = False) -> DataFrame:
+    """(text, title) of visits, and their url."""
+    visited = F.date_format(chrome_time(F.col("last_visit_time")), "yyyy-MM-dd HH:mm:ss")
+    title = F.coalesce("title", F.lit("No Title"))
+    text = history_document(title, F.col("url"), visited, F.col("visit_count"), F.col("typed_count"))
+    return rows.select(text.alias("text"), F.substring(title, 1, 150).alias("title"), *(["url"] if with_url else []))
+
+
 def read(spark: SparkSession, path: str, max_count: int | None = None) -> DataFrame:
     """Documents (text, title) of visited pages, newest first."""
     rows = read_table(spark, path, "urls", HISTORY).where("hidden = 0 OR hidden IS NULL").orderBy(F.desc("last_visit_time"), "url")
-    rows = rows.limit(max_count) if max_count is not None and max_count >= 0 else rows
-    visited = F.date_format(chrome_time(F.col("last_visit_time")), "yyyy-MM-dd HH:mm:ss")
-    title = F.coalesce("title", F.lit("No Title"))
-    return rows.select(history_document(title, F.col("url"), visited, F.col("visit_count"), F.col("typed_count")).alias("text"), F.substring(title, 1, 150).alias("title"))
+    return documents(rows.limit(max_count) if max_count is not None and max_count >= 0 else rows)
 
 
 def profiles(base: str | Path | None = None) -> list[Path]:
