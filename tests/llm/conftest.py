@@ -23,4 +23,7 @@ def none(odd):
 
 @pytest.fixture(scope="session")
 def labels(spark):
-    return spark.createDataFrame([(1, 1, 0), (1, 1, 0), (5, 0, 1), (6, 1, 0), (8, 0, None), (None, 1, 1), (9, None, 1), (9, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    return spark.createDataFrame(
+        [(1, 1, 0), (1, 1, 0), (5, 0, 1), (6, 1, 0), (8, 0, None), (None, 1, 1), (9, None, 1), (9, 1, 0), (2, 1, 0)],
+        "doc_id long, quality int, toxic int"
+    )

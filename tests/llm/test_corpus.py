@@ -95,7 +95,13 @@ def test_mixing_of_odd_rows(spark, odd, none):
 
 
 def test_mixing_of_a_hot_source(spark):
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 13 as int))").alias("text"), F.when(F.col("id") % 3 < 2, "hot").when(F.col("id") % 30 == 2, "tiny").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
+    docs = spark.range(3000).select(
+        F.col("id").alias("doc_id"),
+        F.expr("repeat('w ', cast(1 + id % 13 as int))").alias("text"),
+        F.when(F.col("id") % 3 < 2, "hot").when(F.col("id") % 30 == 2, "tiny").otherwise(
+            F.concat(F.lit("s"), F.col("id") % 7)
+        ).alias("source")
+    )
     check_mix(mixing.mix(docs).collect())
 
 
@@ -178,8 +184,41 @@ def test_ids_are_those_of_the_tokenizer():
     slow = packing._tokenizers(*paths)[0]
     texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
     draw = np.random.default_rng(5)
-    parts = [" ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "a", "don't", "I'LL", "x9", "12345", "...", "!?", "é", "ß", "ñ", "日本", "привет", "\U0001f600", "\u200d", "\x00", "\u0301", "|", "<|endoftext|>", "<|endof", "_", "'s"]
-    texts += ["".join(parts[k] for k in draw.integers(0, len(parts), int(n))) for n in [*draw.integers(1, 60, 2000), *draw.integers(5_000, 60_000, 20)]]
+    parts = [
+        " ",
+        "  ",
+        "\n",
+        "\t",
+        "\r\n",
+        "\u00a0",
+        "\u2003",
+        "a",
+        "don't",
+        "I'LL",
+        "x9",
+        "12345",
+        "...",
+        "!?",
+        "é",
+        "ß",
+        "ñ",
+        "日本",
+        "привет",
+        "\U0001f600",
+        "\u200d",
+        "\x00",
+        "\u0301",
+        "|",
+        "<|endoftext|>",
+        "<|endof",
+        "_",
+        "'s"
+    ]
+    texts += [
+        "".join(parts[k] for k in draw.integers(0, len(parts), int(n))) for n in [
+            *draw.integers(1, 60, 2000), *draw.integers(5_000, 60_000, 20)
+        ]
+    ]
     texts += [" " * n + "y" for n in (1, 19_999, 20_000, 300_000)]
     for at in range(0, len(texts), 500):
         want = slow.encode_batch_fast([t or "" for t in texts[at : at + 500]], add_special_tokens=False)
@@ -209,9 +248,22 @@ def test_topk_on_odd_rows(spark, monkeypatch, per_group, per_block):
     draw = np.random.default_rng(3)
     rows = [(i, [float(v) for v in draw.normal(size=5) * (1 + i % 3)]) for i in range(120)]
     rows += [(200 + i, [1.0, 0.0, 0.0, 0.0, 0.0]) for i in range(30)]
-    rows += [(None, [1.0] * 5), (300, None), (302, [1.0, None, 0.0, 0.0, 0.0]), (304, [float("nan")] * 5), (306, [float("inf")] * 5), (310, [1.0, 2.0]), (320, [0.5, 1.0]), (330, []), (0, rows[0][1])]
+    rows += [
+        (None, [1.0] * 5),
+        (300, None),
+        (302, [1.0, None, 0.0, 0.0, 0.0]),
+        (304, [float("nan")] * 5),
+        (306, [float("inf")] * 5),
+        (310, [1.0, 2.0]),
+        (320, [0.5, 1.0]),
+        (330, []),
+        (0, rows[0][1])
+    ]
     df = spark.createDataFrame([(i, v, "clash", 1) for i, v in rows], "vec_id long, embedding array<float>, rank string, score int")
-    good = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    good = [
+        (i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i,
+        v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+    ]
     got = defaultdict(list)
     for r in exact_topk.exact_top_k(df, F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
@@ -227,7 +279,16 @@ def test_topk_on_odd_rows(spark, monkeypatch, per_group, per_block):
 
 def test_topk_of_huge_components(spark):
     """Products beyond doubles' whole numbers are exact, those beyond a long become its ends; one id with many vectors fills no list."""
-    rows = [(0, [1.0, 0.0]), (1, [600000.0, 0.0]), (2, [900000.0, 1.0]), (3, [float(2**40), 3.0]), (4, [1e30, 0.0]), (5, [-1e30, 1.0]), (6, [1e35, 0.0]), (7, [2.0**30 + 2.0**-8, 0.0])]
+    rows = [
+        (0, [1.0, 0.0]),
+        (1, [600000.0, 0.0]),
+        (2, [900000.0, 1.0]),
+        (3, [float(2**40), 3.0]),
+        (4, [1e30, 0.0]),
+        (5, [-1e30, 1.0]),
+        (6, [1e35, 0.0]),
+        (7, [2.0**30 + 2.0**-8, 0.0])
+    ]
     rows += [(50, [float(j), 1.0]) for j in range(9)] + [(100, [3e5, 2.5e5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     top = (1 << 63) - 1

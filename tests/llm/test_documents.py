@@ -30,7 +30,9 @@ def test_rules_on_odd_rows(odd, none):
     lines = quality_rules.clean_lines(odd)
     assert lines.schema == odd.schema and lines.count() == odd.count()
     text = "A plain sentence without any fault ends here.\nHome | About | Contact\n\nWe use cookies to make this site work.\nAnother good sentence follows the ones that go."
-    assert quality_rules.cleaned(text.encode()).decode() == "A plain sentence without any fault ends here.\n\nAnother good sentence follows the ones that go."
+    assert quality_rules.cleaned(
+        text.encode()
+    ).decode() == "A plain sentence without any fault ends here.\n\nAnother good sentence follows the ones that go."
 
 
 def test_rules_of_lines():
@@ -45,11 +47,16 @@ def test_rules_of_lines():
 
 def test_rules_of_all_runs_match_sql(spark, same_rows):
     """Every pair of marks at the end of a word; ten words a document, all of them in such lines."""
-    rows = [(i, "\n".join([f"are you serious{a}{b}{end}", "it goes on and on here."])) for i, (a, b, end) in enumerate((a, b, end) for a in "!?*" for b in "!?*" for end in ("", ".", ","))]
+    rows = [
+        (i, "\n".join([f"are you serious{a}{b}{end}", "it goes on and on here."])) for i,
+        (a, b, end) in enumerate((a, b, end) for a in "!?*" for b in "!?*" for end in ("", ".", ","))
+    ]
     rows += [(100 + i, "\n".join([f"line {k} stands{run}" for k in range(4)])) for i, run in enumerate(("?!", "!?", "!!", "??"))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
-    assert all(found[i]["n_failed_lines"] == 1 for i in range(27)) and all(found[i]["n_failed_lines"] == 4 and not found[i]["kept"] for i in range(100, 104))
+    assert all(found[i]["n_failed_lines"] == 1 for i in range(27)) and all(
+        found[i]["n_failed_lines"] == 4 and not found[i]["kept"] for i in range(100, 104)
+    )
     db = duckdb.connect()
     db.register("documents", docs.toPandas())
     same_rows(quality_rules.judge(docs), quality_rules.ORACLES["op3_quality_rules"], db)
@@ -106,7 +113,10 @@ def test_licenses_against_a_scan_without_seeds():
         want = unseeded(joined)
         assert license_scan.fuzzy_spans(joined) == want
         hits += bool(want)
-        base = sorted((joined[: m.start()].count(" "), label) for p, label in license_scan.BASE for m in regex.finditer(f"(?<![^ ]){p}(?![^ ])", joined))
+        base = sorted(
+            (joined[: m.start()].count(" "), label) for p,
+            label in license_scan.BASE for m in regex.finditer(f"(?<![^ ]){p}(?![^ ])", joined)
+        )
         assert sorted(license_scan.base_places(joined)) == base
         found = license_scan.scan(raw)
         assert found[5] == ",".join(sorted({label for _, label in base} | {m[2] for m in want}))
@@ -132,10 +142,15 @@ def test_license_query_against_brute_force(spark, sf):
     assert len(found) == len(texts)
     for r in found:
         words = regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[r["doc_id"]]))
-        places = [(i, label) for phrase, label in license_scan.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        places = [
+            (i, label) for phrase,
+            label in license_scan.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()
+        ]
         assert r["n_words"] == len(words) and r["n_base"] == len(places)
         assert (r["first_word"], r["last_word"]) == (min((p for p, _ in places), default=None), max((p for p, _ in places), default=None))
-        assert r["base_labels"] == ",".join(sorted({label for _, label in places})) and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
+        assert r["base_labels"] == ",".join(sorted({label for _, label in places})) and set(
+            filter(None, r["base_labels"].split(","))
+        ) <= set(r["labels"].split(","))
         assert 0 <= r["score"] <= 1
 
 
@@ -205,7 +220,9 @@ def test_scores_against_plain_recomputation(spark, sf):
         words = regex.findall(r"[^\W\d_]+", text)
         counts = [len({w for w in words if w in lexicon.split()}) for lexicon in toxicity.LEXICONS.values()]
         counts += [int(bool(regex.search(pattern, text))) for pattern in toxicity.PATTERNS.values()]
-        counts += [len({w for w in words if w in own and zlib.crc32(w.encode()) % 4 == k}) for own in (held.pure, held.mixed) for k in range(4)]
+        counts += [
+            len({w for w in words if w in own and zlib.crc32(w.encode()) % 4 == k}) for own in (held.pure, held.mixed) for k in range(4)
+        ]
         stems = lambda n: {w for w in words if len(w) > n and len(w) >= 5 and w[:n] in held.stems[n]}
         counts += [len({w for w in stems(n) if zlib.crc32(w[:n].encode()) % 3 == k}) for n in (4, 5, 6) for k in range(3)]
         lexicon = {w for words_ in toxicity.LEXICONS.values() for w in words_.split()} | held.pure | held.mixed | stems(4)
@@ -244,10 +261,16 @@ def test_languages_against_plain_recomputation(spark, sf):
 
 def test_samples_are_bounded_by_rows(spark):
     """A third of all rows under one id, a third without one: samples stay bounded, and languages are learned."""
-    base = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("doc_id"), F.concat(F.lit("some words of text number "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    base = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("doc_id"),
+        F.concat(F.lit("some words of text number "), F.col("id")).alias("text"),
+        F.lit("en").alias("lang")
+    )
     labels = spark.createDataFrame([(7, 1), (8, 0), (10, 1), (13, 1)], "doc_id long, toxic int")
     got = learn.labelled(base, labels, "toxic", lambda i: i.isNotNull(), 10)
-    assert got.count() == 3 and sorted(got.collect()) == sorted(learn.labelled(base.repartition(5), labels, "toxic", lambda i: i.isNotNull(), 10).collect())
+    assert got.count() == 3 and sorted(got.collect()) == sorted(
+        learn.labelled(base.repartition(5), labels, "toxic", lambda i: i.isNotNull(), 10).collect()
+    )
     same = base.withColumn("doc_id", F.lit(1).cast("long"))
     model = language_id.train(same, F.lit(True), 500)
     assert model.members == {"germanic": ["en"]}

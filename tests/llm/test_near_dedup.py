@@ -65,7 +65,11 @@ def test_against_all_pairs(spark, corpus):
 
 def test_small_salts(spark, corpus, monkeypatch):
     monkeypatch.setattr(op, "PARTNERS_PER_TASK", 7)
-    got = {r["doc_id"]: r["component_id"] for r in op.near_duplicates(spark.createDataFrame(corpus[:300], "doc_id long, text string")).collect()}
+    got = {
+        r["doc_id"]: r["component_id"] for r in op.near_duplicates(
+            spark.createDataFrame(corpus[:300], "doc_id long, text string")
+        ).collect()
+    }
     assert got == brute(corpus[:300])
 
 
@@ -76,7 +80,11 @@ def test_several_texts_under_an_id_and_a_hot_leader(spark, monkeypatch):
     base = [draw.choice(vocabulary) for _ in range(100)]
     rows = [(1, near(draw, base, 3)), (1, [draw.choice(vocabulary) for _ in range(80)])]
     rows += [(2 + i, near(draw, base, draw.randrange(0, 16))) for i in range(120)]
-    rows += [(500 + i // 2, near(draw, base, draw.randrange(5, 20)) if i % 3 else [draw.choice(vocabulary) for _ in range(90)]) for i in range(80)]
+    rows += [
+        (
+            500 + i // 2, near(draw, base, draw.randrange(5, 20)) if i % 3 else [draw.choice(vocabulary) for _ in range(90)]
+        ) for i in range(80)
+    ]
     rows += [(900 + i, [draw.choice(vocabulary) for _ in range(50)]) for i in range(100)]
     rows = [(k, " ".join(w)) for k, w in rows]
     monkeypatch.setattr(op, "PARTNERS_PER_TASK", 16)

@@ -43,14 +43,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], keep: list[str], by: list[str] | None = None, tasks: int = 64) -> DataFrame:
+def running(
+    rows: DataFrame, order: list[Column], sums: dict[str, Column], keep: list[str], by: list[str] | None = None, tasks: int = 64
+) -> DataFrame:
     """``rows`` with running totals (own row included) of ``sums`` in ``order``, for each value of ``by``; no task sees all rows.
 
     Rows are split into ranges of ``by`` and ``order``, written, and each range's totals are carried on to the next ones.  Rows equal in both can be
     split between ranges only if ``order`` ends with something that tells them apart.
     """
     by = by or []
-    ranged = materialise(rows.repartitionByRange(tasks, *by, *order).select(*keep, *(v.alias(k) for k, v in sums.items()), F.spark_partition_id().alias("_range")), "ranges")
+    ranged = materialise(
+        rows.repartitionByRange(tasks, *by, *order).select(
+            *keep, *(v.alias(k) for k, v in sums.items()), F.spark_partition_id().alias("_range")
+        ),
+        "ranges"
+    )
     totals = ranged.groupBy("_range", *by).agg(*(F.sum(k).alias(k) for k in sums))
     # at most ``tasks`` rows for each value of ``by``
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,7 +65,9 @@ def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], keep:
     within = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select(*keep, "_range", *(F.sum(k).over(within).alias(k) for k in sums))
     same = ["_range", *by]
-    return local.join(F.broadcast(carried) if not by else carried, same).select(*keep, *((F.col(k) + F.col(f"_{k}")).alias(k) for k in sums))
+    return local.join(F.broadcast(carried) if not by else carried, same).select(
+        *keep, *((F.col(k) + F.col(f"_{k}")).alias(k) for k in sums)
+    )
 
 
 #: Rows of a lookup table that may be broadcast; larger ones are joined by shuffles.

@@ -29,7 +29,9 @@ LONG = (1 << 63) - 1
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding; rows with a null id, vector or component, or one that isn't finite, are left out."""
-    whole = F.expr("embedding is not null and vec_id is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('inf'))")
+    whole = F.expr(
+        "embedding is not null and vec_id is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('inf'))"
+    )
     return vectors.select("vec_id", "embedding").where(whole)
 
 
@@ -67,7 +69,16 @@ def _asked(pivots: dict[int, np.ndarray], most: dict[int, float], batches: Itera
             d = distances(q, pivots[dim], most[dim], True)
             cell = d.argmin(axis=1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1, dtype=np.int32) * dim), pa.array(q.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array(np.full(len(q), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(q)), cell])], ["vec_id", "q", "dim", "cell", "d"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column(0),
+                    lists,
+                    pa.array(np.full(len(q), dim, np.int32)),
+                    pa.array(cell.astype(np.int32)),
+                    pa.array(d[np.arange(len(q)), cell])
+                ],
+                ["vec_id", "q", "dim", "cell", "d"]
+            )
 
 
 def _summary(pivots: dict[int, np.ndarray], most: dict[int, float], k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,10 +104,18 @@ def _summary(pivots: dict[int, np.ndarray], most: dict[int, float], k: int, batc
     out = [(dim, cell, i, d, 0) for (dim, cell), near in best.items() for i, d in near.items()]
     out += [(dim, cell, None, far, n) for (dim, cell), (n, far) in held.items()]
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], ["dim", "cell", "vec_id", "d", "n"])
-
-
-def _replicate(pivots: dict[int, np.ndarray], most: dict[int, float], reach: dict[int, list[tuple[int, np.ndarray]]], place: dict[int, tuple[np.ndarray, np.ndarray]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], ["dim", "cell", "vec_id", "d", "n"]
+    )
+
+
+def _replicate(
+    pivots: dict[int, np.ndarray],
+    most: dict[int, float],
+    reach: dict[int, list[tuple[int, np.ndarray]]],
+    place: dict[int, tuple[np.ndarray, np.ndarray]],
+    batches: Iterator[pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
     """reach: of a dimension, (group, farthest distance to each pivot at which a data vector can matter); place: first block of a cell, and how many."""
     for batch in batches:
         for dim, x, rows in by_dimension(batch, "embedding"):
@@ -111,7 +130,16 @@ def _replicate(pivots: dict[int, np.ndarray], most: dict[int, float], reach: dic
                 near = pa.array((d <= far).any(axis=1))
                 part = rows.filter(near)
                 if len(part):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), group, np.int32)), pa.array(block).filter(near), pa.array(np.ones(len(part), np.int32)), part.column(0), part.column(1)], ["grp", "block", "kind", "vec_id", "embedding"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(part), group, np.int32)),
+                            pa.array(block).filter(near),
+                            pa.array(np.ones(len(part), np.int32)),
+                            part.column(0),
+                            part.column(1)
+                        ],
+                        ["grp", "block", "kind", "vec_id", "embedding"]
+                    )
 
 
 def _wide(x: np.ndarray) -> np.ndarray:
@@ -156,7 +184,10 @@ def _solve(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def out() -> Iterator[pa.RecordBatch]:
         if queries is not None and len(best[0]):
             q_ids, marks = queries[1], queries[2]
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[best[0]]), pa.array(marks[best[0]]), pa.array(best[2]), pa.array(best[1].astype(np.int64))], ["query_id", "mark", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q_ids[best[0]]), pa.array(marks[best[0]]), pa.array(best[2]), pa.array(best[1].astype(np.int64))],
+                ["query_id", "mark", "vec_id", "score"]
+            )
 
     for batch in batches:
         grp, block, kind, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
@@ -191,7 +222,12 @@ def _solve(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     np.minimum.at(bound := np.full(len(s), np.iinfo(np.int64).max, np.int64), best[0], best[1])
                     least = np.maximum(least, np.where(count >= k, bound, kth).astype(s.dtype))
                 rows, columns = np.nonzero((s >= least[:, None]) & ~own)
-                best = _best(np.concatenate([best[0], rows]), np.concatenate([best[1], s[rows, columns].astype(np.int64)]), np.concatenate([best[2], y_ids[columns]]), k)
+                best = _best(
+                    np.concatenate([best[0], rows]),
+                    np.concatenate([best[1], s[rows, columns].astype(np.int64)]),
+                    np.concatenate([best[2], y_ids[columns]]),
+                    k
+                )
     yield from out()
 
 
@@ -236,7 +272,11 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int |
     data = materialise(usable(vectors), "vectors")
     # an upper bound of the squared norms of what is floored
     norm = F.expr("aggregate(embedding, 0D, (a, x) -> a + pow(256D * abs(cast(x as double)) + 1, 2))")
-    sizes = {r["dim"]: r for r in data.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("most")).collect()}
+    sizes = {
+        r["dim"]: r for r in data.groupBy(F.size("embedding").alias("dim")).agg(
+            F.count(F.lit(1)).alias("n"), F.max(norm).alias("most")
+        ).collect()
+    }
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not sizes:
         return empty
@@ -247,12 +287,16 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int |
     asked = queries.groupBy("dim", "cell").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("n")).collect()
     if not asked:
         return empty
-    told = materialise(data.mapInArrow(partial(_summary, chosen, most, k + 1), "dim int, cell int, vec_id long, d double, n long"), "summaries")
+    told = materialise(
+        data.mapInArrow(partial(_summary, chosen, most, k + 1), "dim int, cell int, vec_id long, d double, n long"), "summaries"
+    )
     cells = told.where("vec_id is null").groupBy("dim", "cell").agg(F.sum("n").alias("n"), F.max("d").alias("far")).collect()
     # of each cell: the k + 1 smallest distances of different ids (a query's own may be one of them); at most one row for each pivot
     nearest = told.where("vec_id is not null").groupBy("dim", "cell", "vec_id").agg(F.min("d").alias("d"))
     near = Window.partitionBy("dim", "cell", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("d", "vec_id")
-    least = nearest.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).groupBy("dim", "cell").agg(F.slice(F.sort_array(F.collect_list("d")), 1, k + 1).alias("least")).collect()
+    least = nearest.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).groupBy("dim", "cell").agg(
+        F.slice(F.sort_array(F.collect_list("d")), 1, k + 1).alias("least")
+    ).collect()
     reach: dict[int, list[tuple[int, np.ndarray]]] = {}
     place: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     # of each cell of queries: its first group, how many, and the runs of blocks that can hold a neighbour
@@ -277,7 +321,11 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int |
         far_of = np.array([held[c]["far"] if c in held else 0.0 for c in range(len(p))])
         for members, n in clusters({r["cell"]: r["n"] for r in asked if r["dim"] == dim}, between, QUERIES_PER_GROUP):
             limit = np.array([bound[c] for c in members])
-            targets = [(at, many) for cells_there, at, many in runs if (between[np.ix_(members, cells_there)] - far_of[cells_there] <= limit[:, None] + 2 * margin).any()]
+            targets = [
+                (at, many) for cells_there,
+                at,
+                many in runs if (between[np.ix_(members, cells_there)] - far_of[cells_there] <= limit[:, None] + 2 * margin).any()
+            ]
             farthest = np.full(len(p), -1.0)
             farthest[members] = limit + margin
             reach.setdefault(dim, []).extend((groups + j, farthest) for j in range(n))
@@ -286,12 +334,23 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int |
             tasks += n * sum(many for _, many in targets)
     where = spark.createDataFrame(routes, "dim int, cell int, first int, parts int, targets array<struct<at: long, many: long>>")
     # at most one row for each pivot
-    asking = queries.join(F.broadcast(where), ["dim", "cell"]).select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("grp"), "vec_id", "q", F.explode("targets").alias("t"))
-    asking = asking.select("grp", F.explode(F.expr("sequence(t.at, t.at + t.many - 1)")).alias("block"), F.lit(0).alias("kind"), "vec_id", "q")
+    asking = queries.join(F.broadcast(where), ["dim", "cell"]).select(
+        (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("grp"),
+        "vec_id",
+        "q",
+        F.explode("targets").alias("t")
+    )
+    asking = asking.select(
+        "grp", F.explode(F.expr("sequence(t.at, t.at + t.many - 1)")).alias("block"), F.lit(0).alias("kind"), "vec_id", "q"
+    )
     kind = data.schema["embedding"].dataType.simpleString()
-    offered = data.mapInArrow(partial(_replicate, chosen, most, reach, place), f"grp int, block long, kind int, vec_id long, embedding {kind}")
+    offered = data.mapInArrow(
+        partial(_replicate, chosen, most, reach, place), f"grp int, block long, kind int, vec_id long, embedding {kind}"
+    )
     both = asking.unionByName(offered, allowMissingColumns=True).repartition(max(1, min(tasks, TASKS)), "grp", "block")
-    found = both.sortWithinPartitions("grp", "block", "kind", F.when(F.col("kind") == 0, F.col("vec_id")), "q").mapInArrow(partial(_solve, k), "query_id long, mark long, vec_id long, score long")
+    found = both.sortWithinPartitions("grp", "block", "kind", F.when(F.col("kind") == 0, F.col("vec_id")), "q").mapInArrow(
+        partial(_solve, k), "query_id long, mark long, vec_id long, score long"
+    )
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -90,13 +90,17 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["lang", "x"])
 
 
-def train(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE, rows: int = TRAIN_ROWS, languages: int = LANGUAGES) -> Model:
+def train(
+    docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE, rows: int = TRAIN_ROWS, languages: int = LANGUAGES
+) -> Model:
     """Fit on about ``per_language`` distinct texts of each language at most, and about ``rows`` of all, drawn by a seeded hash of the text.
 
     Rows that share an id, or have none, are drawn like any others; copies of a text count once for each language.  Of more than
     ``languages`` values of lang, the most frequent are learned.
     """
-    known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.lit(7), "text").alias("drawn"))
+    known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", "text", F.xxhash64(F.lit(7), "text").alias("drawn")
+    )
     held = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("drawn", 0.02).alias("texts"))
     counts = {r["lang"]: r["texts"] for r in held.orderBy(F.desc("n"), "lang").limit(languages).collect()}
     each = min(per_language, rows // max(1, len(counts)))
@@ -134,9 +138,19 @@ def identify(docs: DataFrame, model: Model, held: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.predict(text.as_py()) for text in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
-
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array([f[0] for f in found], pa.string()),
+                    pa.array([f[1] for f in found], pa.float64())
+                ],
+                ["doc_id", "held_out", "lang_pred", "score"]
+            )
+
+    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(
+        run, "doc_id long, held_out boolean, lang_pred string, score double"
+    )
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

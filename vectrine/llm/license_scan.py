@@ -68,7 +68,9 @@ def _automaton() -> ahocorasick.Automaton:
 @cache
 def _patterns() -> tuple[regex.Pattern, ...]:
     """Of each notice, its best match at the start of a piece, up to the end of a word."""
-    return tuple(regex.compile(f"(?b)(?:{regex.escape(phrase, literal_spaces=True)}){{e<={edits}}}(?![^ ])") for phrase, _, edits in NOTICES)
+    return tuple(
+        regex.compile(f"(?b)(?:{regex.escape(phrase, literal_spaces=True)}){{e<={edits}}}(?![^ ])") for phrase, _, edits in NOTICES
+    )
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -150,11 +152,15 @@ def scan(text: bytes | None) -> tuple:
     score = 1.0 if base else max((1 - edits / (end - start) for start, end, _, edits in spans), default=0.0)
     places = [at for at, _ in base]
     word_spans = [(bisect_left(spaces, start), bisect_left(spaces, end), label, edits) for start, end, label, edits in spans]
-    return len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, word_spans
+    return len(words), len(base), min(
+        places, default=None
+    ), max(places, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, word_spans
 
 
 SPANS = "spans array<struct<first_word:long,last_word:long,label:string,edits:int>>"
-SCHEMA = f"doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, {SPANS}"
+SCHEMA = f"doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, {
+    SPANS
+}"
 _SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("label", pa.string()), ("edits", pa.int32())]))
 
 

@@ -33,7 +33,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     named = sizes.select("source", "source_size", F.col("source").isNull().alias("last"), F.coalesce("source", F.lit("")).alias("name"))
     ranked = running(named, [F.col("last"), F.col("name")], {"place": F.lit(1).cast("long")}, ["source", "source_size", "last", "name"])
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int")).cast("long")
-    filled = ranked.select("source", "source_size", "last", "name", weight.alias("weight"), (F.col("source_size") * max_epochs).alias("cap"))
+    filled = ranked.select(
+        "source", "source_size", "last", "name", weight.alias("weight"), (F.col("source_size") * max_epochs).alias("cap")
+    )
     order = [F.col("cap") / F.col("weight"), F.col("last"), F.col("name")]
     keep = ["source", "source_size", "last", "name", "weight", "cap"]
     passed = running(filled, order, {"caps": F.col("cap"), "weights": F.col("weight")}, keep)
@@ -54,7 +56,9 @@ def _keyed(docs: DataFrame, seed: str) -> DataFrame:
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     mark = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    held = docs.select(F.struct("*").alias("row"), source.alias("_source"), key.alias("_key"), size_of(F.col("text")).alias("size"), mark.alias("_mark"))
+    held = docs.select(
+        F.struct("*").alias("row"), source.alias("_source"), key.alias("_key"), size_of(F.col("text")).alias("size"), mark.alias("_mark")
+    )
     return held.withColumn("_cell", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
 
 
@@ -67,14 +71,20 @@ def plan(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFra
     aims = materialise(targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, max_epochs), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     aims = aims.withColumn("whole", F.least(whole, F.lit(max_epochs).cast("long")))
-    aims = aims.withColumn("wanted", F.when(F.col("whole") >= max_epochs, F.lit(0.0)).otherwise(F.col("target") - F.col("whole") * F.col("source_size")))
+    aims = aims.withColumn(
+        "wanted", F.when(F.col("whole") >= max_epochs, F.lit(0.0)).otherwise(F.col("target") - F.col("whole") * F.col("source_size"))
+    )
     aims = aims.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     # of a source there are 4,096 cells at most
     upto = Window.partitionBy("_source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    placed = cells.select("_source", "_cell", "cell_size", F.sum("cell_size").over(upto).alias("after")).join(aims.select("_source", "wanted"), "_source")
+    placed = cells.select("_source", "_cell", "cell_size", F.sum("cell_size").over(upto).alias("after")).join(
+        aims.select("_source", "wanted"), "_source"
+    )
     # the first cell that isn't taken whole; none of the cells before it ends beyond what is wanted
     cut = placed.where((F.col("wanted") > 0) & (F.col("after") > F.col("wanted"))).groupBy("_source")
-    edges = cut.agg(F.min_by(F.struct("_cell", (F.col("wanted") - (F.col("after") - F.col("cell_size"))).alias("rest")), "_cell").alias("e"))
+    edges = cut.agg(
+        F.min_by(F.struct("_cell", (F.col("wanted") - (F.col("after") - F.col("cell_size"))).alias("rest")), "_cell").alias("e")
+    )
     joined = aims.join(edges, "_source", "left")
     edge = F.when(F.col("wanted") <= 0, F.lit(-1)).otherwise(F.coalesce("e._cell", F.lit(CELLS)))
     rest = F.when(F.col("wanted") <= 0, F.lit(0.0)).otherwise(F.coalesce("e.rest", F.lit(0.0)))
@@ -91,7 +101,9 @@ def _times(keyed: DataFrame, aims: DataFrame) -> DataFrame:
     narrow = edge.select("_source", "_key", F.struct("row.doc_id").alias("row"), "size", "_mark", "_tie", "rest")
     upto = running(narrow, order, {"upto": F.col("size")}, ["_source", "_key", "row", "size", "_mark", "_tie", "rest"], ["_source"])
     extra = (F.col("rest") > 0) & (F.col("upto") - F.col("size") / 2 <= F.col("rest"))
-    chosen = edge.join(upto.select("_tie", extra.alias("_extra")), "_tie").withColumn("times", F.col("whole") + F.col("_extra").cast("long"))
+    chosen = edge.join(upto.select("_tie", extra.alias("_extra")), "_tie").withColumn(
+        "times", F.col("whole") + F.col("_extra").cast("long")
+    )
     return settled.unionByName(chosen.select(settled.columns))
 
 
@@ -106,9 +118,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     empty one.  Repeated rows are chosen one by one.  With no words at all every target is 0.  An empty table gives none.  Other columns are ignored.
     """
     narrow = _keyed(docs.select("doc_id", "text", "source"), seed)
-    rows = materialise(narrow.select(F.struct("row.doc_id", "row.source").alias("row"), "_source", "_key", "size", "_mark", "_cell"), "mix-sizes")
+    rows = materialise(
+        narrow.select(F.struct("row.doc_id", "row.source").alias("row"), "_source", "_key", "size", "_mark", "_cell"), "mix-sizes"
+    )
     aims = plan(rows.select("row.source", "_source", "_cell", "size"), weights, max_epochs)
-    return _times(rows, aims).select("row.doc_id", "row.source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+    return _times(rows, aims).select(
+        "row.doc_id", "row.source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times"
+    )
 
 
 def repeat(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:

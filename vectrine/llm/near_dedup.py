@@ -114,7 +114,9 @@ def _keys(sig: str) -> Column:
 
 def _distance(a: str, b: str) -> Column:
     """In how many of the 32 symbols two signatures differ."""
-    return F.expr(" + ".join(f"if(shiftleft({a}[{c}] ^ {b}[{c}], {up}) & {-(1 << 48)}L = 0, 0, 1)" for c in range(CHUNKS) for up in (0, 16, 32, 48)))
+    return F.expr(
+        " + ".join(f"if(shiftleft({a}[{c}] ^ {b}[{c}], {up}) & {-(1 << 48)}L = 0, 0, 1)" for c in range(CHUNKS) for up in (0, 16, 32, 48))
+    )
 
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -123,10 +125,19 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     Texts go to tasks by b.  A b with many partners is spread over salts, and its own text goes to each of them.
     """
     total = pairs.count()
-    many = materialise(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / PARTNERS_PER_TASK)), "partners")
+    many = materialise(
+        pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / PARTNERS_PER_TASK)), "partners"
+    )
     hot = hot_keys(many, "b", "n", total)
-    spread = hot_join(pairs, many.select("b", "salts"), "b", hot).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts"))).select("b", "salt", F.col("a").alias("doc_id"), F.lit(False).alias("own"))
-    own = many.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("b").alias("doc_id"), F.lit(True).alias("own"))
+    spread = hot_join(pairs, many.select("b", "salts"), "b", hot).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts"))).select(
+        "b", "salt", F.col("a").alias("doc_id"), F.lit(False).alias("own")
+    )
+    own = many.select(
+        "b",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+        F.col("b").alias("doc_id"),
+        F.lit(True).alias("own")
+    )
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"))
     rows = hot_join(spread.unionByName(own), texts, "doc_id", hot.select(F.col("b").alias("doc_id")))
     ordered = rows.select("b", "salt", "own", "doc_id", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("own"))
@@ -166,7 +177,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = salted_lookup(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # every u of large has a smaller v
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_lookup(large, least, ["u"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        small = salted_lookup(large, least, ["u"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+            least.select("u", F.col("m").alias("v"))
+        ).distinct()
         now = materialise(small, "edges")
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
@@ -188,14 +201,25 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100)) ->
     docs = docs.select("doc_id", "text")
     sketch = materialise(docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(_sketch, SKETCH), "sketch")
     held = sketch.where("doc_id is not null and n_shingles > 0")
-    classes = materialise(held.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = materialise(
+        held.groupBy("set_hi", "set_lo").agg(
+            F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
+        ),
+        "classes"
+    )
     several = classes.where("id != last").select("set_hi", "set_lo", "id")
-    copies = salted_lookup(held.select("set_hi", "set_lo", "doc_id"), several, ["set_hi", "set_lo"]).where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
+    copies = salted_lookup(held.select("set_hi", "set_lo", "doc_id"), several, ["set_hi", "set_lo"]).where("doc_id != id").select(
+        F.col("doc_id").alias("a"), F.col("id").alias("b")
+    ).distinct()
 
     keys = classes.select("id", F.explode(_keys("sig")).alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count(F.lit(1)).alias("members")).where("leader != last").drop("last")
+    buckets = keys.groupBy("key").agg(
+        F.min("id").alias("leader"), F.max("id").alias("last"), F.count(F.lit(1)).alias("members")
+    ).where("leader != last").drop("last")
     n_keys = CHUNKS * PER_CHUNK * classes.count()
-    members = materialise(hot_join(keys, buckets, "key", hot_keys(buckets, "key", "members", n_keys)).select("key", "id", "leader", "members"), "members")
+    members = materialise(
+        hot_join(keys, buckets, "key", hot_keys(buckets, "key", "members", n_keys)).select("key", "id", "leader", "members"), "members"
+    )
     n_members = members.count()
 
     sizes = classes.select("id", "n", "sig")
@@ -205,13 +229,18 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100)) ->
         pairs = materialise(pairs, "pairs")
         many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("w"))
         hot = hot_keys(many, "b", "w", pairs.count())
-        ours, theirs = sizes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+        ours, theirs = sizes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), sizes.select(
+            F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")
+        )
         out = hot_join(pairs.join(ours, "a"), theirs, "b", hot)
         fits = F.least("na", "nb") * threshold[1] >= F.greatest("na", "nb") * threshold[0]
         return materialise(out.where(fits & (_distance("sa", "sb") <= MAX_DISTANCE)).select("a", "b").distinct(), "close")
 
     is_link = F.col("inter") * threshold[1] >= F.col("total") * threshold[0]
-    first = materialise(_verify(close(members.where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()), docs), "verified")
+    first = materialise(
+        _verify(close(members.where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()), docs),
+        "verified"
+    )
     links = first.where(is_link).select("a", "b")
     label = materialise(components(links.unionByName(copies)), "labels")
 
@@ -219,29 +248,63 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100)) ->
     crowd = members.where("members > 2")
     named = crowd.join(label, "id", "left").select("key", "id", "leader", F.coalesce("component", "id").alias("comp"))
     led = crowd.groupBy("leader").agg(F.count(F.lit(1)).alias("w"))
-    outside = hot_join(named, label.select(F.col("id").alias("leader"), F.col("component").alias("leads")), "leader", hot_keys(led, "leader", "w", n_members), how="left")
+    outside = hot_join(
+        named,
+        label.select(F.col("id").alias("leader"), F.col("component").alias("leads")),
+        "leader",
+        hot_keys(led, "leader", "w", n_members),
+        how="left"
+    )
     outside = outside.withColumn("out", F.col("comp") != F.coalesce("leads", "leader"))
     apart = F.when(F.col("sure"), 1 - F.col("inter") / F.col("total")).alias("d")
-    outside = materialise(outside.join(first.select(F.col("a").alias("id"), F.col("b").alias("leader"), apart), ["id", "leader"], "left").select("key", "id", "leader", "comp", "out", "d"), "outside")
+    outside = materialise(
+        outside.join(first.select(F.col("a").alias("id"), F.col("b").alias("leader"), apart), ["id", "leader"], "left").select(
+            "key", "id", "leader", "comp", "out", "d"
+        ),
+        "outside"
+    )
     open_ = outside.groupBy("key").agg(F.sum(F.col("out").cast("long")).alias("n_out"), F.count(F.lit(1)).alias("n_all")).where("n_out > 0")
     salts = materialise(open_.select("key", "n_all", F.ceil(F.col("n_all") / 2048).alias("salts")), "open")
     hot = hot_keys(salts, "key", "n_all", n_members)
     far = 1 - threshold[0] / threshold[1] + 1e-9
-    left = hot_join(outside.where("out and id != leader"), salts, "key", hot).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("d").alias("dx"))
-    right = hot_join(outside.where("id != leader"), salts, "key", hot).select("key", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("d").alias("dy"), "out")
-    apart = (F.col("cx") != F.col("cy")) & (~F.col("out") | (F.col("x") < F.col("y"))) & F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= far, F.lit(True))
+    left = hot_join(outside.where("out and id != leader"), salts, "key", hot).select(
+        "key",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+        F.col("id").alias("x"),
+        F.col("comp").alias("cx"),
+        F.col("d").alias("dx")
+    )
+    right = hot_join(outside.where("id != leader"), salts, "key", hot).select(
+        "key",
+        F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"),
+        F.col("id").alias("y"),
+        F.col("comp").alias("cy"),
+        F.col("d").alias("dy"),
+        "out"
+    )
+    apart = (F.col("cx") != F.col("cy")) & (~F.col("out") | (F.col("x") < F.col("y"))) & F.coalesce(
+        F.abs(F.col("dx") - F.col("dy")) <= far, F.lit(True)
+    )
     rest = left.join(right, ["key", "salt"]).where(apart).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     second = materialise(_verify(close(rest), docs), "verified")
     every = first.unionByName(second).where(is_link).select("a", "b").distinct()
     more = second.where(is_link).select("a", "b")
     if not more.isEmpty():
         label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    degree = every.select(F.col("a").alias("id")).unionByName(every.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("confirmed_links"))
+    degree = every.select(F.col("a").alias("id")).unionByName(every.select(F.col("b").alias("id"))).groupBy("id").agg(
+        F.count(F.lit(1)).alias("confirmed_links")
+    )
     linked = label.join(degree, "id", "left").select(F.col("id").alias("doc_id"), "component", "confirmed_links")
     out = sketch.select("doc_id", "n_shingles").join(linked, "doc_id", "left")
     alone = F.col("n_shingles") == 0
     component = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("confirmed_links", F.lit(0).cast("long")).alias("confirmed_links"))
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.coalesce("confirmed_links", F.lit(0).cast("long")).alias("confirmed_links")
+    )
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,11 +77,25 @@ def _pieces(paths: tuple[str, str | None], capacity: int, with_ids: bool, batche
             ids = np.append(encode(text.as_py() or "", *paths), np.uint32(END)).astype("<u4")
             for k, (start, length) in enumerate(cut(len(ids), capacity)):
                 part = ids[start : start + length]
-                rows.append((doc_id, k, start, length, zlib.crc32(part.tobytes()), task, int(seen[length]), part.astype(np.int32) if with_ids else None))
+                rows.append(
+                    (
+                        doc_id,
+                        k,
+                        start,
+                        length,
+                        zlib.crc32(part.tobytes()),
+                        task,
+                        int(seen[length]),
+                        part.astype(np.int32) if with_ids else None
+                    )
+                )
                 seen[length] += 1
         columns = list(zip(*rows)) if rows else [()] * 8
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", "ids"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, kind) for c, kind in zip(columns, kinds)],
+            ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", "ids"]
+        )
 
 
 def fullest(counts: dict[int, int], room: int, lengths: list[int]) -> list[tuple[int, int]]:
@@ -146,7 +160,10 @@ def _place(table: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         k = rank - row[:, 1]
         sequence, offset = row[:, 2] + k // np.maximum(row[:, 3], 1), row[:, 4] + k % np.maximum(row[:, 3], 1) * length
         kept = [i for i, name in enumerate(batch.schema.names) if name != "rank"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(sequence), pa.array(offset)], [*(batch.schema.names[i] for i in kept), "sequence_id", "offset"])
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(i) for i in kept), pa.array(sequence), pa.array(offset)],
+            [*(batch.schema.names[i] for i in kept), "sequence_id", "offset"]
+        )
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str | None] | None = None, with_ids: bool = False) -> DataFrame:
@@ -160,12 +177,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str | None
     pieces = docs.select("doc_id", "text").mapInArrow(partial(_pieces, paths, capacity, with_ids), schema)
     pieces = materialise(pieces if with_ids else pieces.drop("ids"), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
-    by_task = materialise(by_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")), "lengths")
+    by_task = materialise(
+        by_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")), "lengths"
+    )
     # at most ``capacity`` rows
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows, _ = plan(counts, capacity)
     table = np.array(sorted(rows), np.int64).reshape(len(rows), 5)
-    ranked = pieces.join(by_task.select("task", "length", "before").hint("merge"), ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    ranked = pieces.join(by_task.select("task", "length", "before").hint("merge"), ["task", "length"]).withColumn(
+        "rank", F.col("before") + F.col("nth")
+    )
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "rank"]
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids array<int>, " * with_ids + "sequence_id long, offset long"
     return ranked.select(columns).mapInArrow(partial(_place, table), out)

@@ -22,7 +22,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vectrine.llm.common import read
 
-BOILERPLATE = ("javascript is disabled", "enable cookies", "we use cookies", "cookie policy", "terms of use", "privacy policy", "all rights reserved", "sign up for our newsletter", "click here to", "lorem ipsum")
+BOILERPLATE = (
+    "javascript is disabled",
+    "enable cookies",
+    "we use cookies",
+    "cookie policy",
+    "terms of use",
+    "privacy policy",
+    "all rights reserved",
+    "sign up for our newsletter",
+    "click here to",
+    "lorem ipsum"
+)
 MAX_LOST_PERCENT = 50
 _SYMBOL = re.compile(rb"[#*$%&|<>]")
 _RUN = re.compile(rb"[!?*]{2}[.,]?$")
@@ -76,7 +87,9 @@ def measure(text: bytes) -> tuple[int, int, int, int, int, int, int]:
         if line_fails(line, len(lines) == 1):
             failed += 1
             lost += len(line.split())
-    return len(words), len(joined.translate(None, _MULTIBYTE)), len(_SYMBOL.findall(joined)), len(lines) - len(set(lines)), repeated_words(words), lost, failed
+    return len(words), len(
+        joined.translate(None, _MULTIBYTE)
+    ), len(_SYMBOL.findall(joined)), len(lines) - len(set(lines)), repeated_words(words), lost, failed
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lost_words long, n_failed_lines long, base_failed boolean, kept boolean"
@@ -89,7 +102,22 @@ def _judge(max_lost: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             columns = [pa.array(x, pa.int64()) for x in zip(*found)] if found else [pa.array([], pa.int64())] * 7
             base = [n < 10 or 100 * r > 20 * n for n, _, _, _, r, _, _ in found]
             kept = [not b and 100 * m[5] <= max_lost * m[0] for b, m in zip(base, found)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(base, pa.bool_()), pa.array(kept, pa.bool_()), *batch.columns[2:]], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "n_failed_lines", "base_failed", "kept", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *columns, pa.array(base, pa.bool_()), pa.array(kept, pa.bool_()), *batch.columns[2:]],
+                [
+                    "doc_id",
+                    "n_words",
+                    "word_chars",
+                    "n_symbols",
+                    "n_dup_lines",
+                    "n_repeat_words",
+                    "n_lost_words",
+                    "n_failed_lines",
+                    "base_failed",
+                    "kept",
+                    *batch.schema.names[2:]
+                ]
+            )
 
     return run
 

@@ -7,7 +7,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("near_dedup", "quality_rules", "license_scan", "language_id", "quality_model", "toxicity", "mixing", "packing", "sharding", "exact_topk", "pipeline")
+MODULES = (
+    "near_dedup",
+    "quality_rules",
+    "license_scan",
+    "language_id",
+    "quality_model",
+    "toxicity",
+    "mixing",
+    "packing",
+    "sharding",
+    "exact_topk",
+    "pipeline"
+)
 
 
 def _modules() -> list:

@@ -94,7 +94,14 @@ def weight(docs: DataFrame) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BYTES_PER_BUCKET, per_bucket: int = RECORDS_PER_BUCKET) -> None:
+def write_shards(
+    docs: DataFrame,
+    path: str,
+    shards: int = SHARDS,
+    seed: int = SEED,
+    bucket_bytes: int = BYTES_PER_BUCKET,
+    per_bucket: int = RECORDS_PER_BUCKET
+) -> None:
     """Write all columns of ``docs`` with shard and slot to ``path``, a folder for each shard.
 
     A bucket holds about ``bucket_bytes`` or ``per_bucket`` records, whichever are fewer, and a task about eight buckets, whatever the session's number of
@@ -109,9 +116,16 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     placed = chosen.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.monotonically_increasing_id().alias("place"))
     scanned = placed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "place"), F.lit(buckets)))
     counts = scanned.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    heads = running(counts, [F.col("bucket")], {"upto": F.col("n")}, ["bucket", "n"]).select("bucket", F.lit(-1).cast("long").alias("place"), (F.col("upto") - F.col("n")).alias("start"), "n")
-    scattered = scanned.unionByName(heads, allowMissingColumns=True).repartition(max(1, -(-buckets // BUCKETS_PER_TASK)), "bucket").sortWithinPartitions("bucket", "place")
-    shuffled = scattered.select("row", "bucket", "place", "start", "n").mapInArrow(partial(_shuffle, seed, total, shards), T.StructType([placed.schema["row"], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
+    heads = running(counts, [F.col("bucket")], {"upto": F.col("n")}, ["bucket", "n"]).select(
+        "bucket", F.lit(-1).cast("long").alias("place"), (F.col("upto") - F.col("n")).alias("start"), "n"
+    )
+    scattered = scanned.unionByName(heads, allowMissingColumns=True).repartition(
+        max(1, -(-buckets // BUCKETS_PER_TASK)), "bucket"
+    ).sortWithinPartitions("bucket", "place")
+    shuffled = scattered.select("row", "bucket", "place", "start", "n").mapInArrow(
+        partial(_shuffle, seed, total, shards),
+        T.StructType([placed.schema["row"], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    )
     shuffled.select("row.*", "shard", "slot").write.partitionBy("shard").parquet(path)
 
 
@@ -121,10 +135,20 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     write_shards(docs, path)
     if docs.isEmpty():
-        return docs.selectExpr("doc_id", "0L AS size", "0L AS text_crc32", "'rows' AS law", "0 AS shard", "0L AS slot", "cast(null AS int) AS grown_shard")
+        return docs.selectExpr(
+            "doc_id", "0L AS size", "0L AS text_crc32", "'rows' AS law", "0 AS shard", "0L AS slot", "cast(null AS int) AS grown_shard"
+        )
     written = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path)
     octets = F.coalesce("text", F.lit("")).cast("binary")
-    return written.select("doc_id", (F.octet_length(octets) + 8).cast("long").alias("size"), F.crc32(octets).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return written.select(
+        "doc_id",
+        (F.octet_length(octets) + 8).cast("long").alias("size"),
+        F.crc32(octets).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard")
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_sharding": op2_sharding}

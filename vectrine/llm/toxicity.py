@@ -61,7 +61,9 @@ _COMPILED = {name: re.compile(pattern) for name, pattern in PATTERNS.items()}
 #: Words of which a text that a pattern can fit holds one.
 _TRIGGERS = frozenset(re.findall(r"[^\W\d_]{3,}", re.sub(r"\\.", " ", " ".join(PATTERNS.values())))) | {"go", "te", "ta", "va"}
 _WORD = re.compile(r"[^\W\d_]+")
-LEARNED = tuple(f"{kind} words, part {k}" for kind in ("pure", "mixed") for k in range(WORD_PARTS)) + tuple(f"stems of {n}, part {k}" for n in STEM_LENGTHS for k in range(STEM_PARTS))
+LEARNED = tuple(f"{kind} words, part {k}" for kind in ("pure", "mixed") for k in range(WORD_PARTS)) + tuple(
+    f"stems of {n}, part {k}" for n in STEM_LENGTHS for k in range(STEM_PARTS)
+)
 VOTERS = (*LEXICONS, *PATTERNS, *LEARNED, "several marks", "dense evidence", "no evidence")
 _AT = {name: k for k, name in enumerate(VOTERS)}
 COUNTED = len(LEXICONS) + len(PATTERNS) + len(LEARNED)
@@ -84,9 +86,15 @@ class Lexicons:
     def voters(self, word: str) -> tuple[int, ...]:
         """The voters that a word is a hit of."""
         found = [_AT[name] for name, held in _FIXED.items() if word in held]
-        found += [_AT[f"{kind} words, part {part_of(word, WORD_PARTS)}"] for kind, held in (("pure", self.pure), ("mixed", self.mixed)) if word in held]
+        found += [
+            _AT[f"{kind} words, part {part_of(word, WORD_PARTS)}"] for kind,
+            held in (("pure", self.pure), ("mixed", self.mixed)) if word in held
+        ]
         if len(word) >= 5:
-            found += [_AT[f"stems of {n}, part {part_of(word[:n], STEM_PARTS)}"] for n, held in self.stems.items() if len(word) > n and word[:n] in held]
+            found += [
+                _AT[f"stems of {n}, part {part_of(word[:n], STEM_PARTS)}"] for n,
+                held in self.stems.items() if len(word) > n and word[:n] in held
+            ]
         return tuple(found)
 
     def evidence(self, text: str, known: dict[str, tuple[int, ...]] | None = None) -> list[float]:
@@ -253,7 +261,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [(c, toxic.get(c, 0), other.get(c, 0)) for c in toxic.keys() | other.keys()]
     for at in range(0, len(rows), 50_000):
         part = rows[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64())], ["candidate", "toxic", "other"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([r[0] for r in part], pa.string()),
+                pa.array([r[1] for r in part], pa.int64()),
+                pa.array([r[2] for r in part], pa.int64())
+            ],
+            ["candidate", "toxic", "other"]
+        )
 
 
 def _evidence(lexicons: Lexicons) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -279,19 +294,31 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Callable, rows: int = T
         weights[: len(LEXICONS)] = 3.0
         return Model(Lexicons(), weights, -2.0)
     share = n1 / (n1 + n0)
-    counted = sample.mapInArrow(_count, "candidate string, toxic long, other long").groupBy("candidate").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where("toxic >= 2")
+    counted = sample.mapInArrow(_count, "candidate string, toxic long, other long").groupBy("candidate").agg(
+        F.sum("toxic").alias("toxic"), F.sum("other").alias("other")
+    ).where("toxic >= 2")
     counted = materialise(counted, "candidates")
     held = F.col("toxic") + F.col("other")
     # the log of how unlikely the split is by chance; it has to beat the number of candidates
-    gain = F.col("toxic") * F.log(F.col("toxic") / held / share) + F.col("other") * F.log(F.greatest(F.col("other"), F.lit(0.5)) / held / (1 - share))
+    gain = F.col("toxic") * F.log(F.col("toxic") / held / share) + F.col("other") * F.log(
+        F.greatest(F.col("other"), F.lit(0.5)) / held / (1 - share)
+    )
     ratio = F.col("toxic") / n1 / ((F.col("other") + 0.5) / n0)
-    best = counted.where((gain > math.log(max(1, counted.count())) + 2) & (ratio >= 8)).orderBy(F.desc(gain), "candidate").limit(LEXICON_SIZE).collect()
-    pure, mixed = (frozenset(r["candidate"] for r in best if ":" not in r["candidate"] and (r["other"] == 0) == only) for only in (True, False))
+    best = counted.where(
+        (gain > math.log(max(1, counted.count())) + 2) & (ratio >= 8)
+    ).orderBy(F.desc(gain), "candidate").limit(LEXICON_SIZE).collect()
+    pure, mixed = (
+        frozenset(r["candidate"] for r in best if ":" not in r["candidate"] and (r["other"] == 0) == only) for only in (True, False)
+    )
     # a stem that one word stands for says nothing new, and fits other languages by chance
     def alone(stem: str, toxic: int) -> bool:
         return any(r["toxic"] >= 0.8 * toxic for r in best if r["candidate"].startswith(stem))
 
-    stems = {k: frozenset(r["candidate"][2:] for r in best if r["candidate"].startswith(f"{k}:") and not alone(r["candidate"][2:], r["toxic"])) for k in STEM_LENGTHS}
+    stems = {
+        k: frozenset(
+            r["candidate"][2:] for r in best if r["candidate"].startswith(f"{k}:") and not alone(r["candidate"][2:], r["toxic"])
+        ) for k in STEM_LENGTHS
+    }
     lexicons = Lexicons(pure, mixed, stems)
     seen = sample.mapInArrow(_evidence(lexicons), "e array<double>, y int").collect()
     seen.sort(key=lambda r: (r["y"], r["e"]))
@@ -311,11 +338,18 @@ def rate(docs: DataFrame, model: Model, held) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(model.lexicons)
         for batch in batches:
-            e = np.array([model.lexicons.evidence(text.as_py() or "", known) for text in batch.column(2)], float).reshape(len(batch), EVIDENCE)
+            e = np.array([model.lexicons.evidence(text.as_py() or "", known) for text in batch.column(2)], float).reshape(
+                len(batch), EVIDENCE
+            )
             score = model.scores(e)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
+                ["doc_id", "held_out", "score", "predicted"]
+            )
+
+    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(
+        run, "doc_id long, held_out boolean, score double, predicted int"
+    )
 
 
 def held_out(doc_id):
