@@ -31,7 +31,10 @@ def test_sentence_chunks_cover_and_fit():
 
 
 def test_router(spark):
-    rows = spark.createDataFrame([("a.py", CODE), ("b.txt", "Some text. More."), ("c.cs", "int x;"), (None, "no path"), ("d.py", None)], "file_path string, text string")
+    rows = spark.createDataFrame(
+        [("a.py", CODE), ("b.txt", "Some text. More."), ("c.cs", "int x;"), (None, "no path"), ("d.py", None)],
+        "file_path string, text string"
+    )
     found = chunk.chunk_documents(rows).collect()
     assert {(r["file_path"], r["language"]) for r in found} == {("a.py", "python"), ("b.txt", None), ("c.cs", "csharp"), (None, None)}
 
@@ -40,7 +43,11 @@ def test_router(spark):
 @pytest.mark.parametrize("window", [-1, 30])
 def test_grouping_against_a_loop(spark, overlap, window):
     rows = [(c, i, 60 * ((i * 37 + c) % 11) * i, "x" * (i * 7 % 23)) for c in range(3) for i in range(25)]
-    got = {(r["conv"], r["group_no"], r["pos"]) for r in messages.group_messages(spark.createDataFrame(rows, "conv long, pos long, t long, text string"), 40, window, overlap).collect()}
+    got = {
+        (r["conv"], r["group_no"], r["pos"]) for r in messages.group_messages(
+            spark.createDataFrame(rows, "conv long, pos long, t long, text string"), 40, window, overlap
+        ).collect()
+    }
     want = set()
     for c in range(3):
         number, group, last = 0, [], None
@@ -48,7 +55,9 @@ def test_grouping_against_a_loop(spark, overlap, window):
             if not text.strip():
                 continue
             for rule in ("gap", "length"):
-                full = window != -1 and last is not None and t > 0 and (t - last) / 60 > window if rule == "gap" else sum(n for _, n in group) + len(text) > 40
+                full = window != -1 and last is not None and t > 0 and (t - last) / 60 > window if rule == "gap" else sum(
+                    n for _, n in group
+                ) + len(text) > 40
                 if full and group:
                     group = group[-overlap:] if 0 < overlap < len(group) else []
                     number += 1
@@ -60,9 +69,15 @@ def test_grouping_against_a_loop(spark, overlap, window):
 
 
 def test_messages(spark):
-    rows = spark.createDataFrame([("wxid_1: hello",), ("<img cdnurl=x>",), ("a recalled a message",), ("Bob: hi",), ("",), (None,)], "c string")
-    assert [(r[0], r[1]) for r in rows.select(messages.readable(F.col("c")), messages.is_text_message(F.col("c"))).collect()] == [("hello", True), ("", False), ("", False), ("hi", True), ("", False), ("", False)]
-    v = spark.createDataFrame([('{"title":"t","text":"x"}',), ('"Bob: hi"',)], "j string").select(messages.readable_fields(F.parse_json("j"))).collect()
+    rows = spark.createDataFrame(
+        [("wxid_1: hello",), ("<img cdnurl=x>",), ("a recalled a message",), ("Bob: hi",), ("",), (None,)], "c string"
+    )
+    assert [(r[0], r[1]) for r in rows.select(messages.readable(F.col("c")), messages.is_text_message(F.col("c"))).collect()] == [
+        ("hello", True), ("", False), ("", False), ("hi", True), ("", False), ("", False)
+    ]
+    v = spark.createDataFrame([('{"title":"t","text":"x"}',), ('"Bob: hi"',)], "j string").select(
+        messages.readable_fields(F.parse_json("j"))
+    ).collect()
     assert [r[0] for r in v] == ["t | x", "hi"]
 
 
@@ -73,7 +88,9 @@ def test_passages(spark, tmp_path):
     for i, rows in enumerate(([("x", "one")], [("x", "two"), ("y", "three")])):
         passages.write_json_lines(spark.createDataFrame(rows, "id string, text string"), str(tmp_path / str(i)))
     shards = passages.read_shards(spark, [str(tmp_path / "0"), str(tmp_path / "1")])
-    assert {(r["id"], r["text"]) for r in passages.first_shard_wins(shards.select("id", "shard", "text")).collect()} == {("x", "one"), ("y", "three")}
+    assert {(r["id"], r["text"]) for r in passages.first_shard_wins(shards.select("id", "shard", "text")).collect()} == {
+        ("x", "one"), ("y", "three")
+    }
     assert passages.get(held, "1")["text"] == "b"
     with pytest.raises(KeyError):
         passages.get(held, "7")
@@ -90,7 +107,11 @@ def test_index_round_trip(spark, tmp_path):
     assert builder.build(path).rows == 60
     found = index.Searcher(spark, path).search(["document 7 about topic 2"], 5)
     assert found.first()["id"] == "d7"
-    assert all(json.loads(str(r["metadata"]))["topic"] == 2 for r in index.Searcher(spark, path).search("topic 2", 10, filters={"topic": {"==": 2}}).collect())
+    assert all(
+        json.loads(str(r["metadata"]))["topic"] == 2 for r in index.Searcher(spark, path).search(
+            "topic 2", 10, filters={"topic": {"==": 2}}
+        ).collect()
+    )
     assert index.Chat(spark, path, {"type": "simulated"}).ask("what?") == rag.SIMULATED
     with pytest.raises(FileExistsError):
         index.Builder(spark).add_text("x").build(path)
@@ -118,7 +139,9 @@ def test_index_from_embeddings(spark, sf, tmp_path):
 def test_files(spark, tmp_path):
     (tmp_path / ".hidden").mkdir()
     (tmp_path / "sub").mkdir()
-    for name, body in {"a.txt": "one", "b.py": "x = 1", ".hidden/c.txt": "no", "sub/d.md": "two", "e.bin": "no", "skip.log": "no", ".gitignore": "*.log\n"}.items():
+    for name, body in {
+        "a.txt": "one", "b.py": "x = 1", ".hidden/c.txt": "no", "sub/d.md": "two", "e.bin": "no", "skip.log": "no", ".gitignore": "*.log\n"
+    }.items():
         (tmp_path / name).write_text(body)
     with pytest.warns(UserWarning):
         rows = files.read(spark, [str(tmp_path), str(tmp_path / "gone")]).collect()
@@ -131,8 +154,13 @@ def test_files(spark, tmp_path):
 
 def test_history(spark, tmp_path):
     with sqlite3.connect(tmp_path / "History") as db:
-        db.execute("CREATE TABLE urls (last_visit_time INTEGER, url TEXT, title TEXT, visit_count INTEGER, typed_count INTEGER, hidden INTEGER)")
-        db.executemany("INSERT INTO urls VALUES (?, ?, ?, 1, 0, 0)", [(11_644_473_600_000_000 + i * 1_000_000, f"http://x/{i}", f"t{i}") for i in range(10)])
+        db.execute(
+            "CREATE TABLE urls (last_visit_time INTEGER, url TEXT, title TEXT, visit_count INTEGER, typed_count INTEGER, hidden INTEGER)"
+        )
+        db.executemany(
+            "INSERT INTO urls VALUES (?, ?, ?, 1, 0, 0)",
+            [(11_644_473_600_000_000 + i * 1_000_000, f"http://x/{i}", f"t{i}") for i in range(10)]
+        )
     found = history.read(spark, str(tmp_path / "History"), 3).collect()
     assert [r["title"] for r in found] == ["t9", "t8", "t7"]
     assert "1970-01-01 00:00:09" in found[0]["text"]
@@ -151,11 +179,17 @@ def test_mail(spark, tmp_path):
 
 
 def test_chat(spark, tmp_path):
-    held = [{"content": "Bob: hi", "createTime": 10, "isSentFromSelf": False}, {"content": {"title": "t"}, "createTime": 20, "isSentFromSelf": True}, {"content": "", "message": "plain", "createTime": 0}]
+    held = [
+        {"content": "Bob: hi", "createTime": 10, "isSentFromSelf": False},
+        {"content": {"title": "t"}, "createTime": 20, "isSentFromSelf": True},
+        {"content": "", "message": "plain", "createTime": 0}
+    ]
     (tmp_path / "Ann.json").write_text(json.dumps(held))
     rows = chat.read(spark, str(tmp_path))
     assert [(r["contact"], r["text"]) for r in rows.orderBy("pos").collect()] == [("Ann", "hi"), ("Ann", "t"), ("Ann", "plain")]
-    assert chat.documents(rows).first()["text"] == "(1970-01-01 00:00:10) [Contact]: hi\n(1970-01-01 00:00:20) [Me]: t\n(Unknown) [Contact]: plain"
+    assert chat.documents(rows).first()[
+        "text"
+    ] == "(1970-01-01 00:00:10) [Contact]: hi\n(1970-01-01 00:00:20) [Me]: t\n(Unknown) [Contact]: plain"
     chat.export_text(rows, str(tmp_path / "out"))
     assert chat.exports(tmp_path) == [tmp_path]
 
@@ -173,13 +207,23 @@ def test_tool_server_and_options():
 
 
 def test_streams(spark, sf, tmp_path):
-    docs = spark.readStream.schema("doc_id long, text string").parquet(f"{sf}/documents.parquet".replace("documents.parquet", "docum*.parquet"))
+    docs = spark.readStream.schema("doc_id long, text string").parquet(
+        f"{sf}/documents.parquet".replace("documents.parquet", "docum*.parquet")
+    )
     query = ingest.append_passages(docs, str(tmp_path / "out"), str(tmp_path / "c"))
     query.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).select("doc_id").distinct().count() == spark.read.parquet(f"{sf}/documents.parquet").count()
-    talks = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{sf}/convers*.parquet").select(F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), "text")
-    run = ingest.length_groups(talks, 400).writeStream.format("memory").queryName("lengths").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "d")).start()
+    assert spark.read.parquet(str(tmp_path / "out")).select("doc_id").distinct().count() == spark.read.parquet(
+        f"{sf}/documents.parquet"
+    ).count()
+    talks = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{sf}/convers*.parquet").select(
+        F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), "text"
+    )
+    run = ingest.length_groups(talks, 400).writeStream.format("memory").queryName("lengths").trigger(availableNow=True).option(
+        "checkpointLocation", str(tmp_path / "d")
+    ).start()
     run.awaitTermination(120)
-    batch = spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), F.lit(0).cast("long").alias("t"), "text")
+    batch = spark.read.parquet(f"{sf}/conversations.parquet").select(
+        F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), F.lit(0).cast("long").alias("t"), "text"
+    )
     want = {(r["conv"], r["pos"], r["group_no"]) for r in messages.group_messages(batch, 400, -1).collect()}
     assert {tuple(r) for r in spark.table("lengths").collect()} == want

@@ -45,7 +45,9 @@ export class Two {
 """
 
 
-@pytest.mark.parametrize("source, wanted", [(JAVA, ["package", "import", "class One", "interface Two"]), (TYPES, ["import", "const one", "class Two"])])
+@pytest.mark.parametrize(
+    "source, wanted", [(JAVA, ["package", "import", "class One", "interface Two"]), (TYPES, ["import", "const one", "class Two"])]
+)
 def test_declarations_of_brace_languages(source, wanted):
     units = chunk.brace_units(source)
     assert "".join(units) == source
@@ -75,12 +77,16 @@ def test_sentences_against_a_plain_packer():
 
     draw = np.random.default_rng(7)
     for _ in range(200):
-        text = " ".join("w" + "." * int(draw.random() < 0.2) + "\n\n" * int(draw.random() < 0.05) for _ in range(int(draw.integers(0, 120))))
+        text = " ".join(
+            "w" + "." * int(draw.random() < 0.2) + "\n\n" * int(draw.random() < 0.05) for _ in range(int(draw.integers(0, 120)))
+        )
         assert chunk.pack_sentences(text, 20, 8) == plain(text, 20, 8)
 
 
 def test_windows_keep_columns_with_any_name(spark):
-    rows = spark.createDataFrame([(1, "a b c d e", "x", 9), (2, None, "y", 9), (3, " \t", "z", 9)], "doc_id long, text string, _w string, chunk_no long")
+    rows = spark.createDataFrame(
+        [(1, "a b c d e", "x", 9), (2, None, "y", 9), (3, " \t", "z", 9)], "doc_id long, text string, _w string, chunk_no long"
+    )
     out = chunk.word_windows(rows, 3, 1)
     assert out.columns == ["doc_id", "_w", "chunk_no", "chunk"]
     assert [tuple(r) for r in out.orderBy("chunk_no").collect()] == [(1, "x", 0, "a b c"), (1, "x", 1, "c d e")]
@@ -105,7 +111,14 @@ def test_pdf_readers_are_tried_in_turn(monkeypatch):
 
 
 def test_only_wanted_files_are_read(spark, tmp_path):
-    for name, text in (("a.py", "x = 1"), ("b.txt", "words"), ("node_modules/c.py", "no"), (".git/d.py", "no"), ("big.py", "#" * 50), ("odd [1]*.py", "y = 2")):
+    for name, text in (
+        ("a.py", "x = 1"),
+        ("b.txt", "words"),
+        ("node_modules/c.py", "no"),
+        (".git/d.py", "no"),
+        ("big.py", "#" * 50),
+        ("odd [1]*.py", "y = 2")
+    ):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(text)
     found = files.read_code(spark, str(tmp_path), max_bytes=40).collect()
@@ -117,7 +130,9 @@ def test_only_wanted_files_are_read(spark, tmp_path):
 
 def test_archives_of_vectors(spark, tmp_path):
     (tmp_path / "a.npz").write_bytes(vectors.packed(np.array([3, 5]), np.array([[1, 2], [3, 4]], np.float32)))
-    assert sorted((r["id"], list(r["embedding"])) for r in vectors.read(spark, str(tmp_path)).collect()) == [("3", [1.0, 2.0]), ("5", [3.0, 4.0])]
+    assert sorted((r["id"], list(r["embedding"])) for r in vectors.read(spark, str(tmp_path)).collect()) == [
+        ("3", [1.0, 2.0]), ("5", [3.0, 4.0])
+    ]
     with pytest.raises(ValueError):
         vectors.unpacked(vectors.packed(np.array([1]), np.zeros((2, 2))))
 
@@ -128,10 +143,15 @@ def test_golden_of_one_document(spark, tmp_path):
 
 
 def test_chats_to_sqlite_and_cards(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 0, 5, True, "hi"), ("a", 1, 6, False, "ho"), ("b", 0, 7, True, "é")], "contact string, pos long, t long, own boolean, text string")
+    rows = spark.createDataFrame(
+        [("a", 0, 5, True, "hi"), ("a", 1, 6, False, "ho"), ("b", 0, 7, True, "é")],
+        "contact string, pos long, t long, own boolean, text string"
+    )
     assert chat.export_sqlite(rows, str(tmp_path / "c.db"), batch=2) == 3
     with sqlite3.connect(tmp_path / "c.db") as db:
-        assert db.execute("SELECT contact, pos, text FROM messages ORDER BY contact, pos").fetchall() == [("a", 0, "hi"), ("a", 1, "ho"), ("b", 0, "é")]
+        assert db.execute("SELECT contact, pos, text FROM messages ORDER BY contact, pos").fetchall() == [
+            ("a", 0, "hi"), ("a", 1, "ho"), ("b", 0, "é")
+        ]
     inner = "<msg><title>deep</title></msg>".replace("<", "&lt;").replace(">", "&gt;")
     assert chat.unwrapped(f"<msg><title>top</title><refermsg><content>{inner}</content></refermsg></msg>") == "top | deep"
     assert chat.unwrapped("not xml") == "not xml"
@@ -188,7 +208,11 @@ def test_remote_providers(monkeypatch):
 
     class OpenAI:
         def __init__(self):
-            self.embeddings = types.SimpleNamespace(create=lambda model, input: (sizes.append(len(input)), types.SimpleNamespace(data=[types.SimpleNamespace(embedding=[1.0]) for _ in input]))[1])
+            self.embeddings = types.SimpleNamespace(
+                create=lambda model, input: (
+                    sizes.append(len(input)), types.SimpleNamespace(data=[types.SimpleNamespace(embedding=[1.0]) for _ in input])
+                )[1]
+            )
 
     monkeypatch.setitem(sys.modules, "openai", types.SimpleNamespace(OpenAI=OpenAI))
     assert len(embed.compute(["short"] * 900, "text-embedding-3-small", "openai")) == 900 and sizes == [800, 100]
@@ -200,7 +224,12 @@ def test_remote_providers(monkeypatch):
 
     class Client:
         def __init__(self):
-            self.models = types.SimpleNamespace(embed_content=lambda model, contents, config: (kinds.append((len(contents), config["task_type"])), types.SimpleNamespace(embeddings=[types.SimpleNamespace(values=[2.0]) for _ in contents]))[1])
+            self.models = types.SimpleNamespace(
+                embed_content=lambda model, contents, config: (
+                    kinds.append((len(contents), config["task_type"])),
+                    types.SimpleNamespace(embeddings=[types.SimpleNamespace(values=[2.0]) for _ in contents])
+                )[1]
+            )
 
     genai = types.SimpleNamespace(Client=Client)
     monkeypatch.setitem(sys.modules, "google", types.SimpleNamespace(genai=genai))
@@ -261,15 +290,21 @@ def test_applications(spark, tmp_path, monkeypatch):
     with pytest.raises(TypeError):
         apps.App()
     where = str(tmp_path / "i")
-    assert Notes().run(spark, ["--index", where, "--backend", "flat", "--query", "Green tea grows on hills.", "--top-k", "1"]) == ["Green tea grows on hills."]
+    assert Notes().run(spark, ["--index", where, "--backend", "flat", "--query", "Green tea grows on hills.", "--top-k", "1"]) == [
+        "Green tea grows on hills."
+    ]
     assert index.exists(spark, where)
     assert len(Notes().run(spark, ["--index", where, "--query", "tea", "--llm", "simulated"])) == 1
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.txt").write_text("A file about lakes.")
-    assert apps.ReaderApp("files").run(spark, ["--index", str(tmp_path / "j"), "--path", str(tmp_path / "d"), "--query", "lakes", "--top-k", "1"]) == ["A file about lakes."]
+    assert apps.ReaderApp("files").run(
+        spark, ["--index", str(tmp_path / "j"), "--path", str(tmp_path / "d"), "--query", "lakes", "--top-k", "1"]
+    ) == ["A file about lakes."]
     assert set(apps.READERS) >= {"files", "code", "mail", "mailbox", "history", "chat"}
     said = []
-    assert index.Chat(spark, where, {"type": "simulated"}).loop(["", "what is green?\n", "quit\n", "never asked"], said.append) == 1 and len(said) == 1
+    assert index.Chat(spark, where, {"type": "simulated"}).loop(
+        ["", "what is green?\n", "quit\n", "never asked"], said.append
+    ) == 1 and len(said) == 1
 
 
 def test_memory_is_measured(spark):

@@ -71,9 +71,14 @@ def test_pq_on_large_tables_and_near_copies(spark, metric, monkeypatch):
     golden = knn.exact_top_k(data, asked, 10, metric)
     assert recall(pq.search(data, codes, books, asked, metric_name=metric), golden) == 1
     # queries among near copies rule the rest of the table out
-    close = asked.where("qid < 20").select("qid", "embedding").join(golden.where("rank = 10").select("qid", F.col("score").alias("least")), "qid")
+    close = asked.where("qid < 20").select("qid", "embedding").join(
+        golden.where("rank = 10").select("qid", F.col("score").alias("least")), "qid"
+    )
     assert pq.candidates(codes, books, close, metric, 6000, 20).count() < 3000
-    assert recall(pq.search(data.limit(7), pq.encode(data.limit(7), books), books, asked, metric_name=metric), knn.exact_top_k(data.limit(7), asked, 10, metric)) == 1
+    assert recall(
+        pq.search(data.limit(7), pq.encode(data.limit(7), books), books, asked, metric_name=metric),
+        knn.exact_top_k(data.limit(7), asked, 10, metric)
+    ) == 1
 
 
 def test_graph_recall_beside_copies(spark, monkeypatch):
@@ -85,7 +90,9 @@ def test_graph_recall_beside_copies(spark, monkeypatch):
     held = embed.embed(docs).cache()
     asked = held.where("id % 20 = 0 and id < 2100").select(F.col("id").alias("qid"), "embedding")
     built = graph.build(held, "cosine", 16, 64, rows=3000).cache()
-    assert built.count() == 3000 and built.groupBy("shard").agg(F.sum((F.col("level") < 0).cast("int")).alias("n")).where("n > 200").count() >= 1
+    assert built.count() == 3000 and built.groupBy("shard").agg(
+        F.sum((F.col("level") < 0).cast("int")).alias("n")
+    ).where("n > 200").count() >= 1
 
     def found(data):
         return graph.search(built, data, asked, 5, "cosine", complexity=32, recompute=("hash", "64"), is_pruned=True, rows=3000)
@@ -114,7 +121,9 @@ def test_k_above_rows_ties_and_empty(spark):
 
 
 def test_post_filter_stays_above_the_search(data, held_out):
-    plan = knn.search(data.withColumn("label", F.col("id") % 3), held_out, 5, filters={"label": {"==": 1}})._jdf.queryExecution().optimizedPlan().toString()
+    plan = knn.search(
+        data.withColumn("label", F.col("id") % 3), held_out, 5, filters={"label": {"==": 1}}
+    )._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("label") >= 0
     assert knn.search(data.withColumn("label", F.col("id") % 3), held_out, 5, filters={"label": {"==": 1}}).count() <= 5 * 40
 
@@ -171,7 +180,9 @@ def test_queries_go_to_few_shards(spark, clustered, monkeypatch, metric):
 def test_compact_graph(spark, clustered):
     rows = graph.compact(graph.build(clustered.where("id < 500"), "l2", 8, 32, rows=500)).cache()
     assert set(graph.check_compact(rows).values()) == {0}
-    broken = rows.withColumn("pointer", F.when(F.col("node") == 7, -1).otherwise(F.col("pointer"))).withColumn("neighbors", F.when(F.col("node") == 9, F.array(F.lit(9).cast("long"))).otherwise(F.col("neighbors")))
+    broken = rows.withColumn("pointer", F.when(F.col("node") == 7, -1).otherwise(F.col("pointer"))).withColumn(
+        "neighbors", F.when(F.col("node") == 9, F.array(F.lit(9).cast("long"))).otherwise(F.col("neighbors"))
+    )
     wrong = graph.check_compact(broken)
     assert wrong["pointers"] >= 1 and wrong["loops"] == 1 and wrong["padding"] == 1 and wrong["foreign"] == 0
 
@@ -192,7 +203,10 @@ def test_pruning_by_codes(spark, clustered, strategy):
         graph.search(held.drop("codes"), None, asked, 10, rows=2000, prune_ratio=0.5)
 
 
-@pytest.mark.parametrize("backend, options", [("graph", {"codes": True}), ("graph", {"is_recompute": False}), ("disk", {}), ("disk", {"is_recompute": False}), ("flat", {})])
+@pytest.mark.parametrize(
+    "backend, options",
+    [("graph", {"codes": True}), ("graph", {"is_recompute": False}), ("disk", {}), ("disk", {"is_recompute": False}), ("flat", {})]
+)
 def test_backends_on_disk(spark, sf, tmp_path, monkeypatch, backend, options):
     from vectrine import index
 

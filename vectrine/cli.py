@@ -14,7 +14,9 @@ from vectrine.sources import files
 
 
 def session() -> SparkSession:
-    spark = SparkSession.builder.appName("vectrine").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.builder.appName("vectrine").config("spark.sql.session.timeZone", "UTC").config(
+        "spark.ui.showConsoleProgress", "false"
+    ).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -82,7 +84,9 @@ def main(arguments: list[str] | None = None) -> int:
         docs = files.read(spark, a.docs, files.parse_extensions(a.file_types), a.include_hidden)
         size, overlap = chunk.checked(a.chunk_size, a.chunk_overlap)
         chunks = chunk.chunk_documents(docs, text_profile=(size, overlap)).withColumnRenamed("chunk", "text").drop("size")
-        m = index.Builder(spark, a.backend, a.embedding_model, a.embedding_mode, is_recompute=not a.no_recompute, is_compact=not a.no_recompute).add_documents(chunks).build(str(Path(a.folder, a.name)), a.force)
+        m = index.Builder(
+            spark, a.backend, a.embedding_model, a.embedding_mode, is_recompute=not a.no_recompute, is_compact=not a.no_recompute
+        ).add_documents(chunks).build(str(Path(a.folder, a.name)), a.force)
         print(f"{a.name}: {m.rows} passages")
         return 0
     path = locate(a.folder, a.name)
@@ -91,7 +95,9 @@ def main(arguments: list[str] | None = None) -> int:
             print(line(row))
         return 0
     chat = index.Chat(spark, path, {"type": a.llm, "model": a.model})
-    options = {"top_k": a.top_k, "llm_options": {"thinking_budget": a.thinking_budget} if a.thinking_budget else None, "complexity": a.complexity}
+    options = {
+        "top_k": a.top_k, "llm_options": {"thinking_budget": a.thinking_budget} if a.thinking_budget else None, "complexity": a.complexity
+    }
     if a.text is None:
         # a question a line, until quit
         chat.loop(sys.stdin, **options)

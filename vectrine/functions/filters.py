@@ -56,12 +56,25 @@ def _typed(column: Column, kind: T.DataType) -> Value:
     nothing, empty = F.lit(None).cast("double"), F.lit(None).cast("array<string>")
     present = column.isNotNull()
     if isinstance(kind, T.BooleanType):
-        return Value(present, no, yes, no, column.cast("int").cast("double"), F.when(column, "True").otherwise("False"), empty, column.cast("long"), column, kind)
+        return Value(
+            present,
+            no,
+            yes,
+            no,
+            column.cast("int").cast("double"),
+            F.when(column, "True").otherwise("False"),
+            empty,
+            column.cast("long"),
+            column,
+            kind
+        )
     if isinstance(kind, T.NumericType):
         whole = column.cast("long") if isinstance(kind, T.IntegralType) else None
         return Value(present, no, yes, no, column.cast("double"), column.cast("string"), empty, whole, column, kind)
     if isinstance(kind, T.ArrayType):
-        return Value(present, no, no, yes, nothing, _printed_list(column, isinstance(kind.elementType, T.StringType)), column.cast("array<string>"))
+        return Value(
+            present, no, no, yes, nothing, _printed_list(column, isinstance(kind.elementType, T.StringType)), column.cast("array<string>")
+        )
     return Value(present, yes, no, no, column.cast("string").try_cast("double"), column.cast("string"), empty, None, column, kind)
 
 
@@ -70,9 +83,13 @@ def _variant(column: Column) -> Value:
     is_text, is_list = tag == "STRING", F.startswith(tag, F.lit("ARRAY"))
     is_bool = tag == "BOOLEAN"
     is_number = is_bool | tag.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(tag, F.lit("DECIMAL"))
-    number = F.when(is_bool, F.try_variant_get(column, "$", "boolean").cast("int").cast("double")).otherwise(F.try_variant_get(column, "$", "double"))
+    number = F.when(is_bool, F.try_variant_get(column, "$", "boolean").cast("int").cast("double")).otherwise(
+        F.try_variant_get(column, "$", "double")
+    )
     items = F.try_variant_get(column, "$", "array<string>")
-    printed = F.when(is_bool, F.initcap(F.try_variant_get(column, "$", "string"))).when(is_list, _printed_list(items, True)).otherwise(F.try_variant_get(column, "$", "string"))
+    printed = F.when(is_bool, F.initcap(F.try_variant_get(column, "$", "string"))).when(is_list, _printed_list(items, True)).otherwise(
+        F.try_variant_get(column, "$", "string")
+    )
     whole = F.when(tag == "BIGINT", F.try_variant_get(column, "$", "long"))
     return Value(column.isNotNull() & (tag != "VOID"), is_text, is_number, is_list, number, printed, items, whole)
 

@@ -25,7 +25,9 @@ def fields(*pairs: tuple[str, Column]) -> Column:
 
 
 def history_document(title: Column, url: Column, visited: Column, visits: Column, typed: Column) -> Column:
-    return fields(("Title", title), ("URL of the page", url), ("Last visited time", visited), ("Visit times", visits), ("Typed times", typed))
+    return fields(
+        ("Title", title), ("URL of the page", url), ("Last visited time", visited), ("Visit times", visits), ("Typed times", typed)
+    )
 
 
 def mail_document(file: Column, sender: Column, to: Column, subject: Column, date: Column, body: Column) -> Column:
@@ -34,7 +36,11 @@ def mail_document(file: Column, sender: Column, to: Column, subject: Column, dat
 
 
 def mailbox_document(sender: Column, to: Column, subject: Column, date: Column, body: Column) -> Column:
-    return F.concat(fields(("From", sender), ("To", to), ("Subject", subject), ("Date", date)), F.lit("\n[EMAIL BODY Start]:\n"), F.coalesce(body, F.lit("")))
+    return F.concat(
+        fields(("From", sender), ("To", to), ("Subject", subject), ("Date", date)),
+        F.lit("\n[EMAIL BODY Start]:\n"),
+        F.coalesce(body, F.lit(""))
+    )
 
 
 def chrome_time(micros: Column) -> Column:
@@ -79,11 +85,40 @@ def mail_parts(raw: bytes, include_html: bool = False) -> dict[str, str]:
     parts = [p for p in message.walk() if p.get_content_type() in wanted and not p.is_multipart()]
     if not parts and not message.is_multipart():
         parts = [message]
-    body = "\n".join((p.get_payload(decode=True) or b"").decode(p.get_content_charset() or "utf-8", "ignore") if (p.get_content_charset() or "utf-8").lower() in _CODECS else (p.get_payload(decode=True) or b"").decode("utf-8", "ignore") for p in parts)
-    return {"from": message.get("From", "Unknown"), "to": message.get("To", "Unknown"), "subject": message.get("Subject", "No Subject"), "date": message.get("Date", "Unknown"), "body": body}
-
-
-_CODECS = {"utf-8", "us-ascii", "ascii", "iso-8859-1", "latin-1", "windows-1252", "cp1252", "iso-8859-15", "gbk", "gb2312", "big5", "shift_jis", "euc-jp", "euc-kr", "koi8-r", "utf-16"}
+    body = "\n".join(
+        (p.get_payload(decode=True) or b"").decode(
+            p.get_content_charset() or "utf-8", "ignore"
+        ) if (
+            p.get_content_charset() or "utf-8"
+        ).lower() in _CODECS else (p.get_payload(decode=True) or b"").decode("utf-8", "ignore") for p in parts
+    )
+    return {
+        "from": message.get("From", "Unknown"),
+        "to": message.get("To", "Unknown"),
+        "subject": message.get("Subject", "No Subject"),
+        "date": message.get("Date", "Unknown"),
+        "body": body
+    }
+
+
+_CODECS = {
+    "utf-8",
+    "us-ascii",
+    "ascii",
+    "iso-8859-1",
+    "latin-1",
+    "windows-1252",
+    "cp1252",
+    "iso-8859-15",
+    "gbk",
+    "gb2312",
+    "big5",
+    "shift_jis",
+    "euc-jp",
+    "euc-kr",
+    "koi8-r",
+    "utf-16"
+}
 
 
 def checked_model(name: str, known: list[str]) -> str:
@@ -101,7 +136,12 @@ def suggest(name: str, known: list[str], limit: int = 8) -> list[str]:
     """Likely meanings of a misspelt name: the same but for case, then prefixes, parts, the same family, and close spellings."""
     low, found = name.lower(), []
     base = re.split(r"[:\-/]", low)[0]
-    stages = (lambda m: m.lower() == low, lambda m: m.lower().startswith(low), lambda m: low in m.lower(), lambda m: re.split(r"[:\-/]", m.lower())[0] == base)
+    stages = (
+        lambda m: m.lower() == low,
+        lambda m: m.lower().startswith(low),
+        lambda m: low in m.lower(),
+        lambda m: re.split(r"[:\-/]", m.lower())[0] == base
+    )
     for stage in stages:
         found += [m for m in known if stage(m) and m not in found]
     for cutoff in (0.4, 0.3):

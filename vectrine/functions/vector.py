@@ -16,7 +16,9 @@ def dot(a: str, b: str) -> Column:
 
 
 def squared_l2(a: str, b: str) -> Column:
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> (cast(x as double) - cast(y as double)) * (cast(x as double) - cast(y as double))), 0D, (s, x) -> s + x)")
+    return F.expr(
+        f"aggregate(zip_with({a}, {b}, (x, y) -> (cast(x as double) - cast(y as double)) * (cast(x as double) - cast(y as double))), 0D, (s, x) -> s + x)"
+    )
 
 
 def norm(a: str) -> Column:
@@ -25,7 +27,9 @@ def norm(a: str) -> Column:
 
 def normalised(a: str) -> Column:
     """Scaled to length 1; a zero vector stays as it is."""
-    return F.expr(f"transform({a}, x -> cast(x as double) / coalesce(nullif(sqrt(aggregate({a}, 0D, (s, y) -> s + cast(y as double) * cast(y as double))), 0D), 1D))")
+    return F.expr(
+        f"transform({a}, x -> cast(x as double) / coalesce(nullif(sqrt(aggregate({a}, 0D, (s, y) -> s + cast(y as double) * cast(y as double))), 0D), 1D))"
+    )
 
 
 def is_finite(a: str) -> Column:
@@ -70,7 +74,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 #: (provider or "" for any, part of the model's name): models that return unit vectors
-UNIT_MODELS = (("openai", "text-embedding"), ("openai", "ada"), ("openai", "3-small"), ("openai", "3-large"), ("voyage", ""), ("cohere", "embed"))
+UNIT_MODELS = (
+    ("openai", "text-embedding"), ("openai", "ada"), ("openai", "3-small"), ("openai", "3-large"), ("voyage", ""), ("cohere", "embed")
+)
 
 
 def default_metric(model: str, mode: str) -> str:

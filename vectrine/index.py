@@ -96,10 +96,24 @@ class GraphBackend(Backend):
         if recompute != m.is_recompute:
             data = index.passages.select(F.col("pos").alias("id"), "text") if recompute else index.embeddings()
             held = held.drop("text", "embedding")
-        books = pq.read_books(index.spark, f"{index.folder}/books") if options.get("prune_ratio", 0) > 0 and m.backend_kwargs.get("codes") else None
+        books = pq.read_books(
+            index.spark, f"{index.folder}/books"
+        ) if options.get("prune_ratio", 0) > 0 and m.backend_kwargs.get("codes") else None
         # scores of models that return unit vectors lie close together, so that the beam would stop too soon
         stop_early = not (m.metric == "cosine" and m.embedding_mode == "openai")
-        return graph.search(held, data, queries, k, m.metric, recompute=(m.embedding_mode, m.embedding_model) if recompute else None, is_pruned=m.is_pruned, rows=m.rows, stop_early=stop_early, books=books, **options)
+        return graph.search(
+            held,
+            data,
+            queries,
+            k,
+            m.metric,
+            recompute=(m.embedding_mode, m.embedding_model) if recompute else None,
+            is_pruned=m.is_pruned,
+            rows=m.rows,
+            stop_early=stop_early,
+            books=books,
+            **options
+        )
 
 
 @register_backend("disk")
@@ -122,7 +136,9 @@ class DiskBackend(Backend):
         store.delete(f"{path}/codes")
         store.rename(staged, f"{path}/codes")
 
-    def search(self, index: Searcher, queries: DataFrame, k: int, recompute: bool, complexity: int = 64, strategy: str = "global", **options: Any) -> DataFrame:
+    def search(
+        self, index: Searcher, queries: DataFrame, k: int, recompute: bool, complexity: int = 64, strategy: str = "global", **options: Any
+    ) -> DataFrame:
         m = index.manifest
         if strategy == "proportional":
             raise NotImplementedError("the disk backend has no proportional pruning")
@@ -148,7 +164,9 @@ class FlatBackend(Backend):
     def search(self, index: Searcher, queries: DataFrame, k: int, recompute: bool, **options: Any) -> DataFrame:
         m = index.manifest
         if recompute:
-            data = embed.embed(index.passages.select(F.col("pos").alias("id"), "text"), model=m.embedding_model, mode=m.embedding_mode).drop("text")
+            data = embed.embed(
+                index.passages.select(F.col("pos").alias("id"), "text"), model=m.embedding_model, mode=m.embedding_mode
+            ).drop("text")
         else:
             data = index.embeddings()
         return knn.exact_top_k(data, queries, k, m.metric, m.rows)
@@ -157,7 +175,9 @@ class FlatBackend(Backend):
 class Builder:
     """Collects documents, then writes an index."""
 
-    def __init__(self, spark: SparkSession, backend: str = "graph", embedding_model: str = "64", embedding_mode: str = "hash", **options: Any):
+    def __init__(
+        self, spark: SparkSession, backend: str = "graph", embedding_model: str = "64", embedding_mode: str = "hash", **options: Any
+    ):
         if unknown := set(options) - OPTIONS - found_backend(backend).options:
             raise ValueError(f"unknown options: {', '.join(sorted(unknown))}")
         expected = default_metric(embedding_model, embedding_mode)
@@ -169,7 +189,9 @@ class Builder:
             warnings.warn("without recomputation the vectors are kept, so the index isn't compact", stacklevel=2)
             compact = False
         self.spark = spark
-        self.manifest = Manifest(backend, embedding_model, embedding_mode, 0, metric(chosen).name, 0, compact, recompute, backend_kwargs=options)
+        self.manifest = Manifest(
+            backend, embedding_model, embedding_mode, 0, metric(chosen).name, 0, compact, recompute, backend_kwargs=options
+        )
         self._texts: list[tuple[str, str | None, str]] = []
         self._frames: list[DataFrame] = []
 
@@ -205,7 +227,9 @@ class Builder:
         """Embed all texts and write the index; blank texts are left out."""
         held = self._write_passages(self._passages(), path, force)
         m = self.manifest
-        vectors = embed.embed(held.select(F.col("pos").alias("id"), "text"), model=m.embedding_model, mode=m.embedding_mode).select("id", "embedding")
+        vectors = embed.embed(
+            held.select(F.col("pos").alias("id"), "text"), model=m.embedding_model, mode=m.embedding_mode
+        ).select("id", "embedding")
         return self._finish(path, vectors, False)
 
     def build_from_embeddings(self, path: str, embeddings: DataFrame, texts: DataFrame | None = None, force: bool = False) -> Manifest:
@@ -213,10 +237,15 @@ class Builder:
         dimension(embeddings)
         if not embeddings.where(~is_finite("embedding")).isEmpty():
             raise ValueError("some vectors hold components that aren't finite")
-        named = passages.aligned(texts.select(F.col("id").cast("string").alias("id"), "text") if texts is not None else passages.placeholders(embeddings), embeddings)
+        named = passages.aligned(
+            texts.select(F.col("id").cast("string").alias("id"), "text") if texts is not None else passages.placeholders(embeddings),
+            embeddings
+        )
         rows = passages.from_documents(named.select("id", "text"), "id")
         held = self._write_passages(rows, path, force)
-        vectors = held.select("id", "pos").join(embeddings.select(F.col("id").cast("string").alias("id"), "embedding"), "id").select(F.col("pos").alias("id"), "embedding")
+        vectors = held.select("id", "pos").join(embeddings.select(F.col("id").cast("string").alias("id"), "embedding"), "id").select(
+            F.col("pos").alias("id"), "embedding"
+        )
         self.manifest = replace(self.manifest, is_compact=False, is_recompute=False)
         return self._finish(path, vectors, True)
 
@@ -270,14 +299,28 @@ class Searcher:
         vectors = embed.compute(texts, self.manifest.embedding_model, self.manifest.embedding_mode)
         return self.spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "qid long, embedding array<float>")
 
-    def search(self, texts: str | list[str], top_k: int = 5, complexity: int = 64, beam_width: int = 1, prune_ratio: float = 0.0, pruning_strategy: str = "global", recompute: bool | None = None, filters: dict[str, Any] | None = None) -> DataFrame:
+    def search(
+        self,
+        texts: str | list[str],
+        top_k: int = 5,
+        complexity: int = 64,
+        beam_width: int = 1,
+        prune_ratio: float = 0.0,
+        pruning_strategy: str = "global",
+        recompute: bool | None = None,
+        filters: dict[str, Any] | None = None
+    ) -> DataFrame:
         """(qid, rank, id, score, text, metadata): the hits of each text, then those of them that meet ``filters``."""
         texts = [texts] if isinstance(texts, str) else texts
         k = min(top_k, self.manifest.rows)
         recompute = self.manifest.is_recompute if recompute is None else recompute
-        options = {} if self.manifest.backend_name == "flat" else {"complexity": complexity, "beam_width": beam_width, "prune_ratio": prune_ratio, "strategy": pruning_strategy}
+        options = {} if self.manifest.backend_name == "flat" else {
+            "complexity": complexity, "beam_width": beam_width, "prune_ratio": prune_ratio, "strategy": pruning_strategy
+        }
         hits = found_backend(self.manifest.backend_name)().search(self, self.embed_queries(texts), k, recompute, **options)
-        found = hits.select("qid", "rank", F.col("id").alias("pos"), "score").join(self.passages, "pos").select("qid", "rank", "id", "score", "text", "metadata")
+        found = hits.select("qid", "rank", F.col("id").alias("pos"), "score").join(self.passages, "pos").select(
+            "qid", "rank", "id", "score", "text", "metadata"
+        )
         return apply_filters(found, filters).orderBy("qid", "rank")
 
 
@@ -335,7 +378,17 @@ def indexes(folders: list[str] | None = None) -> list[dict[str, Any]]:
             except (TypeError, ValueError):
                 continue
             size = sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
-            found.setdefault(str(folder.resolve()), {"project": project, "name": folder.name, "path": str(folder), "mb": size / 1048576, "passages": m.rows, "backend": m.backend_name})
+            found.setdefault(
+                str(folder.resolve()),
+                {
+                    "project": project,
+                    "name": folder.name,
+                    "path": str(folder),
+                    "mb": size / 1048576,
+                    "passages": m.rows,
+                    "backend": m.backend_name
+                }
+            )
     return list(found.values())
 
 

@@ -17,7 +17,12 @@ TOOLS = [
 
 
 def call(name: str, given: dict[str, Any]) -> str:
-    arguments = {"list": lambda: ["list"], "search": lambda: ["search", given["index"], given["text"], "--top-k", str(given.get("top_k", 5)), "--complexity", str(given.get("complexity", 64))]}
+    arguments = {
+        "list": lambda: ["list"],
+        "search": lambda: [
+            "search", given["index"], given["text"], "--top-k", str(given.get("top_k", 5)), "--complexity", str(given.get("complexity", 64))
+        ]
+    }
     if name not in arguments:
         raise ValueError(f"unknown tool {name!r}")
     with contextlib.redirect_stdout(io.StringIO()) as out:
@@ -33,7 +38,13 @@ def answer(request: dict[str, Any]) -> dict[str, Any] | None:
     given = request.get("params") or {}
     match request.get("method"):
         case "initialize":
-            return head | {"result": {"protocolVersion": "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "vectrine", "version": __version__}}}
+            return head | {
+                "result": {
+                    "protocolVersion": "2024-11-05",
+                    "capabilities": {"tools": {}},
+                    "serverInfo": {"name": "vectrine", "version": __version__}
+                }
+            }
         case "tools/list":
             return head | {"result": {"tools": TOOLS}}
         case "tools/call":

@@ -11,10 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LANGUAGE_OF = {".py": "python", ".java": "java", ".cs": "csharp", ".ts": "typescript", ".tsx": "typescript", ".js": "typescript", ".jsx": "typescript"}
+LANGUAGE_OF = {
+    ".py": "python", ".java": "java", ".cs": "csharp", ".ts": "typescript", ".tsx": "typescript", ".js": "typescript", ".jsx": "typescript"
+}
 BRACES = ("java", "csharp", "typescript")
 #: source -> (size, overlap)
-PROFILES = {"text": (256, 128), "code": (512, 64), "code_lines": (512, 50), "email": (256, 25), "browser": (256, 128), "chat": (192, 64), "code_fallback": (256, 64)}
+PROFILES = {
+    "text": (256, 128),
+    "code": (512, 64),
+    "code_lines": (512, 50),
+    "email": (256, 25),
+    "browser": (256, 128),
+    "chat": (192, 64),
+    "code_fallback": (256, 64)
+}
 
 
 def checked(size: int, overlap: int, halve: bool = False) -> tuple[int, int]:
@@ -28,7 +38,10 @@ def _with_chunks(batch: pa.RecordBatch, text: str, rows: list[int], numbers: lis
     """The other columns of a batch, repeated for each chunk."""
     kept = [i for i, name in enumerate(batch.schema.names) if name not in (text, "chunk_no", "chunk")]
     at = pa.array(rows, pa.int64())
-    return pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in kept), pa.array(numbers, pa.int64()), chunks], [*(batch.schema.names[i] for i in kept), "chunk_no", "chunk"])
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(i).take(at) for i in kept), pa.array(numbers, pa.int64()), chunks],
+        [*(batch.schema.names[i] for i in kept), "chunk_no", "chunk"]
+    )
 
 
 def _chunk_schema(docs: DataFrame, text: str) -> T.StructType:
@@ -65,7 +78,9 @@ def char_windows(docs: DataFrame, size: int = 512, overlap: int = 64, text: str
     step = size - overlap
     held = docs.where(F.length(text) > 0)
     starts = F.expr(f"sequence(0, greatest(0, cast(ceil((length({text}) - {size}) / {step}) as int)) * {step}, {step})")
-    return held.select("*", F.posexplode(starts).alias("chunk_no", "_at")).withColumn("chunk", F.expr(f"substring({text}, _at + 1, {size})")).withColumn("chunk_no", F.col("chunk_no").cast("long")).drop("_at", text)
+    return held.select("*", F.posexplode(starts).alias("chunk_no", "_at")).withColumn(
+        "chunk", F.expr(f"substring({text}, _at + 1, {size})")
+    ).withColumn("chunk_no", F.col("chunk_no").cast("long")).drop("_at", text)
 
 
 def drop_blank(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -184,14 +199,26 @@ def use_tokens(count: Callable[[str], list], text: str, size: int, overlap: int)
     return [c for at in starts if (c := "".join(pieces[at : at + size]).strip())]
 
 
-def chunk_documents(docs: DataFrame, text: str = "text", path: str = "file_path", text_profile: tuple[int, int] = PROFILES["text"], code_profile: tuple[int, int] = PROFILES["code"], use_ast: bool = True) -> DataFrame:
+def chunk_documents(
+    docs: DataFrame,
+    text: str = "text",
+    path: str = "file_path",
+    text_profile: tuple[int, int] = PROFILES["text"],
+    code_profile: tuple[int, int] = PROFILES["code"],
+    use_ast: bool = True
+) -> DataFrame:
     """Routes code and prose to their chunkers and keeps the other columns; a failing chunker falls back to sentences, then to the text."""
     routed = with_language(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple[int, int, str]] = []
-            for i, (body, language) in enumerate(zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index("language")).to_pylist())):
+            for i, (body, language) in enumerate(
+                zip(
+                    batch.column(batch.schema.get_field_index(text)).to_pylist(),
+                    batch.column(batch.schema.get_field_index("language")).to_pylist()
+                )
+            ):
                 body = body or ""
                 try:
                     parts = split_code(body, language, *code_profile) if language and use_ast else pack_sentences(body, *text_profile)

@@ -76,10 +76,18 @@ def _transformers(texts: list[str], model: str, batch_size: int | None = None) -
     held = _model(SentenceTransformer, model)
     if where != "cpu" and hasattr(held, "half"):
         held = held.half()
-    return held.encode(texts, batch_size=batch_size or DEVICE_BATCH[where], convert_to_numpy=True, show_progress_bar=False).astype(np.float32)
-
-
-def by_tokens(texts: list[str], tokenise: Callable[[list[str], int], tuple[np.ndarray, np.ndarray]], forward: Callable[[np.ndarray, np.ndarray], np.ndarray], max_length: int = 512, batch_size: int = 32) -> np.ndarray:
+    return held.encode(
+        texts, batch_size=batch_size or DEVICE_BATCH[where], convert_to_numpy=True, show_progress_bar=False
+    ).astype(np.float32)
+
+
+def by_tokens(
+    texts: list[str],
+    tokenise: Callable[[list[str], int], tuple[np.ndarray, np.ndarray]],
+    forward: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    max_length: int = 512,
+    batch_size: int = 32
+) -> np.ndarray:
     """Masked means of token vectors: ``tokenise(texts, max_length)`` gives ids and mask, ``forward(ids, mask)`` the vectors of all tokens."""
     out = []
     for low in range(0, len(texts), batch_size):
@@ -111,7 +119,10 @@ def _openai(texts: list[str], model: str) -> np.ndarray:
     from openai import OpenAI  # optional
 
     client, step = OpenAI(), request_size(texts)
-    return np.array([d.embedding for at in range(0, len(texts), step) for d in client.embeddings.create(model=model, input=texts[at : at + step]).data], np.float32)
+    return np.array(
+        [d.embedding for at in range(0, len(texts), step) for d in client.embeddings.create(model=model, input=texts[at : at + step]).data],
+        np.float32
+    )
 
 
 def _ask_ollama(url: str, body: dict | None = None, tries: int = 3) -> dict:
@@ -149,7 +160,14 @@ def _gemini(texts: list[str], model: str) -> np.ndarray:
     from google import genai  # optional
 
     client = genai.Client()
-    return np.array([e.values for at in range(0, len(texts), 100) for e in client.models.embed_content(model=model, contents=texts[at : at + 100], config={"task_type": "RETRIEVAL_DOCUMENT"}).embeddings], np.float32)
+    return np.array(
+        [
+            e.values for at in range(0, len(texts), 100) for e in client.models.embed_content(
+                model=model, contents=texts[at : at + 100], config={"task_type": "RETRIEVAL_DOCUMENT"}
+            ).embeddings
+        ],
+        np.float32
+    )
 
 
 #: mode -> f(texts, model) -> array (texts, dimensions); may be extended
@@ -187,14 +205,18 @@ def embed(df: DataFrame, text: str = "text", model: str = "64", mode: str = "has
                 if good:
                     for i, v in zip(good, function([texts[i] for i in good], model)):
                         vectors[i] = v
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32()))], [*part.schema.names, "embedding"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(vectors, pa.list_(pa.float32()))], [*part.schema.names, "embedding"]
+                )
 
     base = df.drop("embedding")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + ", embedding array<float>"
     return base.mapInArrow(run, schema)
 
 
-def recomputed_distances(ids: DataFrame, passages: DataFrame, query: list[float], metric_name: str = "mips", model: str = "64", mode: str = "hash") -> DataFrame:
+def recomputed_distances(
+    ids: DataFrame, passages: DataFrame, query: list[float], metric_name: str = "mips", model: str = "64", mode: str = "hash"
+) -> DataFrame:
     """(id, distance) of ``ids``, embedding their texts on demand; an id without a passage gets the sentinel distance."""
     from vectrine.functions.vector import MISSING_DISTANCE, metric
 
@@ -208,7 +230,9 @@ def recomputed(ids: DataFrame, passages: DataFrame, dimensions: int, model: str
     """(id, embedding, is_found) of ``ids``: texts embedded on demand; an id without a passage, or with a blank one, gets zeros."""
     found = ids.select("id").join(passages.select("id", "text"), "id", "left")
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dimensions)
-    return embed(found, model=model, mode=mode).select("id", F.coalesce("embedding", zeros).alias("embedding"), F.col("embedding").isNotNull().alias("is_found"))
+    return embed(found, model=model, mode=mode).select(
+        "id", F.coalesce("embedding", zeros).alias("embedding"), F.col("embedding").isNotNull().alias("is_found")
+    )
 
 
 def mean_pool(tokens: DataFrame, by: str, vector: str, mask: str | None = None) -> DataFrame:

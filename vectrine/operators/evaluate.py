@@ -12,7 +12,9 @@ def recall_at_k(found: DataFrame, golden: DataFrame, by: str = "qid", item: str
     sizes = b.groupBy(by).agg(F.count(F.lit(1)).alias("golden"))
     shared = a.join(b, [by, item], "left_semi").groupBy(by).agg(F.count(F.lit(1)).alias("shared"))
     every = a.select(by).union(b.select(by)).distinct()
-    return every.join(sizes, by, "left").join(shared, by, "left").select(by, F.coalesce(F.col("shared") / F.col("golden"), F.lit(0.0)).alias("recall"))
+    return every.join(sizes, by, "left").join(shared, by, "left").select(
+        by, F.coalesce(F.col("shared") / F.col("golden"), F.lit(0.0)).alias("recall")
+    )
 
 
 def upper_median_of(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -27,7 +29,13 @@ def upper_median_of(df: DataFrame, by: str, value: str) -> DataFrame:
 
 def latency(df: DataFrame, by: str, seconds: str) -> DataFrame:
     """Mean, population deviation, maximum and throughput of timings."""
-    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(seconds).alias("mean"), F.stddev_pop(seconds).alias("std"), F.max(seconds).alias("most"), (F.count(F.lit(1)) / F.sum(seconds)).alias("per_second"))
+    return df.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(seconds).alias("mean"),
+        F.stddev_pop(seconds).alias("std"),
+        F.max(seconds).alias("most"),
+        (F.count(F.lit(1)) / F.sum(seconds)).alias("per_second")
+    )
 
 
 def validity(df: DataFrame, by: str, score: str) -> DataFrame:

@@ -61,7 +61,9 @@ def _build(name: str, degree: int, candidates: int, alpha: float, table: pa.Tabl
     # the graph is that of distinct vectors; each stands under the smallest of its ids
     every_id = ids
     mean = x.mean(axis=0) if len(x) else None
-    _, first, group = np.unique(x + 0.0, axis=0, return_index=True, return_inverse=True) if len(x) else (x, np.zeros(0, int), np.zeros(0, int))
+    _, first, group = np.unique(x + 0.0, axis=0, return_index=True, return_inverse=True) if len(x) else (
+        x, np.zeros(0, int), np.zeros(0, int)
+    )
     owner = first[group.reshape(-1)]
     first = np.sort(first)
     ids, x = ids[first], x[first]
@@ -113,7 +115,15 @@ def _build(name: str, degree: int, candidates: int, alpha: float, table: pa.Tabl
     neighbours += [[int(ids[i]), *neighbours[i]] for i in of]
     nodes = np.concatenate([ids, every_id[copies]])
     centres = [mean.tolist() if level == 1 else None for level in levels] + [None] * len(copies)
-    return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(nodes), pa.int32()), "node": pa.array(nodes, pa.int64()), "level": pa.array(levels + [-1] * len(copies), pa.int32()), "neighbors": pa.array(neighbours, pa.list_(pa.int64())), "centre": pa.array(centres, pa.list_(pa.float32()))})
+    return pa.table(
+        {
+            "shard": pa.array([table["shard"][0].as_py()] * len(nodes), pa.int32()),
+            "node": pa.array(nodes, pa.int64()),
+            "level": pa.array(levels + [-1] * len(copies), pa.int32()),
+            "neighbors": pa.array(neighbours, pa.list_(pa.int64())),
+            "centre": pa.array(centres, pa.list_(pa.float32()))
+        }
+    )
 
 
 def shard_count(rows: int) -> int:
@@ -132,7 +142,11 @@ def placed(vectors: DataFrame, name: str, shards: int, rows: int, sample: DataFr
         return vectors.withColumn("shard", F.lit(0))
     drawn = F.xxhash64(F.lit(17), "id")
     some = (vectors if sample is None else sample).where(F.pmod(drawn, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * SAMPLE_ROWS / rows)))
-    x = as_matrix(some.select("id", "embedding").orderBy(drawn, "id").limit(SAMPLE_ROWS).select(F.col("embedding").cast("array<float>").alias("e")).toArrow()["e"].combine_chunks())
+    x = as_matrix(
+        some.select("id", "embedding").orderBy(drawn, "id").limit(SAMPLE_ROWS).select(
+            F.col("embedding").cast("array<float>").alias("e")
+        ).toArrow()["e"].combine_chunks()
+    )
     x = unit(x) if name == "cosine" else x
     centres = k_means(x, min(CELLS, shards))
     squares = (centres**2).sum(axis=1)
@@ -147,12 +161,22 @@ def placed(vectors: DataFrame, name: str, shards: int, rows: int, sample: DataFr
             cell = (squares - 2 * (unit(y) if name == "cosine" else y) @ centres.T).argmin(axis=1)
             mixed = (batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             shard = first[cell] + mixed.astype(np.int64) % parts[cell]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard.astype(np.int32))], ["id", "embedding", "shard"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(shard.astype(np.int32))], ["id", "embedding", "shard"]
+            )
 
     return vectors.mapInArrow(run, "id long, embedding array<float>, shard int")
 
 
-def build(vectors: DataFrame, metric_name: str = "mips", degree: int = 32, candidates: int = 200, alpha: float = 1.2, rows: int | None = None, sample: DataFrame | None = None) -> DataFrame:
+def build(
+    vectors: DataFrame,
+    metric_name: str = "mips",
+    degree: int = 32,
+    candidates: int = 200,
+    alpha: float = 1.2,
+    rows: int | None = None,
+    sample: DataFrame | None = None
+) -> DataFrame:
     """(shard, node, level, neighbors, centre) of ``vectors`` (id, embedding); level 1 marks the entry point of a shard, which holds the shard's mean.
 
     Level -1 marks a copy: its first neighbour is the node that holds the same vector, the others are that node's.  sample: vectors to train the
@@ -176,7 +200,15 @@ def layout(graph: DataFrame, data: DataFrame, codes: DataFrame | None = None) ->
     return held.repartitionByRange("shard").sortWithinPartitions("shard", "node")
 
 
-def beam(entry: int, neighbours: Callable[[int], list[int]], score: Callable[[list[int]], np.ndarray], complexity: int, beam_width: int = 1, choose: Callable[[list[list[int]]], list[int]] | None = None, stop_early: bool = True) -> tuple[dict[int, float], int]:
+def beam(
+    entry: int,
+    neighbours: Callable[[int], list[int]],
+    score: Callable[[list[int]], np.ndarray],
+    complexity: int,
+    beam_width: int = 1,
+    choose: Callable[[list[list[int]]], list[int]] | None = None,
+    stop_early: bool = True
+) -> tuple[dict[int, float], int]:
     """Scores of the ``complexity`` best nodes found, and how many nodes were scored.
 
     choose: which of the nodes first seen in a step (by expanded node) are scored.
@@ -230,7 +262,19 @@ def chooser(strategy: str, ratio: float, near: Callable[[list[int]], np.ndarray]
     return choose
 
 
-def _search(name: str, k: int, complexity: int, beam_width: int, mode: tuple[str, str] | None, prune_ratio: float, strategy: str, books: list[np.ndarray] | None, stop_early: bool, graph: pa.Table, queries: pa.Table) -> pa.Table:
+def _search(
+    name: str,
+    k: int,
+    complexity: int,
+    beam_width: int,
+    mode: tuple[str, str] | None,
+    prune_ratio: float,
+    strategy: str,
+    books: list[np.ndarray] | None,
+    stop_early: bool,
+    graph: pa.Table,
+    queries: pa.Table
+) -> pa.Table:
     measure = METRICS[name]
     nodes = graph["node"].to_numpy()
     place = {int(v): i for i, v in enumerate(nodes)}
@@ -277,7 +321,14 @@ def _search(name: str, k: int, complexity: int, beam_width: int, mode: tuple[str
             # ties go to smaller ids by the score that is returned
             best = sorted(((w, round(s, 6) + 0.0) for v, s in top.items() for w in copies[v]), key=lambda p: (-p[1], p[0]))[:k]
             rows += [(qid, v, s, scored) for v, s in best]
-    return pa.table({"qid": pa.array([r[0] for r in rows], pa.int64()), "id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64()), "visited": pa.array([r[3] for r in rows], pa.int64())})
+    return pa.table(
+        {
+            "qid": pa.array([r[0] for r in rows], pa.int64()),
+            "id": pa.array([r[1] for r in rows], pa.int64()),
+            "score": pa.array([r[2] for r in rows], pa.float64()),
+            "visited": pa.array([r[3] for r in rows], pa.int64())
+        }
+    )
 
 
 def routes(graph: DataFrame, queries: DataFrame, probes: int, metric_name: str, shards: int, query_rows: int) -> DataFrame:
@@ -318,25 +369,35 @@ def search(
         blocks = max(1, -(-n_queries // QUERIES_PER_BLOCK))
         held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-        asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")))
+        asked = asked.withColumn(
+            "shard", F.explode(F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>"))
+        )
     else:
         routed = routes(graph, asked, probes, name, shards, n_queries)
         # a row for each shard that is asked: how many blocks its queries take
         busy = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_BLOCK).cast("int").alias("blocks"))
-        held = held.join(F.broadcast(busy) if shards <= BROADCAST_SHARDS else busy, "shard").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
-        asked = asked.join(routed, "qid").join(F.broadcast(busy) if shards <= BROADCAST_SHARDS else busy, "shard").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).drop("blocks")
+        held = held.join(
+            F.broadcast(busy) if shards <= BROADCAST_SHARDS else busy, "shard"
+        ).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
+        asked = asked.join(routed, "qid").join(
+            F.broadcast(busy) if shards <= BROADCAST_SHARDS else busy, "shard"
+        ).withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).drop("blocks")
 
     def run(nodes, asking):
         return _search(name, k, complexity, beam_width, recompute, prune_ratio, strategy, books, stop_early, nodes, asking)
 
-    found = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(run, "qid long, id long, score double, visited long")
+    found = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(
+        run, "qid long, id long, score double, visited long"
+    )
     return ranked(found.withColumn("score", F.round("score", 6)), k)
 
 
 def compact(graph: DataFrame) -> DataFrame:
     """(shard, node, level, degree, pointer, neighbors): adjacency without padding (negative neighbours); pointer is where a node's neighbours begin
     in its shard's list, in order of node."""
-    kept = graph.select("shard", "node", "level", F.filter("neighbors", lambda n: n >= 0).alias("neighbors")).withColumn("degree", F.size("neighbors").cast("long"))
+    kept = graph.select("shard", "node", "level", F.filter("neighbors", lambda n: n >= 0).alias("neighbors")).withColumn(
+        "degree", F.size("neighbors").cast("long")
+    )
     # a shard holds a bounded number of nodes
     before = Window.partitionBy("shard").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     return kept.select("shard", "node", "level", "degree", F.coalesce(F.sum("degree").over(before), F.lit(0)).alias("pointer"), "neighbors")
@@ -363,5 +424,13 @@ def check_compact(rows: DataFrame) -> dict[str, int]:
 def partitions(graph: DataFrame) -> DataFrame:
     """(shard, nodes, edges, inside) of each shard: its nodes, its edges, and the share of them that stay in it."""
     own = graph.groupBy("shard").agg(F.count(F.lit(1)).alias("nodes"))
-    edges = graph.select("shard", F.explode("neighbors").alias("node")).join(graph.select(F.col("shard").alias("other"), "node"), "node", "left")
-    return own.join(edges.groupBy("shard").agg(F.count(F.lit(1)).alias("edges"), F.avg((F.col("other") == F.col("shard")).cast("double")).alias("inside")), "shard", "left")
+    edges = graph.select("shard", F.explode("neighbors").alias("node")).join(
+        graph.select(F.col("shard").alias("other"), "node"), "node", "left"
+    )
+    return own.join(
+        edges.groupBy("shard").agg(
+            F.count(F.lit(1)).alias("edges"), F.avg((F.col("other") == F.col("shard")).cast("double")).alias("inside")
+        ),
+        "shard",
+        "left"
+    )

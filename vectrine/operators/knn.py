@@ -64,7 +64,12 @@ def _block_top_k(name: str, k: int, decode: Callable | None, batches: Iterator[p
                 own = ids[a + low : min(b, a + low + 2048)]
                 least = np.partition(score, len(own) - k, axis=1)[:, len(own) - k] if len(own) > k else np.full(len(score), -np.inf)
                 rows, columns = np.nonzero(score >= least[:, None])
-                top = best(np.concatenate([top[0], rows]), np.concatenate([top[1], score[rows, columns]]), np.concatenate([top[2], own[columns]]), k)
+                top = best(
+                    np.concatenate([top[0], rows]),
+                    np.concatenate([top[1], score[rows, columns]]),
+                    np.concatenate([top[2], own[columns]]),
+                    k
+                )
     yield from out()
 
 
@@ -75,7 +80,15 @@ def ranked(hits: DataFrame, k: int | None = None, score: str = "score", by: str
     return (out.where(F.col("rank") <= k) if k is not None else out).withColumn("rank", F.col("rank").cast("long"))
 
 
-def exact_top_k(data: DataFrame, queries: DataFrame, k: int, metric_name: str = "mips", data_rows: int | None = None, query_rows: int | None = None, decode: Callable | None = None) -> DataFrame:
+def exact_top_k(
+    data: DataFrame,
+    queries: DataFrame,
+    k: int,
+    metric_name: str = "mips",
+    data_rows: int | None = None,
+    query_rows: int | None = None,
+    decode: Callable | None = None
+) -> DataFrame:
     """(qid, id, score, rank): the ``k`` best of ``data`` (id, embedding) for each of ``queries`` (qid, embedding).
 
     Both sides are cut into blocks by a hash of their ids, and each pair of blocks is one task's unit: a task multiplies matrices
@@ -88,13 +101,32 @@ def exact_top_k(data: DataFrame, queries: DataFrame, k: int, metric_name: str =
     def blocks(count: int):
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    asked = queries.select(F.pmod(F.xxhash64("qid"), F.lit(rows)).cast("int").alias("one"), blocks(columns).alias("other"), F.lit(0).alias("kind"), F.col("qid").alias("id"), F.col("embedding").cast("array<float>").alias("x"))
-    offered = data.select(blocks(rows).alias("one"), F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("other"), F.lit(1).alias("kind"), "id", F.col("embedding").cast("array<float>").alias("x"))
+    asked = queries.select(
+        F.pmod(F.xxhash64("qid"), F.lit(rows)).cast("int").alias("one"),
+        blocks(columns).alias("other"),
+        F.lit(0).alias("kind"),
+        F.col("qid").alias("id"),
+        F.col("embedding").cast("array<float>").alias("x")
+    )
+    offered = data.select(
+        blocks(rows).alias("one"),
+        F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("other"),
+        F.lit(1).alias("kind"),
+        "id",
+        F.col("embedding").cast("array<float>").alias("x")
+    )
     tasks = asked.unionByName(offered).repartition("one", "other").sortWithinPartitions("one", "other", "kind")
     return ranked(tasks.mapInArrow(partial(_block_top_k, name, k, decode), "qid long, id long, score double"), k)
 
 
-def search(passages: DataFrame, queries: DataFrame, k: int = 5, metric_name: str = "mips", filters: dict[str, Any] | None = None, filter_mode: str = "post") -> DataFrame:
+def search(
+    passages: DataFrame,
+    queries: DataFrame,
+    k: int = 5,
+    metric_name: str = "mips",
+    filters: dict[str, Any] | None = None,
+    filter_mode: str = "post"
+) -> DataFrame:
     """Top-k search over ``passages`` (id, embedding, any other columns), joined with their other columns.
 
     ``post`` filters the k hits, so that fewer may remain; ``pre`` searches the rows that meet the filters only.
@@ -110,5 +142,7 @@ def search(passages: DataFrame, queries: DataFrame, k: int = 5, metric_name: str
 
 def rerank(hits: DataFrame, data: DataFrame, queries: DataFrame, k: int, metric_name: str = "mips") -> DataFrame:
     """Exact scores for a shortlist (qid, id), then its best ``k``: vectors are fetched for the shortlist only."""
-    pairs = hits.select("qid", "id").join(data.select("id", F.col("embedding").alias("x")), "id").join(queries.select("qid", F.col("embedding").alias("q")), "qid")
+    pairs = hits.select("qid", "id").join(data.select("id", F.col("embedding").alias("x")), "id").join(
+        queries.select("qid", F.col("embedding").alias("q")), "qid"
+    )
     return ranked(pairs.select("qid", "id", F.round(metric(metric_name).score("q", "x"), ROUND).alias("score")), k)

@@ -45,7 +45,9 @@ def group_messages(messages: DataFrame, max_length: int = 128, window_minutes: i
                 last = t
                 out.append((conv, number, pos, t, text, False))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["conv", "group_no", "pos", "t", "text", "carried"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["conv", "group_no", "pos", "t", "text", "carried"]
+            )
 
     ordered = messages.select("conv", "pos", "t", "text").repartition("conv").sortWithinPartitions("conv", "pos")
     return ordered.mapInArrow(fold, GROUPED)
@@ -54,7 +56,9 @@ def group_messages(messages: DataFrame, max_length: int = 128, window_minutes: i
 def summarise(grouped: DataFrame) -> DataFrame:
     """messages, total_length, start_time and end_time of each group."""
     ends = F.struct("pos", "t")
-    out = grouped.groupBy("conv", "group_no").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("text")).alias("total_length"), F.min(ends).alias("a"), F.max(ends).alias("b"))
+    out = grouped.groupBy("conv", "group_no").agg(
+        F.count(F.lit(1)).alias("messages"), F.sum(F.length("text")).alias("total_length"), F.min(ends).alias("a"), F.max(ends).alias("b")
+    )
     return out.select("conv", "group_no", "messages", "total_length", F.col("a.t").alias("start_time"), F.col("b.t").alias("end_time"))
 
 
@@ -94,7 +98,9 @@ def is_text_message(content: Column) -> Column:
 
 def clock(seconds: Column) -> Column:
     """Epoch seconds in the session's time zone; ``Unknown`` for 0 or null."""
-    return F.when(F.coalesce(seconds, F.lit(0)) == 0, "Unknown").otherwise(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss"))
+    return F.when(F.coalesce(seconds, F.lit(0)) == 0, "Unknown").otherwise(
+        F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")
+    )
 
 
 def message_line(seconds: Column, own: Column, text: Column) -> Column:

@@ -34,7 +34,9 @@ def write_json_lines(passages: DataFrame, path: str) -> None:
 
 def read_shards(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Passages of several JSON-lines shards, with the shard's place in ``paths``."""
-    parts = [spark.read.schema("id string, text string, metadata variant").json(p).withColumn("shard", F.lit(i)) for i, p in enumerate(paths)]
+    parts = [
+        spark.read.schema("id string, text string, metadata variant").json(p).withColumn("shard", F.lit(i)) for i, p in enumerate(paths)
+    ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -45,7 +47,9 @@ def first_shard_wins(passages: DataFrame, key: str = "id", shard: str = "shard")
     """One row for each id: that of the first shard holding it."""
     others = [c for c in passages.columns if c not in (key, shard)]
     best = F.min_by(F.struct(*others), F.col(shard))
-    return passages.groupBy(key).agg(F.min(shard).alias(shard), best.alias("_b")).select(key, shard, *(F.col(f"_b.{c}").alias(c) for c in others))
+    return passages.groupBy(key).agg(F.min(shard).alias(shard), best.alias("_b")).select(
+        key, shard, *(F.col(f"_b.{c}").alias(c) for c in others)
+    )
 
 
 def lookup(hits: DataFrame, passages: DataFrame) -> DataFrame:

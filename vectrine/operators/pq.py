@@ -48,9 +48,14 @@ def encode(vectors: DataFrame, books: list[np.ndarray]) -> DataFrame:
             slices = np.array_split(x, len(books), axis=1)
             found = np.stack([((b**2).sum(axis=1)[None, :] - 2 * s @ b.T).argmin(axis=1) for b, s in zip(books, slices)], axis=1)
             error, length = np.linalg.norm(x - decode(books, found), axis=1), np.linalg.norm(x, axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found.astype(np.int16)), pa.list_(pa.int16())), pa.array(error), pa.array(length)], ["id", "codes", "error", "length"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(list(found.astype(np.int16)), pa.list_(pa.int16())), pa.array(error), pa.array(length)],
+                ["id", "codes", "error", "length"]
+            )
 
-    return vectors.select("id", F.col("embedding").cast("array<float>")).mapInArrow(run, "id long, codes array<short>, error double, length double")
+    return vectors.select("id", F.col("embedding").cast("array<float>")).mapInArrow(
+        run, "id long, codes array<short>, error double, length double"
+    )
 
 
 def decode(books: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
@@ -91,8 +96,15 @@ def candidates(codes: DataFrame, books: list[np.ndarray], asked: DataFrame, metr
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
     name = metric(metric_name).name
-    asking = asked.select(F.pmod(F.xxhash64("qid"), F.lit(rows)).cast("int").alias("one"), blocks(columns).alias("other"), F.col("embedding").cast("array<float>").alias("embedding"), "least")
-    offered = codes.select(blocks(rows).alias("one"), F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("other"), "id", "codes", "error", "length")
+    asking = asked.select(
+        F.pmod(F.xxhash64("qid"), F.lit(rows)).cast("int").alias("one"),
+        blocks(columns).alias("other"),
+        F.col("embedding").cast("array<float>").alias("embedding"),
+        "least"
+    )
+    offered = codes.select(
+        blocks(rows).alias("one"), F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("other"), "id", "codes", "error", "length"
+    )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return _possible(name, books, left, right)
@@ -100,14 +112,24 @@ def candidates(codes: DataFrame, books: list[np.ndarray], asked: DataFrame, metr
     return asking.groupBy("one", "other").cogroup(offered.groupBy("one", "other")).applyInArrow(run, "id long").distinct()
 
 
-def search(vectors: DataFrame, codes: DataFrame, books: list[np.ndarray], queries: DataFrame, k: int = 10, shortlist: int = 256, metric_name: str = "mips") -> DataFrame:
+def search(
+    vectors: DataFrame,
+    codes: DataFrame,
+    books: list[np.ndarray],
+    queries: DataFrame,
+    k: int = 10,
+    shortlist: int = 256,
+    metric_name: str = "mips"
+) -> DataFrame:
     """The ``k`` best by exact score, whatever the codes lose.
 
     The exact scores of the ``shortlist`` best by codes give each query a k-th score to reach; vectors are fetched if the error of their codes
     leaves them that chance for some query.  A shortlist of any length gives the same result; codes of small errors rule more out.
     """
     n, q = codes.count(), queries.count()
-    near = exact_top_k(codes.select("id", F.col("codes").alias("embedding")), queries, max(k, shortlist), metric_name, n, q, partial(decode, books))
+    near = exact_top_k(
+        codes.select("id", F.col("codes").alias("embedding")), queries, max(k, shortlist), metric_name, n, q, partial(decode, books)
+    )
     # with fewer than k hits, nothing is ruled out
     least = rerank(near, vectors, queries, k, metric_name).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
     asked = queries.select("qid", "embedding").join(least, "qid", "left").fillna(float("-inf"), "least")
@@ -127,9 +149,19 @@ def read_books(spark: SparkSession, path: str) -> list[np.ndarray]:
     return [np.array([r["centre"] for r in rows if r["part"] == p]) for p in parts]
 
 
-def shortlist(codes: DataFrame, books: list[np.ndarray], queries: DataFrame, complexity: int, metric_name: str, rows: int, query_rows: int | None = None) -> DataFrame:
+def shortlist(
+    codes: DataFrame,
+    books: list[np.ndarray],
+    queries: DataFrame,
+    complexity: int,
+    metric_name: str,
+    rows: int,
+    query_rows: int | None = None
+) -> DataFrame:
     """(qid, id) of the ``complexity`` vectors that score best by their codes; vectors or texts are fetched for these only."""
-    return exact_top_k(codes.select("id", F.col("codes").alias("embedding")), queries, complexity, metric_name, rows, query_rows, partial(decode, books)).select("qid", "id")
+    return exact_top_k(
+        codes.select("id", F.col("codes").alias("embedding")), queries, complexity, metric_name, rows, query_rows, partial(decode, books)
+    ).select("qid", "id")
 
 
 def code_parts(dimensions: int, memory_gb: float | None, rows: int) -> int:

@@ -26,7 +26,9 @@ def prompts(contexts: DataFrame, questions: DataFrame, by: str = "qid") -> DataF
     joined = questions.join(contexts, by, "left")
     head, rest = PROMPT.split("{context}")
     middle, tail = rest.split("{question}")
-    return joined.select(by, F.concat(F.lit(head), F.coalesce("context", F.lit("")), F.lit(middle), F.col("question"), F.lit(tail)).alias("prompt"))
+    return joined.select(
+        by, F.concat(F.lit(head), F.coalesce("context", F.lit("")), F.lit(middle), F.col("question"), F.lit(tail)).alias("prompt")
+    )
 
 
 class LLM(Protocol):
@@ -47,7 +49,9 @@ class Remote:
         self.url, self.body, self.pick, self.headers = url, body, pick, headers or {}
 
     def ask(self, prompt: str, **options: Any) -> str:
-        request = urllib.request.Request(self.url, json.dumps(self.body(prompt, options)).encode(), {"Content-Type": "application/json", **self.headers})
+        request = urllib.request.Request(
+            self.url, json.dumps(self.body(prompt, options)).encode(), {"Content-Type": "application/json", **self.headers}
+        )
         with urllib.request.urlopen(request, timeout=300) as answer:
             return self.pick(json.load(answer))
 
@@ -76,15 +80,29 @@ def options_for(provider: str, model: str, options: dict[str, Any]) -> dict[str,
 
 
 def _openai(model: str) -> LLM:
-    return Remote("https://api.openai.com/v1/chat/completions", lambda p, o: {"model": model, "messages": [{"role": "user", "content": p}], **options_for("openai", model, o)}, lambda a: a["choices"][0]["message"]["content"].strip(), {"Authorization": f"Bearer {os.environ.get('OPENAI_API_KEY', '')}"})
+    return Remote(
+        "https://api.openai.com/v1/chat/completions",
+        lambda p, o: {"model": model, "messages": [{"role": "user", "content": p}], **options_for("openai", model, o)},
+        lambda a: a["choices"][0]["message"]["content"].strip(),
+        {"Authorization": f"Bearer {os.environ.get('OPENAI_API_KEY', '')}"}
+    )
 
 
 def _ollama(model: str) -> LLM:
-    return Remote(os.environ.get("OLLAMA_HOST", "http://localhost:11434") + "/api/generate", lambda p, o: {"model": model, "prompt": p, "stream": False, **options_for("ollama", model, o)}, lambda a: a["response"])
+    return Remote(
+        os.environ.get("OLLAMA_HOST", "http://localhost:11434") + "/api/generate",
+        lambda p, o: {"model": model, "prompt": p, "stream": False, **options_for("ollama", model, o)},
+        lambda a: a["response"]
+    )
 
 
 def _gemini(model: str) -> LLM:
-    return Remote(f"https://generativelanguage.googleapis.com/v1beta/models/{model}:generateContent", lambda p, o: {"contents": [{"parts": [{"text": p}]}]}, lambda a: a["candidates"][0]["content"]["parts"][0]["text"], {"x-goog-api-key": os.environ.get("GEMINI_API_KEY", "")})
+    return Remote(
+        f"https://generativelanguage.googleapis.com/v1beta/models/{model}:generateContent",
+        lambda p, o: {"contents": [{"parts": [{"text": p}]}]},
+        lambda a: a["candidates"][0]["content"]["parts"][0]["text"],
+        {"x-goog-api-key": os.environ.get("GEMINI_API_KEY", "")}
+    )
 
 
 class Local:
@@ -101,7 +119,9 @@ class Local:
 
 
 #: type -> factory of a model's name; may be extended
-PROVIDERS: dict[str, Callable[[str], LLM]] = {"simulated": lambda model: Simulated(), "openai": _openai, "ollama": _ollama, "gemini": _gemini, "hf": Local}
+PROVIDERS: dict[str, Callable[[str], LLM]] = {
+    "simulated": lambda model: Simulated(), "openai": _openai, "ollama": _ollama, "gemini": _gemini, "hf": Local
+}
 
 
 def llm(config: dict[str, str] | None = None) -> LLM:

@@ -26,7 +26,9 @@ def prefix_sum(rows: DataFrame, order: str, value: str, tasks: int = 64) -> Data
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_r").agg(F.sum(value).alias("_v")).select("_r", F.coalesce(F.sum("_v").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(F.broadcast(starts), "_r").withColumn("upto", F.col("_start") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_r", "_start")
+    return ranged.join(F.broadcast(starts), "_r").withColumn(
+        "upto", F.col("_start") + F.coalesce(F.sum(value).over(within), F.lit(0))
+    ).drop("_r", "_start")
 
 
 def byte_offsets(rows: DataFrame, order: str, text: str) -> DataFrame:

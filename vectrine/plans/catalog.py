@@ -98,24 +98,37 @@ def knn_pre_filter(spark, sf_dir):
     return knn.search(data, _asked(data), 10, filters={"label": {"==": 3}}, filter_mode="pre").select("qid", "id", "label", "score", "rank")
 
 
-@query(f"WITH h AS ({_ranked('list_dot_product(q.e, v.e)', 5, _V)}) SELECT h.qid, h.rank, h.id, h.score, d.source, d.lang FROM h JOIN documents d ON d.doc_id = h.id")
+@query(
+    f"WITH h AS ({
+        _ranked('list_dot_product(q.e, v.e)', 5, _V)
+    }) SELECT h.qid, h.rank, h.id, h.score, d.source, d.lang FROM h JOIN documents d ON d.doc_id = h.id"
+)
 def knn_batch(spark, sf_dir):
     data = _vectors(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
     return passages.lookup(knn.exact_top_k(data, _asked(data), 5), docs).select("qid", "rank", "id", "score", "source", "lang")
 
 
-@query("SELECT vec_id, i AS at, round(e[i + 1] / sqrt(list_dot_product(e, e)), 6) + 0.0 AS value FROM (SELECT vec_id, [(x * (1 + vec_id % 5)::FLOAT)::FLOAT::DOUBLE for x in embedding] AS e, unnest(range(0, len(embedding))) AS i FROM embeddings)")
+@query(
+    "SELECT vec_id, i AS at, round(e[i + 1] / sqrt(list_dot_product(e, e)), 6) + 0.0 AS value FROM (SELECT vec_id, [(x * (1 + vec_id % 5)::FLOAT)::FLOAT::DOUBLE for x in embedding] AS e, unnest(range(0, len(embedding))) AS i FROM embeddings)"
+)
 def normalize_vectors(spark, sf_dir):
     data = _vectors(spark, sf_dir, scaled=True)
     out = data.select(F.col("id").alias("vec_id"), F.posexplode(vector.normalised("embedding")).alias("at", "value"))
     return out.select("vec_id", F.col("at").cast("long").alias("at"), (F.round("value", 6) + 0.0).alias("value"))
 
 
-@query("SELECT count(*) AS n, min(len(embedding)) AS low, max(len(embedding)) AS high, count(*) FILTER (len([x for x in embedding if NOT isfinite(x)]) > 0) AS broken FROM embeddings")
+@query(
+    "SELECT count(*) AS n, min(len(embedding)) AS low, max(len(embedding)) AS high, count(*) FILTER (len([x for x in embedding if NOT isfinite(x)]) > 0) AS broken FROM embeddings"
+)
 def vector_quality(spark, sf_dir):
     size = F.size("embedding").cast("long")
-    return _vectors(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("high"), F.count_if(~vector.is_finite("embedding")).alias("broken"))
+    return _vectors(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(size).alias("low"),
+        F.max(size).alias("high"),
+        F.count_if(~vector.is_finite("embedding")).alias("broken")
+    )
 
 
 def _prefix(data: DataFrame) -> DataFrame:
@@ -142,10 +155,16 @@ def recall_at_k(spark, sf_dir):
 def golden_semi_join(spark, sf_dir):
     data = _vectors(spark, sf_dir)
     part = _prefix(data)
-    return knn.exact_top_k(part, _asked(part), 10).join(knn.exact_top_k(data, _asked(data), 10), ["qid", "id"], "left_semi").select("qid", "id")
+    return knn.exact_top_k(part, _asked(part), 10).join(
+        knn.exact_top_k(data, _asked(data), 10), ["qid", "id"], "left_semi"
+    ).select("qid", "id")
 
 
-@query(f"WITH h AS ({_ranked('list_dot_product(q.e, v.e)', 10, _V)}), d AS (SELECT qid, count(*) FILTER (score > 0.3) AS degree FROM h GROUP BY qid) SELECT qid AS node, degree, (coalesce(sum(degree) OVER (ORDER BY qid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS pointer FROM d")
+@query(
+    f"WITH h AS ({
+        _ranked('list_dot_product(q.e, v.e)', 10, _V)
+    }), d AS (SELECT qid, count(*) FILTER (score > 0.3) AS degree FROM h GROUP BY qid) SELECT qid AS node, degree, (coalesce(sum(degree) OVER (ORDER BY qid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS pointer FROM d"
+)
 def csr_prefix_sum(spark, sf_dir):
     data = _vectors(spark, sf_dir)
     near = knn.exact_top_k(data, _asked(data), 10)
@@ -166,7 +185,9 @@ def graph_search_whole_beam(spark, sf_dir):
     data = _vectors(spark, sf_dir)
     n = data.count()
     built = graph.build(data, rows=n)
-    return graph.search(built, data, _asked(data), 10, rows=n, complexity=graph.ROWS_PER_SHARD, probes=graph.shard_bound(n), stop_early=False).select("qid", "id", "score", "rank")
+    return graph.search(
+        built, data, _asked(data), 10, rows=n, complexity=graph.ROWS_PER_SHARD, probes=graph.shard_bound(n), stop_early=False
+    ).select("qid", "id", "score", "rank")
 
 
 @query()
@@ -177,7 +198,9 @@ def graph_search_recompute(spark, sf_dir):
     share = F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * graph.SAMPLE_ROWS / max(1, n)))
     built = graph.build(embed.embed(docs), "cosine", 16, 64, rows=n, sample=embed.embed(docs.where(share)))
     queries = embed.embed(asked).select(F.col("id").alias("qid"), "embedding")
-    return graph.search(built, docs, queries, 5, "cosine", complexity=32, recompute=("hash", "64"), is_pruned=True, rows=n, query_rows=asked.count())
+    return graph.search(
+        built, docs, queries, 5, "cosine", complexity=32, recompute=("hash", "64"), is_pruned=True, rows=n, query_rows=asked.count()
+    )
 
 
 @query(_ranked("list_dot_product(q.e, v.e)", 10, _V))
@@ -187,7 +210,9 @@ def pq_search(spark, sf_dir):
     return pq.search(data, pq.encode(data, books), books, _asked(data), 10)
 
 
-@query("SELECT m AS method, count(*) AS queries, true AS is_enough FROM embeddings, (VALUES ('graph'), ('codes')) t(m) WHERE vec_id % 20 = 0 GROUP BY m")
+@query(
+    "SELECT m AS method, count(*) AS queries, true AS is_enough FROM embeddings, (VALUES ('graph'), ('codes')) t(m) WHERE vec_id % 20 = 0 GROUP BY m"
+)
 def recall_of_indexes(spark, sf_dir):
     """Whether the mean recall@10 over all queries, against exact search, reaches 0.95 for the graph and for a shortlist by codes."""
     data = _vectors(spark, sf_dir)
@@ -195,8 +220,16 @@ def recall_of_indexes(spark, sf_dir):
     golden = knn.exact_top_k(data, asked, 10, data_rows=n)
     books = pq.train(data)
     near = pq.shortlist(pq.encode(data, books), books, asked, 256, "mips", n)
-    found = {"graph": graph.search(graph.build(data, rows=n), data, asked, 10, rows=n, complexity=128), "codes": knn.rerank(near, data, asked, 10)}
-    parts = [evaluate.recall_at_k(hits, golden).agg(F.lit(name).alias("method"), F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.95).alias("is_enough")) for name, hits in found.items()]
+    found = {
+        "graph": graph.search(graph.build(data, rows=n), data, asked, 10, rows=n, complexity=128),
+        "codes": knn.rerank(near, data, asked, 10)
+    }
+    parts = [
+        evaluate.recall_at_k(hits, golden).agg(
+            F.lit(name).alias("method"), F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.95).alias("is_enough")
+        ) for name,
+        hits in found.items()
+    ]
     return parts[0].unionByName(parts[1])
 
 
@@ -208,8 +241,12 @@ def csr_check(spark, sf_dir):
     order = Window.partitionBy("shard").orderBy("node")
     before = F.lag(F.col("pointer") + F.col("degree"), 1, 0).over(order)
     known = rows.groupBy("shard").agg(F.collect_set("node").alias("_known"))
-    fine = (before == F.col("pointer")) & (F.size("neighbors") == F.col("degree")) & ~F.array_contains("neighbors", F.col("node")) & F.forall("neighbors", lambda w: w >= 0)
-    return rows.withColumn("_fine", fine).join(known, "shard").select("node", (F.col("_fine") & (F.size(F.array_except("neighbors", "_known")) == 0)).alias("is_whole"))
+    fine = (before == F.col("pointer")) & (
+        F.size("neighbors") == F.col("degree")
+    ) & ~F.array_contains("neighbors", F.col("node")) & F.forall("neighbors", lambda w: w >= 0)
+    return rows.withColumn("_fine", fine).join(known, "shard").select(
+        "node", (F.col("_fine") & (F.size(F.array_except("neighbors", "_known")) == 0)).alias("is_whole")
+    )
 
 
 # Metadata filters.
@@ -243,8 +280,22 @@ _filter("filter_starts_with", "documents", "doc_id", {"text": {"starts_with": "T
 _filter("filter_ends_with", "documents", "doc_id", {"source": {"ends_with": "7"}}, "ends_with(source, '7')", "documents")
 _filter("filter_is_true", _labelled, "doc_id", {"toxic": {"is_true": True}}, "toxic <> 0", _D)
 _filter("filter_is_false", _labelled, "doc_id", {"toxic": {"is_false": True}}, "toxic = 0", _D)
-_filter("filter_compound", _labelled, "doc_id", {"lang": {"==": "en"}, "n_chars": {">=": 500, "<": 5000}, "quality": {"==": 1}}, "lang = 'en' AND n_chars >= 500 AND n_chars < 5000 AND quality = 1", _D)
-_filter("filter_range_same_field", "part", "p_partkey", {"p_retailprice": {">=": 920, "<=": 950.5}}, "p_retailprice BETWEEN 920 AND 950.5", "part")
+_filter(
+    "filter_compound",
+    _labelled,
+    "doc_id",
+    {"lang": {"==": "en"}, "n_chars": {">=": 500, "<": 5000}, "quality": {"==": 1}},
+    "lang = 'en' AND n_chars >= 500 AND n_chars < 5000 AND quality = 1",
+    _D
+)
+_filter(
+    "filter_range_same_field",
+    "part",
+    "p_partkey",
+    {"p_retailprice": {">=": 920, "<=": 950.5}},
+    "p_retailprice BETWEEN 920 AND 950.5",
+    "part"
+)
 _filter("filter_missing", "documents", "doc_id", {"nowhere": {"!=": 1}}, "false", "documents")
 _filter("filter_unknown_op", "documents", "doc_id", {"lang": {"~~": "en"}}, "false", "documents")
 _filter("filter_exists", _labelled, "doc_id", {"quality": {}}, "quality IS NOT NULL", _D)
@@ -274,28 +325,44 @@ def passage_lookup(spark, sf_dir):
     return passages.lookup(hits, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority"))
 
 
-@query("SELECT id, min(shard) AS shard, arg_min(lang, shard) AS lang FROM (SELECT doc_id // 2 AS id, (doc_id % 2)::INT AS shard, lang FROM documents) GROUP BY id")
+@query(
+    "SELECT id, min(shard) AS shard, arg_min(lang, shard) AS lang FROM (SELECT doc_id // 2 AS id, (doc_id % 2)::INT AS shard, lang FROM documents) GROUP BY id"
+)
 def shard_precedence(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.expr("doc_id div 2").alias("id"), (F.col("doc_id") % 2).cast("int").alias("shard"), "lang")
+    docs = table(spark, sf_dir, "documents").select(
+        F.expr("doc_id div 2").alias("id"), (F.col("doc_id") % 2).cast("int").alias("shard"), "lang"
+    )
     return passages.first_shard_wins(docs)
 
 
-@query("SELECT item, n FROM (SELECT doc_id * 2 + k AS item, CASE WHEN k = 0 THEN text ELSE repeat(' ', (doc_id % 3)::INT) END AS t, doc_id AS n FROM documents, range(2) r(k)) WHERE trim(t) <> ''")
+@query(
+    "SELECT item, n FROM (SELECT doc_id * 2 + k AS item, CASE WHEN k = 0 THEN text ELSE repeat(' ', (doc_id % 3)::INT) END AS t, doc_id AS n FROM documents, range(2) r(k)) WHERE trim(t) <> ''"
+)
 def blank_chunk_drop(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    blanks = docs.select((F.col("doc_id") * 2 + 1).alias("item"), F.expr("repeat(' ', cast(doc_id % 3 as int))").alias("text"), F.col("doc_id").alias("n"))
-    return chunk.drop_blank(docs.select((F.col("doc_id") * 2).alias("item"), "text", F.col("doc_id").alias("n")).unionByName(blanks)).select("item", "n")
+    blanks = docs.select(
+        (F.col("doc_id") * 2 + 1).alias("item"), F.expr("repeat(' ', cast(doc_id % 3 as int))").alias("text"), F.col("doc_id").alias("n")
+    )
+    return chunk.drop_blank(
+        docs.select((F.col("doc_id") * 2).alias("item"), "text", F.col("doc_id").alias("n")).unionByName(blanks)
+    ).select("item", "n")
 
 
 _WORDS = r"w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents)"
 
 
-@query(f"WITH {_WORDS} SELECT doc_id, c AS chunk_no, array_to_string(w[c * 48 + 1:c * 48 + 64], ' ') AS chunk FROM (SELECT *, unnest(range(0, greatest(0, ceil((len(w) - 64) / 48.0))::BIGINT + 1)) AS c FROM w WHERE len(w) > 0)")
+@query(
+    f"WITH {
+        _WORDS
+    } SELECT doc_id, c AS chunk_no, array_to_string(w[c * 48 + 1:c * 48 + 64], ' ') AS chunk FROM (SELECT *, unnest(range(0, greatest(0, ceil((len(w) - 64) / 48.0))::BIGINT + 1)) AS c FROM w WHERE len(w) > 0)"
+)
 def chunk_words(spark, sf_dir):
     return chunk.word_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), 64, 16)
 
 
-@query("SELECT doc_id, c AS chunk_no, substr(text, c * 448 + 1, 512) AS chunk FROM (SELECT *, unnest(range(0, greatest(0, ceil((length(text) - 512) / 448.0))::BIGINT + 1)) AS c FROM documents WHERE length(text) > 0)")
+@query(
+    "SELECT doc_id, c AS chunk_no, substr(text, c * 448 + 1, 512) AS chunk FROM (SELECT *, unnest(range(0, greatest(0, ceil((length(text) - 512) / 448.0))::BIGINT + 1)) AS c FROM documents WHERE length(text) > 0)"
+)
 def chunk_chars(spark, sf_dir):
     return chunk.char_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), 512, 64)
 
@@ -306,9 +373,13 @@ def chunk_sentences(spark, sf_dir):
     return chunk.chunk_documents(docs).select("doc_id", "chunk_no", "chunk")
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) AS extension, CASE WHEN lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) = '.html' THEN 'html' END AS language, coalesce(lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) = '.html', false) AS is_code FROM pages")
+@query(
+    "SELECT page_id, lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) AS extension, CASE WHEN lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) = '.html' THEN 'html' END AS language, coalesce(lower(regexp_extract(url, '[^/](\\.[^./]+)$', 1)) = '.html', false) AS is_code FROM pages"
+)
 def code_text_split(spark, sf_dir):
-    return chunk.with_language(table(spark, sf_dir, "pages"), "url", {".html": "html"}).select("page_id", "extension", "language", "is_code")
+    return chunk.with_language(table(spark, sf_dir, "pages"), "url", {".html": "html"}).select(
+        "page_id", "extension", "language", "is_code"
+    )
 
 
 @query("SELECT regexp_extract(url, '[^/](\\.[^./]+)$', 1) AS ext, count(*) AS n FROM pages GROUP BY ext")
@@ -318,7 +389,9 @@ def ext_counts(spark, sf_dir):
 
 @query("SELECT regexp_replace(url, '/[^/]*$', '') AS parent, count(*) AS files, min(page_id) AS first FROM pages GROUP BY parent")
 def files_by_parent(spark, sf_dir):
-    return table(spark, sf_dir, "pages").groupBy(F.regexp_replace("url", "/[^/]*$", "").alias("parent")).agg(F.count(F.lit(1)).alias("files"), F.min("page_id").alias("first"))
+    return table(spark, sf_dir, "pages").groupBy(F.regexp_replace("url", "/[^/]*$", "").alias("parent")).agg(
+        F.count(F.lit(1)).alias("files"), F.min("page_id").alias("first")
+    )
 
 
 # Messages.
@@ -334,14 +407,23 @@ def group_time_gap(spark, sf_dir):
     return messages.time_sessions(table(spark, sf_dir, "events"), "user_id", "ts").select("event_id", "user_id", "session_no")
 
 
-@query(_GAPS + "SELECT user_id, session_no, count(*) AS messages, sum(length(event_type))::BIGINT AS total_length, min(ts) AS start_time, max(ts) AS end_time FROM s GROUP BY user_id, session_no")
+@query(
+    _GAPS + "SELECT user_id, session_no, count(*) AS messages, sum(length(event_type))::BIGINT AS total_length, min(ts) AS start_time, max(ts) AS end_time FROM s GROUP BY user_id, session_no"
+)
 def session_summary(spark, sf_dir):
     held = messages.time_sessions(table(spark, sf_dir, "events"), "user_id", "ts")
-    return held.groupBy("user_id", "session_no").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("event_type")).cast("long").alias("total_length"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time"))
+    return held.groupBy("user_id", "session_no").agg(
+        F.count(F.lit(1)).alias("messages"),
+        F.sum(F.length("event_type")).cast("long").alias("total_length"),
+        F.min("ts").alias("start_time"),
+        F.max("ts").alias("end_time")
+    )
 
 
 def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), F.lit(0).cast("long").alias("t"), "text")
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), F.lit(0).cast("long").alias("t"), "text"
+    )
 
 
 _FOLD = """
@@ -363,25 +445,38 @@ def group_length_cap(spark, sf_dir):
 
 @query(_FOLD + "SELECT conv_id AS conv, group_no, count(*) AS messages, sum(n)::BIGINT AS total_length FROM f GROUP BY ALL")
 def group_summary(spark, sf_dir):
-    return messages.summarise(messages.group_messages(_talks(spark, sf_dir), 400, -1)).select("conv", "group_no", "messages", F.col("total_length").cast("long"))
+    return messages.summarise(messages.group_messages(_talks(spark, sf_dir), 400, -1)).select(
+        "conv", "group_no", "messages", F.col("total_length").cast("long")
+    )
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(text, '^[^:]+:\\s*', '')) AS shown, trim(regexp_replace(text, '^[^:]+:\\s*', '')) <> '' AND NOT starts_with(trim(regexp_replace(text, '^[^:]+:\\s*', '')), '<') AS is_text FROM conversations")
+@query(
+    "SELECT conv_id, turn, trim(regexp_replace(text, '^[^:]+:\\s*', '')) AS shown, trim(regexp_replace(text, '^[^:]+:\\s*', '')) <> '' AND NOT starts_with(trim(regexp_replace(text, '^[^:]+:\\s*', '')), '<') AS is_text FROM conversations"
+)
 def readable_messages(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", messages.readable(F.col("text")).alias("shown"), messages.is_text_message(F.col("text")).alias("is_text"))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", messages.readable(F.col("text")).alias("shown"), messages.is_text_message(F.col("text")).alias("is_text")
+    )
 
 
-@query("SELECT event_id, '(' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ') ' || CASE WHEN user_id % 2 = 0 THEN '[Me]' ELSE '[Contact]' END || ': ' || event_type AS line FROM events")
+@query(
+    "SELECT event_id, '(' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ') ' || CASE WHEN user_id % 2 = 0 THEN '[Me]' ELSE '[Contact]' END || ': ' || event_type AS line FROM events"
+)
 def message_lines(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
-    return rows.select("event_id", messages.message_line(F.unix_seconds(F.col("ts").cast("timestamp")), F.col("user_id") % 2 == 0, F.col("event_type")).alias("line"))
+    return rows.select(
+        "event_id",
+        messages.message_line(F.unix_seconds(F.col("ts").cast("timestamp")), F.col("user_id") % 2 == 0, F.col("event_type")).alias("line")
+    )
 
 
 # Context, prompts, templates.
 
 
 def _context_sql() -> str:
-    return f"WITH h AS ({_ranked('list_dot_product(q.e, v.e)', 3, _V)}), c AS (SELECT qid, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM h JOIN documents d ON d.doc_id = h.id GROUP BY qid)"
+    return f"WITH h AS ({
+        _ranked('list_dot_product(q.e, v.e)', 3, _V)
+    }), c AS (SELECT qid, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM h JOIN documents d ON d.doc_id = h.id GROUP BY qid)"
 
 
 def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,16 +494,27 @@ _HEAD, _REST = rag.PROMPT.split("{context}")
 _MIDDLE, _TAIL = _REST.split("{question}")
 
 
-@query(_context_sql() + f"SELECT v.vec_id AS qid, '{_HEAD}' || coalesce(context, '') || '{_MIDDLE}' || 'What is like vector ' || v.vec_id || '?' || '{_TAIL}' AS prompt FROM embeddings v LEFT JOIN c ON c.qid = v.vec_id WHERE v.vec_id % 20 = 0")
+@query(
+    _context_sql() + f"SELECT v.vec_id AS qid, '{_HEAD}' || coalesce(context, '') || '{
+        _MIDDLE
+    }' || 'What is like vector ' || v.vec_id || '?' || '{_TAIL}' AS prompt FROM embeddings v LEFT JOIN c ON c.qid = v.vec_id WHERE v.vec_id % 20 = 0"
+)
 def prompt(spark, sf_dir):
-    asked = _asked(_vectors(spark, sf_dir)).select("qid", F.concat(F.lit("What is like vector "), F.col("qid").cast("string"), F.lit("?")).alias("question"))
+    asked = _asked(_vectors(spark, sf_dir)).select(
+        "qid", F.concat(F.lit("What is like vector "), F.col("qid").cast("string"), F.lit("?")).alias("question")
+    )
     return rag.prompts(_contexts(spark, sf_dir), asked)
 
 
-@query("SELECT page_id, '[Title]: ' || substr(url, 1, 150) || chr(10) || '[URL of the page]: ' || url || chr(10) || '[Last visited time]: ' || page_id || chr(10) || '[Visit times]: ' || length(html) || chr(10) || '[Typed times]: 0' AS document FROM pages")
+@query(
+    "SELECT page_id, '[Title]: ' || substr(url, 1, 150) || chr(10) || '[URL of the page]: ' || url || chr(10) || '[Last visited time]: ' || page_id || chr(10) || '[Visit times]: ' || length(html) || chr(10) || '[Typed times]: 0' AS document FROM pages"
+)
 def doc_template(spark, sf_dir):
     rows = table(spark, sf_dir, "pages")
-    return rows.select("page_id", tx.history_document(F.substring("url", 1, 150), F.col("url"), F.col("page_id"), F.length("html"), F.lit(0)).alias("document"))
+    return rows.select(
+        "page_id",
+        tx.history_document(F.substring("url", 1, 150), F.col("url"), F.col("page_id"), F.length("html"), F.lit(0)).alias("document")
+    )
 
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS body FROM pages")
@@ -444,16 +550,22 @@ def hash_embed(spark, sf_dir):
     return out.select("doc_id", F.col("at").cast("long").alias("at"), F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
-@query("SELECT label, i AS at, round(avg(embedding[i + 1]::DOUBLE), 6) + 0.0 AS value FROM (SELECT label, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY label, i")
+@query(
+    "SELECT label, i AS at, round(avg(embedding[i + 1]::DOUBLE), 6) + 0.0 AS value FROM (SELECT label, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY label, i"
+)
 def mean_pool(spark, sf_dir):
     out = _vectors(spark, sf_dir).select("label", F.posexplode("embedding").alias("at", "x"))
-    return out.groupBy("label", F.col("at").cast("long").alias("at")).agg((F.round(F.avg(F.col("x").cast("double")), 6) + 0.0).alias("value"))
+    return out.groupBy("label", F.col("at").cast("long").alias("at")).agg(
+        (F.round(F.avg(F.col("x").cast("double")), 6) + 0.0).alias("value")
+    )
 
 
 # Measures.
 
 
-@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, max(value) AS most FROM events GROUP BY event_type")
+@query(
+    "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, max(value) AS most FROM events GROUP BY event_type"
+)
 def mean_latency(spark, sf_dir):
     held = evaluate.latency(table(spark, sf_dir, "events"), "event_type", "value")
     return held.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "most")
@@ -469,18 +581,26 @@ def score_validity(spark, sf_dir):
     return evaluate.validity(table(spark, sf_dir, "events"), "event_type", "value")
 
 
-@query("SELECT o_orderpriority AS batch, round(avg(o_totalprice) FILTER (o_orderstatus = 'F') / avg(o_totalprice) FILTER (o_orderstatus = 'O'), 6) AS speedup FROM orders GROUP BY batch")
+@query(
+    "SELECT o_orderpriority AS batch, round(avg(o_totalprice) FILTER (o_orderstatus = 'F') / avg(o_totalprice) FILTER (o_orderstatus = 'O'), 6) AS speedup FROM orders GROUP BY batch"
+)
 def speedup_ratio(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "batch")
-    return evaluate.speedup(rows, "batch", "o_orderstatus", "o_totalprice", "F", "O").select("batch", F.round("speedup", 6).alias("speedup"))
+    return evaluate.speedup(rows, "batch", "o_orderstatus", "o_totalprice", "F", "O").select(
+        "batch", F.round("speedup", 6).alias("speedup")
+    )
 
 
 @query("SELECT source, count(*) AS files, round(sum(strlen(text)) / 1048576.0::DOUBLE, 6) AS mb FROM documents GROUP BY source")
 def size_by_source(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.round(F.sum(F.octet_length("text")) / 1048576.0, 6).alias("mb"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.count(F.lit(1)).alias("files"), F.round(F.sum(F.octet_length("text")) / 1048576.0, 6).alias("mb")
+    )
 
 
-@query("SELECT count(*) FILTER (length(text) < 200) AS skipped, count(*) FILTER (length(text) >= 200) AS kept, count(*) FILTER (text IS NULL) AS failed FROM documents")
+@query(
+    "SELECT count(*) FILTER (length(text) < 200) AS skipped, count(*) FILTER (length(text) >= 200) AS kept, count(*) FILTER (text IS NULL) AS failed FROM documents"
+)
 def load_counters(spark, sf_dir):
     size = F.length("text")
     return relational.counters(table(spark, sf_dir, "documents"), skipped=size < 200, kept=size >= 200, failed=F.col("text").isNull())
@@ -511,7 +631,9 @@ def union_sources(spark, sf_dir):
 
 @query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def set_intersect(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(
+        table(spark, sf_dir, "supplier").select("s_nationkey")
+    )
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
@@ -529,9 +651,15 @@ def ordered_distinct(spark, sf_dir):
     return relational.first_positions(table(spark, sf_dir, "documents").select(F.md5("text").alias("mark"), "doc_id"), "mark", "doc_id")
 
 
-@query("SELECT DISTINCT 'p' || (doc_id % 50) AS project, source AS base, lang AS parent, ('p' || (doc_id % 50)) = 'p7' AS is_current FROM documents WHERE source = 'src7' OR lang = 'src7'")
+@query(
+    "SELECT DISTINCT 'p' || (doc_id % 50) AS project, source AS base, lang AS parent, ('p' || (doc_id % 50)) = 'p7' AS is_current FROM documents WHERE source = 'src7' OR lang = 'src7'"
+)
 def index_name_matches(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("p"), (F.col("doc_id") % 50).cast("string")).alias("project"), F.col("source").alias("base"), F.col("lang").alias("parent"))
+    rows = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("p"), (F.col("doc_id") % 50).cast("string")).alias("project"),
+        F.col("source").alias("base"),
+        F.col("lang").alias("parent")
+    )
     return relational.name_matches(rows, "src7", "p7")
 
 

@@ -24,7 +24,9 @@ def passages_written_and_read(spark, sf_dir):
     path = fresh(spark, "passages")
     rows = passages.from_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
     passages.write_json_lines(rows.select("id", "text", "metadata"), path)
-    return passages.read_shards(spark, [path]).select("id", F.try_variant_get("metadata", "$.lang", "string").alias("lang"), F.md5("text").alias("mark"))
+    return passages.read_shards(spark, [path]).select(
+        "id", F.try_variant_get("metadata", "$.lang", "string").alias("lang"), F.md5("text").alias("mark")
+    )
 
 
 @query("SELECT doc_id - 1 + 1 AS id, 'Document ' || doc_id AS text FROM documents")
@@ -39,26 +41,37 @@ def manifest_written_and_read(spark, sf_dir):
     n = table(spark, sf_dir, "documents").count()
     Manifest(metric="cosine", rows=n).write(folder, spark)
     m = Manifest.read(folder, spark)
-    return spark.createDataFrame([(m.backend_name, m.metric, m.rows, m.is_pruned)], "backend string, metric string, rows long, is_pruned boolean")
+    return spark.createDataFrame(
+        [(m.backend_name, m.metric, m.rows, m.is_pruned)], "backend string, metric string, rows long, is_pruned boolean"
+    )
 
 
-@query("SELECT vec_id::VARCHAR AS id, i AS at, round(embedding[i + 1]::DOUBLE, 6) + 0.0 AS value FROM (SELECT *, unnest(range(0, len(embedding))) AS i FROM embeddings)")
+@query(
+    "SELECT vec_id::VARCHAR AS id, i AS at, round(embedding[i + 1]::DOUBLE, 6) + 0.0 AS value FROM (SELECT *, unnest(range(0, len(embedding))) AS i FROM embeddings)"
+)
 def vectors_from_archives(spark, sf_dir):
     held = vectors.from_archives(vectors.to_archives(_vectors(spark, sf_dir)))
     out = held.select("id", F.posexplode("embedding").alias("at", "x"))
     return out.select("id", F.col("at").cast("long").alias("at"), (F.round(F.col("x").cast("double"), 6) + 0.0).alias("value"))
 
 
-@query("SELECT d.doc_id AS id, d.lang, len(e.embedding)::BIGINT AS size FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.doc_id < (SELECT count(*) FROM embeddings)")
+@query(
+    "SELECT d.doc_id AS id, d.lang, len(e.embedding)::BIGINT AS size FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.doc_id < (SELECT count(*) FROM embeddings)"
+)
 def passages_with_vectors(spark, sf_dir):
     """Passages and their vectors by id; unequal counts would be an error."""
     data = _vectors(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").join(data.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    both = passages.aligned(docs.select(F.col("doc_id").cast("string").alias("id"), "lang"), data.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi"))
+    both = passages.aligned(
+        docs.select(F.col("doc_id").cast("string").alias("id"), "lang"),
+        data.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    )
     return both.select(F.col("id").cast("long").alias("id"), "lang", F.size("embedding").cast("long").alias("size"))
 
 
-@query("SELECT CASE WHEN (SELECT count(*) FROM documents WHERE doc_id = 7) = 1 THEN 'found' END AS known, 'missing' AS unknown, true AS is_same FROM (SELECT 1)")
+@query(
+    "SELECT CASE WHEN (SELECT count(*) FROM documents WHERE doc_id = 7) = 1 THEN 'found' END AS known, 'missing' AS unknown, true AS is_same FROM (SELECT 1)"
+)
 def passage_by_id(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     try:
@@ -66,10 +79,16 @@ def passage_by_id(spark, sf_dir):
         unknown = "found"
     except KeyError:
         unknown = "missing"
-    return rows.where("id = '7'").select(F.lit("found").alias("known"), F.lit(unknown).alias("unknown"), (F.col("text") == F.lit(passages.get(rows, "7")["text"])).alias("is_same"))
+    return rows.where("id = '7'").select(
+        F.lit("found").alias("known"),
+        F.lit(unknown).alias("unknown"),
+        (F.col("text") == F.lit(passages.get(rows, "7")["text"])).alias("is_same")
+    )
 
 
-@query("SELECT doc_id, octet, (sum(octet) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - octet)::BIGINT AS \"offset\" FROM (SELECT doc_id, strlen(text) + 1 AS octet FROM documents)")
+@query(
+    "SELECT doc_id, octet, (sum(octet) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - octet)::BIGINT AS \"offset\" FROM (SELECT doc_id, strlen(text) + 1 AS octet FROM documents)"
+)
 def byte_offsets(spark, sf_dir):
     rows = relational.byte_offsets(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     return rows.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("octet"), F.col("offset").cast("long").alias("offset"))
@@ -89,35 +108,63 @@ def files_read(spark, sf_dir):
         store.write(f"{path}/{name}", "not wanted")
     found = files.read(spark, [path, f"{path}-none"], [".txt"])
     mark = F.md5(F.regexp_replace("text", r"\n$", "").cast("binary"))
-    return found.select(F.regexp_extract("file_path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), mark.alias("mark"), F.lit(".html").alias("extension"))
+    return found.select(
+        F.regexp_extract("file_path", r"page_id=(\d+)", 1).cast("long").alias("page_id"),
+        mark.alias("mark"),
+        F.lit(".html").alias("extension")
+    )
 
 
-@query("SELECT ext AS extension, n AS files, row_number() OVER (ORDER BY ext) AS place FROM (SELECT regexp_extract(url, '[^/](\\.[^./]+)$', 1) AS ext, count(*) AS n FROM pages GROUP BY ext)")
+@query(
+    "SELECT ext AS extension, n AS files, row_number() OVER (ORDER BY ext) AS place FROM (SELECT regexp_extract(url, '[^/](\\.[^./]+)$', 1) AS ext, count(*) AS n FROM pages GROUP BY ext)"
+)
 def extensions_in_order(spark, sf_dir):
     rows = files.extensions_of(table(spark, sf_dir, "pages").select(chunk.extension(F.col("url")).alias("extension")))
     # the order that the listing came in
-    return rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")
+    return rows.withColumn("_at", F.monotonically_increasing_id()).withColumn(
+        "place", F.row_number().over(Window.orderBy("_at")).cast("long")
+    ).drop("_at")
 
 
 @query("SELECT page_id, url LIKE '%/.%' AS hidden, contains(url, '/build/') AS excluded FROM pages")
 def path_predicates(spark, sf_dir):
     url = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", files.is_hidden(url).alias("hidden"), files.in_folder(url, ("build",)).alias("excluded"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", files.is_hidden(url).alias("hidden"), files.in_folder(url, ("build",)).alias("excluded")
+    )
 
 
-@query("SELECT conv_id || '-' || turn || '.emlx' AS file, role || '@example.org' AS sender, 'Turn ' || turn AS subject, md5(trim(text, ' ')) AS mark FROM conversations WHERE trim(text) <> ''")
+@query(
+    "SELECT conv_id || '-' || turn || '.emlx' AS file, role || '@example.org' AS sender, 'Turn ' || turn AS subject, md5(trim(text, ' ')) AS mark FROM conversations WHERE trim(text) <> ''"
+)
 def mail_read(spark, sf_dir):
-    head = F.concat(F.lit("From: "), F.col("role"), F.lit("@example.org\nTo: all@example.org\nSubject: Turn "), F.col("turn").cast("string"), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"))
+    head = F.concat(
+        F.lit("From: "),
+        F.col("role"),
+        F.lit("@example.org\nTo: all@example.org\nSubject: Turn "),
+        F.col("turn").cast("string"),
+        F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n")
+    )
     raw = F.concat(F.lit("123\n"), head, F.col("text")).cast("binary")
     name = F.concat_ws("-", F.col("conv_id").cast("string"), F.concat(F.col("turn").cast("string"), F.lit(".emlx")))
     rows = mail.parsed(table(spark, sf_dir, "conversations").where("trim(text) <> ''").select(name.alias("file"), raw.alias("content")))
     return rows.select("file", "sender", "subject", F.md5(F.trim("body").cast("binary")).alias("mark"))
 
 
-@query("SELECT conv_id, count(*) AS messages, string_agg('Turn ' || turn, ',' ORDER BY turn) AS subjects FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+@query(
+    "SELECT conv_id, count(*) AS messages, string_agg('Turn ' || turn, ',' ORDER BY turn) AS subjects FROM conversations WHERE trim(text) <> '' GROUP BY conv_id"
+)
 def mailbox_read(spark, sf_dir):
-    line = F.concat(F.lit("From x\nSubject: Turn "), F.col("turn").cast("string"), F.lit("\nContent-Type: text/plain; charset=utf-8\n\n"), F.regexp_replace("text", r"\n+", " "), F.lit("\n\n"))
-    held = table(spark, sf_dir, "conversations").where("trim(text) <> ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("m"))
+    line = F.concat(
+        F.lit("From x\nSubject: Turn "),
+        F.col("turn").cast("string"),
+        F.lit("\nContent-Type: text/plain; charset=utf-8\n\n"),
+        F.regexp_replace("text", r"\n+", " "),
+        F.lit("\n\n")
+    )
+    held = table(spark, sf_dir, "conversations").where("trim(text) <> ''").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("m")
+    )
     raw = F.array_join(F.transform("m", lambda m: m["line"]), "").cast("binary")
     rows = mail.parsed(held.select(F.col("conv_id").cast("string").alias("file"), raw.alias("content")), "mbox")
     turn = F.regexp_extract("subject", r"(\d+)", 1).cast("long")
@@ -125,24 +172,40 @@ def mailbox_read(spark, sf_dir):
     return rows.groupBy(F.col("file").cast("long").alias("conv_id")).agg(F.count(F.lit(1)).alias("messages"), subjects.alias("subjects"))
 
 
-@query("SELECT conv_id, turn, '[From]: ' || role || chr(10) || '[To]: all' || chr(10) || '[Subject]: ' || turn || chr(10) || '[Date]: today' || chr(10) || '[EMAIL BODY Start]:' || chr(10) || text AS document FROM conversations")
+@query(
+    "SELECT conv_id, turn, '[From]: ' || role || chr(10) || '[To]: all' || chr(10) || '[Subject]: ' || turn || chr(10) || '[Date]: today' || chr(10) || '[EMAIL BODY Start]:' || chr(10) || text AS document FROM conversations"
+)
 def mailbox_template(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", tx.mailbox_document(F.col("role"), F.lit("all"), F.col("turn"), F.lit("today"), F.col("text")).alias("document"))
+    return rows.select(
+        "conv_id", "turn", tx.mailbox_document(F.col("role"), F.lit("all"), F.col("turn"), F.lit("today"), F.col("text")).alias("document")
+    )
 
 
-@query("SELECT conv_id, turn, '[File]: ' || conv_id || chr(10) || '[From]: ' || role || chr(10) || '[To]: all' || chr(10) || '[Subject]: ' || turn || chr(10) || '[Date]: today' || chr(10) || '[EMAIL BODY Start]:' || chr(10) || text AS document FROM conversations")
+@query(
+    "SELECT conv_id, turn, '[File]: ' || conv_id || chr(10) || '[From]: ' || role || chr(10) || '[To]: all' || chr(10) || '[Subject]: ' || turn || chr(10) || '[Date]: today' || chr(10) || '[EMAIL BODY Start]:' || chr(10) || text AS document FROM conversations"
+)
 def mail_template(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", tx.mail_document(F.col("conv_id"), F.col("role"), F.lit("all"), F.col("turn"), F.lit("today"), F.col("text")).alias("document"))
+    return rows.select(
+        "conv_id",
+        "turn",
+        tx.mail_document(F.col("conv_id"), F.col("role"), F.lit("all"), F.col("turn"), F.lit("today"), F.col("text")).alias("document")
+    )
 
 
-@query("SELECT conv_id::VARCHAR AS contact, turn AS pos, role = 'user' AS own, text, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_at, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE turn >= 0")
+@query(
+    "SELECT conv_id::VARCHAR AS contact, turn AS pos, role = 'user' AS own, text, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_at, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE turn >= 0"
+)
 def chat_read(spark, sf_dir):
     """Conversations as one JSON array a contact; a message's place is its turn, counted from the first."""
     held = table(spark, sf_dir, "conversations")
-    one = F.struct("turn", F.col("text").alias("message"), (F.col("turn") * 60).alias("createTime"), (F.col("role") == "user").alias("isSentFromSelf"))
-    grouped = held.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("m"), F.min("turn").alias("first"), F.count(F.lit(1)).alias("n"))
+    one = F.struct(
+        "turn", F.col("text").alias("message"), (F.col("turn") * 60).alias("createTime"), (F.col("role") == "user").alias("isSentFromSelf")
+    )
+    grouped = held.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(one)).alias("m"), F.min("turn").alias("first"), F.count(F.lit(1)).alias("n")
+    )
     rows = chat.parsed(grouped.select(F.col("conv_id").cast("string").alias("contact"), F.to_json("m").alias("value")))
     firsts = grouped.select(F.col("conv_id").cast("string").alias("contact"), "first", "n")
     return rows.join(firsts, "contact").select("contact", (F.col("pos") + F.col("first")).alias("pos"), "own", "text", "n")
@@ -152,28 +215,53 @@ def chat_read(spark, sf_dir):
 def chat_exported(spark, sf_dir):
     """Exported as JSON, a folder for each contact."""
     path = fresh(spark, "chats")
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("contact"), F.col("turn").alias("pos"), F.lit(0).cast("long").alias("t"), F.lit(True).alias("own"), "text")
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("contact"),
+        F.col("turn").alias("pos"),
+        F.lit(0).cast("long").alias("t"),
+        F.lit(True).alias("own"),
+        "text"
+    )
     chat.export_json(rows, path)
-    return spark.read.schema("contact string, pos long, text string, user string").json(path).select("contact", "pos", F.md5("text").alias("mark"))
+    return spark.read.schema("contact string, pos long, text string, user string").json(path).select(
+        "contact", "pos", F.md5("text").alias("mark")
+    )
 
 
 @query("SELECT conv_id, '[Contact] means the message is from: ' || conv_id || chr(10) || text AS chunk, turn FROM conversations")
 def chat_chunks(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("conv_id").cast("string").alias("contact"), F.col("text").alias("chunk"))
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.col("conv_id").cast("string").alias("contact"), F.col("text").alias("chunk")
+    )
     return chat.with_contact(rows).select("conv_id", "chunk", "turn")
 
 
 @query("SELECT page_id, url || ' | ' || page_id AS quoted FROM pages")
 def chat_quotes(spark, sf_dir):
     """Cards of XML: a title, and what they quote."""
-    xml = F.concat(F.lit("<msg><title>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</title><refermsg><content>"), F.col("page_id").cast("string"), F.lit("</content></refermsg></msg>"))
+    xml = F.concat(
+        F.lit("<msg><title>"),
+        F.replace("url", F.lit("&"), F.lit("&amp;")),
+        F.lit("</title><refermsg><content>"),
+        F.col("page_id").cast("string"),
+        F.lit("</content></refermsg></msg>")
+    )
     return table(spark, sf_dir, "pages").withColumn("x", xml).select("page_id", chat.quoted("x").alias("quoted"))
 
 
-@query("SELECT url, '[Title]: ' || url || chr(10) || '[URL of the page]: ' || url || chr(10) || '[Last visited time]: 2024-01-01 00:00:' || lpad((page_id % 60)::VARCHAR, 2, '0') || chr(10) || '[Visit times]: ' || length(html) || chr(10) || '[Typed times]: 0' AS text FROM pages")
+@query(
+    "SELECT url, '[Title]: ' || url || chr(10) || '[URL of the page]: ' || url || chr(10) || '[Last visited time]: 2024-01-01 00:00:' || lpad((page_id % 60)::VARCHAR, 2, '0') || chr(10) || '[Visit times]: ' || length(html) || chr(10) || '[Typed times]: 0' AS text FROM pages"
+)
 def history_documents(spark, sf_dir):
     micros = F.lit(13_348_540_800_000_000) + F.pmod("page_id", F.lit(60)) * 1_000_000
-    rows = table(spark, sf_dir, "pages").select(micros.alias("last_visit_time"), "url", F.col("url").alias("title"), F.length("html").alias("visit_count"), F.lit(0).alias("typed_count"), F.lit(0).alias("hidden"))
+    rows = table(spark, sf_dir, "pages").select(
+        micros.alias("last_visit_time"),
+        "url",
+        F.col("url").alias("title"),
+        F.length("html").alias("visit_count"),
+        F.lit(0).alias("typed_count"),
+        F.lit(0).alias("hidden")
+    )
     return history.documents(rows, with_url=True).select("url", "text")
 
 
@@ -206,7 +294,9 @@ def recall_by_text(spark, sf_dir):
     data = _vectors(spark, sf_dir)
     docs = data.select("id", F.concat(F.lit("text of "), F.col("id").cast("string")).alias("text"))
     near = passages.lookup(knn.exact_top_k(data, _asked(data), 3), docs)
-    return evaluation.recall_by_text(near.select("qid", "text"), evaluation.golden_texts(near.select("qid", "rank", "id"), docs).select("qid", "text"))
+    return evaluation.recall_by_text(
+        near.select("qid", "text"), evaluation.golden_texts(near.select("qid", "rank", "id"), docs).select("qid", "text")
+    )
 
 
 @query("SELECT event_type, max(value) AS peak, max(value) - arg_min(value, ts) AS delta FROM events GROUP BY event_type")
@@ -214,7 +304,9 @@ def memory_peaks(spark, sf_dir):
     return evaluate.memory(table(spark, sf_dir, "events"), "event_type", "value", "ts")
 
 
-@query("SELECT i AS id, 'This is document ' || i || ' about topic ' || (i % 10) || '.' AS head, i % 10 AS topic FROM (SELECT unnest(range(0, (SELECT count(*) FROM documents))) AS i)")
+@query(
+    "SELECT i AS id, 'This is document ' || i || ' about topic ' || (i % 10) || '.' AS head, i % 10 AS topic FROM (SELECT unnest(range(0, (SELECT count(*) FROM documents))) AS i)"
+)
 def synthetic_corpus(spark, sf_dir):
     rows = evaluation.corpus(spark, table(spark, sf_dir, "documents").count())
     return rows.select("id", F.concat(F.substring_index("text", ".", 1), F.lit(".")).alias("head"), "topic")
@@ -225,16 +317,23 @@ def synthetic_corpus(spark, sf_dir):
 _TEXTS = _HASHED + ", u AS (SELECT doc_id, \"at\", (v / n)::FLOAT::DOUBLE AS x FROM b JOIN n USING (doc_id) WHERE v <> 0)"
 
 
-@query(_TEXTS + ", q AS (SELECT \"at\", x FROM u WHERE doc_id = 0) SELECT k AS id, coalesce((SELECT -round(sum(u.x * q.x), 6) FROM u JOIN q USING (\"at\") WHERE u.doc_id = k), CASE WHEN k IN (SELECT doc_id FROM documents) THEN 0.0 ELSE 1e9 END) + 0.0 AS distance FROM (SELECT doc_id + 5 AS k FROM documents)")
+@query(
+    _TEXTS + ", q AS (SELECT \"at\", x FROM u WHERE doc_id = 0) SELECT k AS id, coalesce((SELECT -round(sum(u.x * q.x), 6) FROM u JOIN q USING (\"at\") WHERE u.doc_id = k), CASE WHEN k IN (SELECT doc_id FROM documents) THEN 0.0 ELSE 1e9 END) + 0.0 AS distance FROM (SELECT doc_id + 5 AS k FROM documents)"
+)
 def recomputed_distances(spark, sf_dir):
     """Ids moved by five: the last ones have no passage, and get the sentinel."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     q = [float(x) for x in embed.compute([passages.get(docs, 0)["text"]])[0]]
     rows = embed.recomputed_distances(docs.select((F.col("id") + 5).alias("id")), docs, q)
-    return rows.select("id", (F.when(F.col("distance") == vector.MISSING_DISTANCE, F.col("distance")).otherwise(F.round("distance", 6)) + 0.0).alias("distance"))
+    return rows.select(
+        "id",
+        (F.when(F.col("distance") == vector.MISSING_DISTANCE, F.col("distance")).otherwise(F.round("distance", 6)) + 0.0).alias("distance")
+    )
 
 
-@query("SELECT doc_id + 5 AS id, doc_id + 5 IN (SELECT doc_id FROM documents) AS is_found, CASE WHEN doc_id + 5 IN (SELECT doc_id FROM documents) THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM documents")
+@query(
+    "SELECT doc_id + 5 AS id, doc_id + 5 IN (SELECT doc_id FROM documents) AS is_found, CASE WHEN doc_id + 5 IN (SELECT doc_id FROM documents) THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM documents"
+)
 def recomputed_vectors(spark, sf_dir):
     """Vectors of ids on demand; those of ids without a passage are zeros."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -242,16 +341,22 @@ def recomputed_vectors(spark, sf_dir):
     return rows.select("id", "is_found", F.round(vector.norm("embedding"), 5).alias("length"))
 
 
-@query("SELECT label, i AS at, round(coalesce(avg(embedding[i + 1]::DOUBLE) FILTER (vec_id % 3 <> 0), 0), 6) + 0.0 AS value FROM (SELECT vec_id, label, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY label, i")
+@query(
+    "SELECT label, i AS at, round(coalesce(avg(embedding[i + 1]::DOUBLE) FILTER (vec_id % 3 <> 0), 0), 6) + 0.0 AS value FROM (SELECT vec_id, label, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY label, i"
+)
 def masked_mean_pool(spark, sf_dir):
     tokens = _vectors(spark, sf_dir).withColumn("mask", (F.col("id") % 3 != 0).cast("int"))
     return embed.mean_pool(tokens, "label", "embedding", "mask").select("label", "at", (F.round("value", 6) + 0.0).alias("value"))
 
 
-@query("SELECT * FROM (VALUES ('text-embedding-3-small', 'openai', 'cosine'), ('facebook/contriever', 'sentence-transformers', 'mips'), ('nomic-embed-text', 'ollama', 'mips')) t(model, mode, metric)")
+@query(
+    "SELECT * FROM (VALUES ('text-embedding-3-small', 'openai', 'cosine'), ('facebook/contriever', 'sentence-transformers', 'mips'), ('nomic-embed-text', 'ollama', 'mips')) t(model, mode, metric)"
+)
 def default_metrics(spark, sf_dir):
     models = [("text-embedding-3-small", "openai"), ("facebook/contriever", "sentence-transformers"), ("nomic-embed-text", "ollama")]
-    return spark.createDataFrame([(m, mode, vector.default_metric(m, mode)) for m, mode in models], "model string, mode string, metric string")
+    return spark.createDataFrame(
+        [(m, mode, vector.default_metric(m, mode)) for m, mode in models], "model string, mode string, metric string"
+    )
 
 
 # Indexes.
@@ -300,7 +405,9 @@ def index_search_filtered(spark, sf_dir):
     return _found(hits.join(names, "qid").withColumn("qid", F.col("item")))
 
 
-@query("SELECT b AS backend, count(*) AS passages, count(*) AS hits, true AS has_vectors, 'refused' AS second_build FROM benchmark, (VALUES ('disk'), ('flat'), ('graph')) t(b) GROUP BY b")
+@query(
+    "SELECT b AS backend, count(*) AS passages, count(*) AS hits, true AS has_vectors, 'refused' AS second_build FROM benchmark, (VALUES ('disk'), ('flat'), ('graph')) t(b) GROUP BY b"
+)
 def index_backends(spark, sf_dir):
     """Each backend: built, searched with every text, whose own passage comes first; a second build without force is refused."""
     out = []
@@ -330,10 +437,15 @@ def index_from_vectors(spark, sf_dir):
         unequal = "built"
     except ValueError:
         unequal = "refused"
-    return spark.createDataFrame([(m.rows, m.built_from_precomputed_embeddings, m.dimensions, unequal)], "rows long, is_precomputed boolean, dimensions long, unequal string")
+    return spark.createDataFrame(
+        [(m.rows, m.built_from_precomputed_embeddings, m.dimensions, unequal)],
+        "rows long, is_precomputed boolean, dimensions long, unequal string"
+    )
 
 
-@query("SELECT * FROM (VALUES (true, true, true), (true, false, false), (false, true, false), (false, false, false)) t(recompute, compact, pruned)")
+@query(
+    "SELECT * FROM (VALUES (true, true, true), (true, false, false), (false, true, false), (false, false, false)) t(recompute, compact, pruned)"
+)
 def index_flags(spark, sf_dir):
     """What is kept of the flags: without recomputation no index is compact."""
     out = []
@@ -358,7 +470,9 @@ def product_codes(spark, sf_dir):
     """Codes of all vectors; decoded they lie as far off as their error says, and closer than the length."""
     data = _vectors(spark, sf_dir)
     rows = pq.encode(data, pq.train(data))
-    return rows.select("id", F.size("codes").cast("long").alias("parts"), ((F.col("error") >= 0) & (F.col("error") < F.col("length"))).alias("is_bounded"))
+    return rows.select(
+        "id", F.size("codes").cast("long").alias("parts"), ((F.col("error") >= 0) & (F.col("error") < F.col("length"))).alias("is_bounded")
+    )
 
 
 # Messages and chunks.
@@ -383,14 +497,22 @@ UNION ALL SELECT conv_id, group_no, carried_turn, true FROM f WHERE carried_turn
 
 @query(_CARRY)
 def group_overlap(spark, sf_dir):
-    held = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), F.lit(0).cast("long").alias("t"), "text")
+    held = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), F.lit(0).cast("long").alias("t"), "text"
+    )
     return messages.group_messages(held, 400, -1, 1).select("conv", "group_no", "pos", "carried")
 
 
-@query("SELECT doc_id, k AS chunk_no, 'def f' || k || '():' || chr(10) || '    return \"' || source || '\"  # ' || doc_id AS chunk FROM documents, range(3) r(k)")
+@query(
+    "SELECT doc_id, k AS chunk_no, 'def f' || k || '():' || chr(10) || '    return \"' || source || '\"  # ' || doc_id AS chunk FROM documents, range(3) r(k)"
+)
 def code_chunks(spark, sf_dir):
     """Python sources of three functions, each a chunk of its own."""
-    parts = [F.concat(F.lit(f'def f{k}():\n    return "'), F.col("source"), F.lit('"  # '), F.col("doc_id").cast("string"), F.lit("\n\n\n")) for k in range(3)]
+    parts = [
+        F.concat(
+            F.lit(f'def f{k}():\n    return "'), F.col("source"), F.lit('"  # '), F.col("doc_id").cast("string"), F.lit("\n\n\n")
+        ) for k in range(3)
+    ]
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("text"), F.lit("a.py").alias("file_path"))
     return chunk.chunk_documents(docs, code_profile=(40, 0)).select("doc_id", "chunk_no", "chunk")
 
@@ -402,7 +524,9 @@ def code_chunks_java(spark, sf_dir):
     return chunk.chunk_documents(docs, code_profile=(35, 0)).select("doc_id", "chunk_no", "chunk")
 
 
-@query("SELECT size, overlap, CASE WHEN size > 0 THEN size ELSE 256 END AS used, least(greatest(0, overlap), CASE WHEN size > 0 THEN size ELSE 256 END - 1) AS carried FROM (VALUES (256, 128), (0, 10), (10, 10), (10, 99), (5, -1)) t(size, overlap)")
+@query(
+    "SELECT size, overlap, CASE WHEN size > 0 THEN size ELSE 256 END AS used, least(greatest(0, overlap), CASE WHEN size > 0 THEN size ELSE 256 END - 1) AS carried FROM (VALUES (256, 128), (0, 10), (10, 10), (10, 99), (5, -1)) t(size, overlap)"
+)
 def chunk_sizes(spark, sf_dir):
     rows = [(s, o, *chunk.checked(s, o)) for s, o in ((256, 128), (0, 10), (10, 10), (10, 99), (5, -1))]
     return spark.createDataFrame(rows, "size int, overlap int, used int, carried int")

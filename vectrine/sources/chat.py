@@ -37,7 +37,13 @@ def parsed(files: DataFrame) -> DataFrame:
     items = raw.select("contact", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("pos", "m"))
     get = lambda name, kind: F.try_variant_get("m", f"$.{name}", kind)
     text = F.coalesce(F.nullif(readable_fields(get("content", "variant")), F.lit("")), get("message", "string"), F.lit(""))
-    return items.select("contact", F.col("pos").cast("long").alias("pos"), F.coalesce(get("createTime", "long"), F.lit(0)).cast("long").alias("t"), F.coalesce(get("isSentFromSelf", "boolean"), F.lit(False)).alias("own"), text.alias("text"))
+    return items.select(
+        "contact",
+        F.col("pos").cast("long").alias("pos"),
+        F.coalesce(get("createTime", "long"), F.lit(0)).cast("long").alias("t"),
+        F.coalesce(get("isSentFromSelf", "boolean"), F.lit(False)).alias("own"),
+        text.alias("text")
+    )
 
 
 def documents(messages: DataFrame, max_length: int = 1000, window_minutes: int = 30, overlap: int = 0) -> DataFrame:

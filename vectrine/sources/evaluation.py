@@ -22,9 +22,13 @@ def golden(spark: SparkSession, path: str, k: int = 3) -> DataFrame:
     indices = F.try_variant_get("v", "$.indices", "variant")
     nested = F.try_variant_get(F.try_variant_get("v", "$.indices[0]", "variant"), "$", "array<long>")
     one = raw.where(nested.isNotNull()).select(F.posexplode(F.try_variant_get(indices, "$", "array<array<long>>")).alias("qid", "ids"))
-    lines = raw.where(nested.isNull()).select(F.try_variant_get("v", "$.qid", "long").alias("qid"), F.try_variant_get(indices, "$", "array<long>").alias("ids"))
+    lines = raw.where(nested.isNull()).select(
+        F.try_variant_get("v", "$.qid", "long").alias("qid"), F.try_variant_get(indices, "$", "array<long>").alias("ids")
+    )
     every = one.select(F.col("qid").cast("long").alias("qid"), "ids").unionByName(lines)
-    return every.where("qid is not null").select("qid", F.posexplode(F.slice("ids", 1, k)).alias("rank", "id")).select("qid", (F.col("rank") + 1).cast("long").alias("rank"), "id")
+    return every.where("qid is not null").select("qid", F.posexplode(F.slice("ids", 1, k)).alias("rank", "id")).select(
+        "qid", (F.col("rank") + 1).cast("long").alias("rank"), "id"
+    )
 
 
 def golden_texts(golden_rows: DataFrame, passages: DataFrame) -> DataFrame:
@@ -40,9 +44,16 @@ def recall_by_text(found: DataFrame, wanted: DataFrame) -> DataFrame:
     return sizes.join(hits, "qid", "left").select("qid", (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall"))
 
 
-def corpus(spark: SparkSession, rows: int, topics: int = 10, template: str = "This is document %d about topic %d.", seed: int = 42) -> DataFrame:
+def corpus(
+    spark: SparkSession, rows: int, topics: int = 10, template: str = "This is document %d about topic %d.", seed: int = 42
+) -> DataFrame:
     """(id, text, topic) of synthetic documents: a template, then words drawn by a seeded hash of id and place."""
-    words = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(97)).cast("string")))
+    words = F.transform(
+        F.sequence(F.lit(0), F.lit(11)),
+        lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(97)).cast("string"))
+    )
     topic = F.pmod("id", F.lit(topics))
-    return spark.range(rows).select("id", F.concat_ws(" ", F.format_string(template, "id", topic), F.array_join(words, " ")).alias("text"), topic.alias("topic"))
+    return spark.range(rows).select(
+        "id", F.concat_ws(" ", F.format_string(template, "id", topic), F.array_join(words, " ")).alias("text"), topic.alias("topic")
+    )
 

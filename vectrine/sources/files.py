@@ -16,9 +16,25 @@ from pyspark.sql import functions as F
 
 from vectrine.schema import Store
 
-TEXT_EXTENSIONS = tuple(".txt .md .markdown .rst .tex .csv .tsv .json .jsonl .yaml .yml .toml .ini .cfg .conf .xml .html .htm .css .scss .log .py .ipynb .r .rb .java .kt .scala .js .jsx .ts .tsx .vue .c .h .cpp .hpp .cc .cs .go .rs .swift .php .pl .lua .sh .bash .sql .docx .pptx".split())
+TEXT_EXTENSIONS = tuple(
+    ".txt .md .markdown .rst .tex .csv .tsv .json .jsonl .yaml .yml .toml .ini .cfg .conf .xml .html .htm .css .scss .log .py .ipynb .r .rb .java .kt .scala .js .jsx .ts .tsx .vue .c .h .cpp .hpp .cc .cs .go .rs .swift .php .pl .lua .sh .bash .sql .docx .pptx".split()
+)
 CODE_EXTENSIONS = tuple(".py .java .js .jsx .ts .tsx .cs .c .h .cpp .hpp .go .rs .rb .php .swift .kt .scala .sh .sql .r".split())
-EXCLUDED_FOLDERS = (".git", "__pycache__", "node_modules", "venv", ".venv", "env", "build", "dist", "target", ".idea", ".vscode", ".mypy_cache", ".pytest_cache")
+EXCLUDED_FOLDERS = (
+    ".git",
+    "__pycache__",
+    "node_modules",
+    "venv",
+    ".venv",
+    "env",
+    "build",
+    "dist",
+    "target",
+    ".idea",
+    ".vscode",
+    ".mypy_cache",
+    ".pytest_cache"
+)
 MAX_CODE_BYTES = 1_000_000
 SCHEMA = "file_path string, file_name string, extension string, size long, text string"
 
@@ -89,7 +105,14 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(found, "path string, size long, relative string")
 
 
-def read(spark: SparkSession, paths: list[str], extensions: list[str] | None = None, include_hidden: bool = False, max_bytes: int | None = None, excluded: tuple[str, ...] = ()) -> DataFrame:
+def read(
+    spark: SparkSession,
+    paths: list[str],
+    extensions: list[str] | None = None,
+    include_hidden: bool = False,
+    max_bytes: int | None = None,
+    excluded: tuple[str, ...] = ()
+) -> DataFrame:
     """Documents of files and of folders, searched through.  What doesn't exist is left out with a warning.
 
     Folders are listed first and names filtered; the contents of the files that are left are all that is read.  Undecodable bytes become
@@ -109,7 +132,9 @@ def read(spark: SparkSession, paths: list[str], extensions: list[str] | None = N
             if not include_hidden:
                 rows = rows.where(~is_hidden(F.col("relative")))
             rules, skipped = ignore_rules(local), submodules(local)
-            ignored = F.pandas_udf(lambda s: s.map(lambda r: is_ignored(r, rules) or any(r == m or r.startswith(m + "/") for m in skipped)), "boolean")
+            ignored = F.pandas_udf(
+                lambda s: s.map(lambda r: is_ignored(r, rules) or any(r == m or r.startswith(m + "/") for m in skipped)), "boolean"
+            )
             rows = rows.where(~ignored("relative"))
             if excluded:
                 rows = rows.where(~in_folder(F.col("relative"), excluded))
@@ -135,7 +160,13 @@ def _escaped(path: str) -> str:
     return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
 
 
-def read_code(spark: SparkSession, root: str, extensions: tuple[str, ...] = CODE_EXTENSIONS, excluded: tuple[str, ...] = EXCLUDED_FOLDERS, max_bytes: int = MAX_CODE_BYTES) -> DataFrame:
+def read_code(
+    spark: SparkSession,
+    root: str,
+    extensions: tuple[str, ...] = CODE_EXTENSIONS,
+    excluded: tuple[str, ...] = EXCLUDED_FOLDERS,
+    max_bytes: int = MAX_CODE_BYTES
+) -> DataFrame:
     """Source files of a repository, without excluded folders and files over ``max_bytes``."""
     return read(spark, [root], list(extensions), max_bytes=max_bytes, excluded=excluded)
 
@@ -182,5 +213,10 @@ def pdf_text(content: bytes) -> str | None:
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [pdf_text(c) if e == ".pdf" else (c or b"").decode("utf-8", "replace") for e, c in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(texts, pa.string())], ["file_path", "file_name", "extension", "size", "text"])
+        texts = [
+            pdf_text(c) if e == ".pdf" else (c or b"").decode("utf-8", "replace") for e,
+            c in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:4], pa.array(texts, pa.string())], ["file_path", "file_name", "extension", "size", "text"]
+        )

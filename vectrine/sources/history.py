@@ -39,7 +39,9 @@ class SqliteReader(DataSourceReader):
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
         with sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True) as db:
-            yield from db.execute(f"SELECT {', '.join(self.columns)} FROM {self.table} WHERE rowid BETWEEN ? AND ?", (partition.low, partition.high))
+            yield from db.execute(
+                f"SELECT {', '.join(self.columns)} FROM {self.table} WHERE rowid BETWEEN ? AND ?", (partition.low, partition.high)
+            )
 
 
 class SqliteSource(DataSource):
@@ -79,7 +81,9 @@ def profiles(base: str | Path | None = None) -> list[Path]:
     """Folders of browser profiles that hold a history."""
     if base is None:
         home = Path.home()
-        base = {"darwin": home / "Library/Application Support/Google/Chrome", "win32": home / "AppData/Local/Google/Chrome/User Data"}.get(sys.platform, home / ".config/google-chrome")
+        base = {"darwin": home / "Library/Application Support/Google/Chrome", "win32": home / "AppData/Local/Google/Chrome/User Data"}.get(
+            sys.platform, home / ".config/google-chrome"
+        )
     base = Path(base)
     return [p for p in [base / "Default", *sorted(base.glob("Profile *"))] if (p / "History").is_file()] if base.is_dir() else []
 

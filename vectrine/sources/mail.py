@@ -16,7 +16,9 @@ _START = re.compile(rb"^From [^\n]*\n", re.M)
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.string()) for i in range(6)], ["file", "sender", "recipient", "subject", "date", "body"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[i] for r in found], pa.string()) for i in range(6)], ["file", "sender", "recipient", "subject", "date", "body"]
+    )
 
 
 def _message(name: str, raw: bytes, include_html: bool) -> tuple:
@@ -51,15 +53,23 @@ def read(spark: SparkSession, path: str, kind: str = "emlx", include_html: bool
 
     A mailbox file is read whole by one task, so it has to be under 2 GB; split larger ones first.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.emlx" if kind == "emlx" else "*").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+        "pathGlobFilter", "*.emlx" if kind == "emlx" else "*"
+    ).load(path)
     rows = parsed(files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content"), kind, include_html)
     return rows.orderBy("file", "date", "subject", "body").limit(max_count) if max_count is not None and max_count >= 0 else rows
 
 
 def documents(messages: DataFrame) -> DataFrame:
-    return messages.select(mail_document(F.col("file"), F.col("sender"), F.col("recipient"), F.col("subject"), F.col("date"), F.col("body")).alias("text"), "file", "subject")
+    return messages.select(
+        mail_document(F.col("file"), F.col("sender"), F.col("recipient"), F.col("subject"), F.col("date"), F.col("body")).alias("text"),
+        "file",
+        "subject"
+    )
 
 
 def mailbox_documents(messages: DataFrame) -> DataFrame:
     """Messages of a mailbox, whose file says nothing about one of them."""
-    return messages.select(mailbox_document(F.col("sender"), F.col("recipient"), F.col("subject"), F.col("date"), F.col("body")).alias("text"), "subject")
+    return messages.select(
+        mailbox_document(F.col("sender"), F.col("recipient"), F.col("subject"), F.col("date"), F.col("body")).alias("text"), "subject"
+    )

@@ -38,7 +38,13 @@ def from_archives(archives: DataFrame) -> DataFrame:
                 for low in range(0, len(ids), 4096):
                     rows = matrix[low : low + 4096].astype(np.float32)
                     offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * matrix.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in ids[low : low + 4096].tolist()]), pa.ListArray.from_arrays(offsets, pa.array(rows.reshape(-1)))], ["id", "embedding"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([str(i) for i in ids[low : low + 4096].tolist()]),
+                            pa.ListArray.from_arrays(offsets, pa.array(rows.reshape(-1)))
+                        ],
+                        ["id", "embedding"]
+                    )
 
     return archives.select("content").mapInArrow(run, "id string, embedding array<float>")
 
@@ -58,4 +64,8 @@ def to_archives(vectors: DataFrame, per_archive: int = 4096) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(id, embedding) of the .npz archives below ``path``; vectors of several dimensions are refused by ``vector.dimension``."""
-    return from_archives(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(path).select(F.col("content")))
+    return from_archives(
+        spark.read.format("binaryFile").option(
+            "recursiveFileLookup", True
+        ).option("pathGlobFilter", "*.npz").load(path).select(F.col("content"))
+    )

@@ -13,7 +13,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from vectrine.operators import chunk, embed
 
 
-def append_passages(stream: DataFrame, path: str, checkpoint: str, size: int = 256, overlap: int = 128, model: str = "64", mode: str = "hash") -> StreamingQuery:
+def append_passages(
+    stream: DataFrame, path: str, checkpoint: str, size: int = 256, overlap: int = 128, model: str = "64", mode: str = "hash"
+) -> StreamingQuery:
     """Each batch of (doc_id, text) becomes word windows with vectors, written under the batch's number; a repeated batch replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
@@ -44,4 +46,6 @@ def length_groups(stream: DataFrame, max_length: int = 1000) -> DataFrame:
         state.update((number, length))
         yield pd.DataFrame(rows, columns=["conv", "pos", "group_no"])
 
-    return stream.groupBy("conv").applyInPandasWithState(step, "conv long, pos long, group_no long", "number long, length long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("conv").applyInPandasWithState(
+        step, "conv long, pos long, group_no long", "number long, length long", "append", GroupStateTimeout.NoTimeout
+    )
