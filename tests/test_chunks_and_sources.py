@@ -227,3 +227,19 @@ def test_streams(spark, sf, tmp_path):
     )
     want = {(r["conv"], r["pos"], r["group_no"]) for r in messages.group_messages(batch, 400, -1).collect()}
     assert {tuple(r) for r in spark.table("lengths").collect()} == want
+
+
+def test_sessions_of_a_hot_key(spark):
+    """One key with a third of all events, one that is null; more ranges than one for each."""
+    import random
+
+    draw = random.Random(5)
+    rows = [(i, draw.choice(["hot", "hot", "a", "b", None]), draw.randrange(200_000)) for i in range(900)]
+    events = spark.createDataFrame(rows, "i long, k string, t long").select("i", "k", F.timestamp_seconds("t").alias("ts"))
+    got = {r["i"]: r["session_no"] for r in messages.time_sessions(events, "k", "ts", 5, 7).collect()}
+    for key in ("hot", "a", "b", None):
+        last, number, want = None, 0, {}
+        for t, i in sorted((t, i) for i, k, t in rows if k == key):
+            number += last is not None and t - last > 300
+            want[i], last = number, t
+        assert {i: got[i] for i in want} == want

@@ -339,9 +339,23 @@ def routes(graph: DataFrame, queries: DataFrame, probes: int, metric_name: str,
 
 
 def search(
-    graph: DataFrame, data: DataFrame | None, queries: DataFrame, k: int = 5, metric_name: str = "mips", complexity: int = 64, beam_width: int = 1, recompute: tuple[str, str] | None = None, is_pruned: bool = False,
-    prune_ratio: float = 0.0, strategy: str = "global", stop_early: bool = True, query_rows: int | None = None, rows: int | None = None, probes: int | None = None, books: list[np.ndarray] | None = None,
-) -> DataFrame:
+    graph: DataFrame,
+    data: DataFrame | None,
+    queries: DataFrame,
+    k: int = 5,
+    metric_name: str = "mips",
+    complexity: int = 64,
+    beam_width: int = 1,
+    recompute: tuple[str, str] | None = None,
+    is_pruned: bool = False,
+    prune_ratio: float = 0.0,
+    strategy: str = "global",
+    stop_early: bool = True,
+    query_rows: int | None = None,
+    rows: int | None = None,
+    probes: int | None = None,
+    books: list[np.ndarray] | None = None,
+) -> DataFrame:
     """(qid, id, score, visited, rank): visited is how many nodes of the shard were scored for the query.
 
     data: (id, embedding), or (id, text) when vectors are recomputed with ``recompute`` = (mode, model); None if ``graph`` is a stored layout that holds

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectrine.storage import written
+
 GROUPED = "conv long, group_no long, pos long, t long, text string, carried boolean"
 
 
@@ -62,13 +64,28 @@ def summarise(grouped: DataFrame) -> DataFrame:
     return out.select("conv", "group_no", "messages", "total_length", F.col("a.t").alias("start_time"), F.col("b.t").alias("end_time"))
 
 
-def time_sessions(events: DataFrame, key: str, time: str, gap_minutes: int = 30) -> DataFrame:
-    """``events`` with session_no: a new session after a gap of more than ``gap_minutes``."""
-    order = Window.partitionBy(key).orderBy(time)
-    at = F.unix_micros(F.col(time).cast("timestamp"))
-    gap = at - F.lag(at).over(order) > gap_minutes * 60_000_000
-    opened = events.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("long"))
-    return opened.withColumn("session_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def time_sessions(events: DataFrame, key: str, time: str, gap_minutes: int = 30, tasks: int = 64) -> DataFrame:
+    """``events`` with session_no: a new session after a gap of more than ``gap_minutes``; a null key is a key of its own.
+
+    Events are split into ranges of key and time and written, so that a key of any size is spread over tasks; each range of a key
+    adds one row, from which follows how many sessions were opened before it.
+    """
+    gap = gap_minutes * 60_000_000
+    moment = F.unix_micros(F.col(time).cast("timestamp")).alias("_at")
+    ranged = events.select(F.struct("*").alias("row"), F.col(key).alias("_key"), moment).repartitionByRange(tasks, "_key", "_at")
+    placed = written(ranged.withColumn("_r", F.spark_partition_id()), "sessions")
+    order = Window.partitionBy("_r", "_key").orderBy("_at")
+    opened = F.coalesce(F.col("_at") - F.lag("_at").over(order) > gap, F.lit(False)).cast("long")
+    local = placed.withColumn("_new", opened)
+    parts = local.groupBy("_r", "_key").agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.sum("_new").alias("n"))
+    # at most ``tasks`` rows of each key
+    of_key = Window.partitionBy("_key").orderBy("_r")
+    parts = parts.withColumn("opens", F.coalesce(F.col("first") - F.lag("last").over(of_key) > gap, F.lit(False)).cast("long"))
+    upto = F.sum(F.col("n") + F.col("opens")).over(of_key.rowsBetween(Window.unboundedPreceding, 0))
+    before = parts.select(F.col("_r").alias("r"), F.col("_key").alias("k"), (upto - F.col("n")).alias("before"))
+    joined = local.join(before, (F.col("_r") == F.col("r")) & F.col("_key").eqNullSafe(F.col("k")))
+    number = F.col("before") + F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return joined.select("row.*", number.alias("session_no"))
 
 
 def readable(content: Column) -> Column:
