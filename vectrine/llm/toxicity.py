@@ -58,8 +58,19 @@ PATTERNS = {
     "es threat": r"\b(?:te|los|las|les) (?:voy|vamos) a (?:matar|destruir|golpear)|\bcállate\b|\bvete a la\b|\bmuérete\b",
 }
 _COMPILED = {name: re.compile(pattern) for name, pattern in PATTERNS.items()}
-#: Words of which a text that a pattern can fit holds one.
-_TRIGGERS = frozenset(re.findall(r"[^\W\d_]{3,}", re.sub(r"\\.", " ", " ".join(PATTERNS.values())))) | {"go", "te", "ta", "va"}
+#: How a word begins that stands in every text that a pattern fits; a pattern is tried on no other text.
+TRIGGERS = {
+    "en attack": "idiot moron scum trash loser clown stupid pathetic disgusting worthless garbage vermin",
+    "en threat": "kill hurt destroy find should must please go",
+    "en dismissal": "shut lost hell screw hate",
+    "de attack": "idiot trottel depp versager dummkopf abschaum dreck arschloch",
+    "de threat": "bringe mache werde klappe maul fresse",
+    "fr attack": "idiot imbécile crétin abruti connard ordure déchet minable",
+    "fr threat": "vais allons tuer gueule mourir crever faire",
+    "es attack": "idiota imbécil estúpid cretino basura escoria payaso inútil",
+    "es threat": "matar destruir golpear cállate vete muérete",
+}
+_BEGINNINGS = {name: tuple(words.split()) for name, words in TRIGGERS.items()}
 _WORD = re.compile(r"[^\W\d_]+")
 LEARNED = tuple(f"{kind} words, part {k}" for kind in ("pure", "mixed") for k in range(WORD_PARTS)) + tuple(
     f"stems of {n}, part {k}" for n in STEM_LENGTHS for k in range(STEM_PARTS)
@@ -97,38 +108,49 @@ class Lexicons:
             ]
         return tuple(found)
 
-    def evidence(self, text: str, known: dict[str, tuple[int, ...]] | None = None) -> list[float]:
+    def evidence(self, text: str, known: _Known | None = None) -> list[float]:
         lower = text.lower()
         words = _WORD.findall(lower)
         kinds = set(words)
         known = _Known(self) if known is None else known
         out = [0.0] * EVIDENCE
-        marked = {w for w in kinds if known[w]}
-        for w in marked:
-            for k in known[w]:
-                out[k] += 1
-        if not kinds.isdisjoint(_TRIGGERS):
-            for name, pattern in _COMPILED.items():
-                if pattern.search(lower):
-                    out[_AT[name]] = 1.0
+        marked, tried = set(), set()
+        # few words begin as a word that counts does
+        starts = known.starts
+        for w in [w for w in kinds if w[:3] in starts]:
+            found = known[w]
+            if found:
+                voters, patterns = found
+                tried.update(patterns)
+                if voters:
+                    marked.add(w)
+                    for k in voters:
+                        out[k] += 1
+        for name in tried:
+            if _COMPILED[name].search(lower):
+                out[_AT[name]] = 1.0
         hits = sum(map(marked.__contains__, words)) if marked else 0
         out[COUNTED:] = [hits, hits / max(1, len(words)), len(marked)]
         return out
 
 
 class _Known(dict):
-    """Voters of words, kept while there are at most ``LIMIT``."""
+    """Of words: their voters, and the patterns that they are a reason to try; None of most.  Kept while there are at most ``LIMIT``."""
 
     LIMIT = 300_000
 
     def __init__(self, lexicons: Lexicons):
         super().__init__()
         self.lexicons = lexicons
+        counting = [*_FIXED.values(), lexicons.pure, lexicons.mixed, *lexicons.stems.values(), *_BEGINNINGS.values()]
+        self.starts = frozenset(word[:3] for words in counting for word in words)
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> tuple[tuple[int, ...], tuple[str, ...]] | None:
         if len(self) >= self.LIMIT:
             self.clear()
-        self[word] = found = self.lexicons.voters(word)
+        voters = self.lexicons.voters(word)
+        patterns = tuple(name for name, beginnings in _BEGINNINGS.items() if word.startswith(beginnings))
+        self[word] = found = (voters, patterns) if voters or patterns else None
         return found
 
 
