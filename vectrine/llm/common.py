@@ -44,22 +44,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def running(
-    rows: DataFrame, order: list[Column], sums: dict[str, Column], keep: list[str], by: list[str] | None = None, tasks: int = 64
+    rows: DataFrame, order: list[Column], sums: dict[str, Column], keep: list[str], by: list[str] | None = None
 ) -> DataFrame:
     """``rows`` with running totals (own row included) of ``sums`` in ``order``, for each value of ``by``; no task sees all rows.
 
-    Rows are split into ranges of ``by`` and ``order``, written, and each range's totals are carried on to the next ones.  Rows equal in both can be
+    Rows are split into ranges of ``by`` and ``order``, as many as the session's shuffle partitions (fewer if they are small), written, and each
+    range's totals are carried on to the next ones.  Rows equal in both can be
     split between ranges only if ``order`` ends with something that tells them apart.
     """
     by = by or []
     ranged = materialise(
-        rows.repartitionByRange(tasks, *by, *order).select(
+        rows.repartitionByRange(*by, *order).select(
             *keep, *(v.alias(k) for k, v in sums.items()), F.spark_partition_id().alias("_range")
         ),
         "ranges"
     )
     totals = ranged.groupBy("_range", *by).agg(*(F.sum(k).alias(k) for k in sums))
-    # at most ``tasks`` rows for each value of ``by``
+    # at most one row of each range for each value of ``by``
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select("_range", *by, *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_{k}") for k in sums))
     within = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
