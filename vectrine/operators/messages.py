@@ -64,7 +64,7 @@ def summarise(grouped: DataFrame) -> DataFrame:
     return out.select("conv", "group_no", "messages", "total_length", F.col("a.t").alias("start_time"), F.col("b.t").alias("end_time"))
 
 
-def time_sessions(events: DataFrame, key: str, time: str, gap_minutes: int = 30, tasks: int = 64) -> DataFrame:
+def time_sessions(events: DataFrame, key: str, time: str, gap_minutes: int = 30, tasks: int | None = None) -> DataFrame:
     """``events`` with session_no: a new session after a gap of more than ``gap_minutes``; a null key is a key of its own.
 
     Events are split into ranges of key and time and written, so that a key of any size is spread over tasks; each range of a key
@@ -72,13 +72,13 @@ def time_sessions(events: DataFrame, key: str, time: str, gap_minutes: int = 30,
     """
     gap = gap_minutes * 60_000_000
     moment = F.unix_micros(F.col(time).cast("timestamp")).alias("_at")
-    ranged = events.select(F.struct("*").alias("row"), F.col(key).alias("_key"), moment).repartitionByRange(tasks, "_key", "_at")
+    ranged = events.select(F.struct("*").alias("row"), F.col(key).alias("_key"), moment).repartitionByRange(*([] if tasks is None else [tasks]), "_key", "_at")
     placed = written(ranged.withColumn("_r", F.spark_partition_id()), "sessions")
     order = Window.partitionBy("_r", "_key").orderBy("_at")
     opened = F.coalesce(F.col("_at") - F.lag("_at").over(order) > gap, F.lit(False)).cast("long")
     local = placed.withColumn("_new", opened)
     parts = local.groupBy("_r", "_key").agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.sum("_new").alias("n"))
-    # at most ``tasks`` rows of each key
+    # at most one row of each range for each key
     of_key = Window.partitionBy("_key").orderBy("_r")
     parts = parts.withColumn("opens", F.coalesce(F.col("first") - F.lag("last").over(of_key) > gap, F.lit(False)).cast("long"))
     upto = F.sum(F.col("n") + F.col("opens")).over(of_key.rowsBetween(Window.unboundedPreceding, 0))

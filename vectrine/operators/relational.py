@@ -17,12 +17,13 @@ def newest(rows: DataFrame, time: str, limit: int, tie: str) -> DataFrame:
     return rows.orderBy(F.desc(time), tie).limit(limit)
 
 
-def prefix_sum(rows: DataFrame, order: str, value: str, tasks: int = 64) -> DataFrame:
+def prefix_sum(rows: DataFrame, order: str, value: str) -> DataFrame:
     """``rows`` with ``upto``, the sum of ``value`` before each row in ascending ``order``.
 
-    Rows are split into ranges of the order, whatever its values are, and written; the ranges' sums meet in one task, ``tasks`` rows at most.
+    Rows are split into ranges of the order, whatever its values are, and written; the ranges' sums meet in one task, a row for each
+    of the session's shuffle partitions at most.
     """
-    ranged = written(rows.repartitionByRange(tasks, order).withColumn("_r", F.spark_partition_id()), "ranges")
+    ranged = written(rows.repartitionByRange(order).withColumn("_r", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_r").agg(F.sum(value).alias("_v")).select("_r", F.coalesce(F.sum("_v").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
