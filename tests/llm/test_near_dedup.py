@@ -92,6 +92,28 @@ def test_several_texts_under_an_id_and_a_hot_leader(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_many_texts_under_one_id(spark, monkeypatch):
+    """A third of all rows under one id, with texts of their own, repeated rows and a near copy under other ids: no text meets all texts of that id."""
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(5, words(i)) for i in range(400)] + [(5, words(0))] * 50
+    rows += [(1000 + i, words(i) + f" tail{i}") for i in range(0, 400, 2)] + [(2000 + i, words(1000 + i)) for i in range(300)] + [(3, words(1001) + " end"), (None, words(1))]
+    met = []
+    whole = op._verify
+
+    def counted(pairs, docs):
+        ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
+        met.append((docs.join(ids, "doc_id").count(), ids.count()))
+        return whole(pairs, docs)
+
+    monkeypatch.setattr(op, "_verify", counted)
+    found = op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(found) == len(rows)
+    want = {i: 5 for i in (5, *range(1000, 1400, 2))} | {2000 + i: 2000 + i for i in range(300)} | {3: 3, 2001: 3, None: None}
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in found} == {(i, c, i == c) for i, c in want.items()}
+    assert {r["confirmed_links"] for r in found if r["doc_id"] == 5} == {200}
+    assert met and all(texts == ids for texts, ids in met)
+
+
 def test_odd_rows(odd, none):
     found = op.near_duplicates(odd).collect()
     assert len(found) == odd.count()

@@ -76,7 +76,7 @@ def signature(elements: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(symbols << shifts, axis=1).view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, set_hi long, set_lo long, sig array<long>"
+SKETCH = "node long, n_shingles long, set_hi long, set_lo long, sig array<long>, doc_id long"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +95,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append((None, None))
                 sigs.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "set_hi", "set_lo", "sig"],
+            [batch.column(0), pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sigs, pa.list_(pa.int64())), batch.column(2)],
+            ["node", "n_shingles", "set_hi", "set_lo", "sig", "doc_id"],
         )
 
 
@@ -196,21 +196,33 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100)) ->
 
     Null or empty text, or one of white space: n_shingles 0, linked with nothing.  Null doc_id: never linked;
     component_id is null and kept is true.  Repeated rows, and equal sets under several ids, form one class.  Rows that share an
-    id are one document, linked by any of its texts.  An empty table gives an empty result.  Other columns of ``docs`` are ignored.
+    id are one document, linked by any of its texts; work is linear in its rows.  An empty table gives an empty result.  Other columns of ``docs`` are ignored.
     """
     docs = docs.select("doc_id", "text")
-    sketch = materialise(docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(_sketch, SKETCH), "sketch")
+    # Nodes are ids while these are unique, else numbered rows: a text is found by its node, however many texts an id has.
+    shared = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    node = F.monotonically_increasing_id() if shared else F.col("doc_id")
+    docs = docs.select(node.alias("node"), "text", "doc_id")
+    if shared:
+        docs = materialise(docs, "numbered")
+    sketch = materialise(docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(_sketch, SKETCH), "sketch")
+    docs = docs.where("doc_id is not null").select(F.col("node").alias("doc_id"), "text")
     held = sketch.where("doc_id is not null and n_shingles > 0")
     classes = materialise(
         held.groupBy("set_hi", "set_lo").agg(
-            F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
+            F.min(F.struct("doc_id", "node"))["node"].alias("id"), F.min("node").alias("first"), F.max("node").alias("last"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
         ),
         "classes"
     )
-    several = classes.where("id != last").select("set_hi", "set_lo", "id")
-    copies = salted_lookup(held.select("set_hi", "set_lo", "doc_id"), several, ["set_hi", "set_lo"]).where("doc_id != id").select(
-        F.col("doc_id").alias("a"), F.col("id").alias("b")
+    several = classes.where("first != last").select("set_hi", "set_lo", "id")
+    copies = salted_lookup(held.select("set_hi", "set_lo", "node"), several, ["set_hi", "set_lo"]).where("node != id").select(
+        F.col("node").alias("a"), F.col("id").alias("b")
     ).distinct()
+    if shared:
+        # the rows of an id are one document
+        least = held.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b != last").drop("last")
+        same = salted_lookup(held.select("doc_id", F.col("node").alias("a")), least, ["doc_id"]).where("a != b").select("a", "b")
+        copies = copies.unionByName(same)
 
     keys = classes.select("id", F.explode(_keys("sig")).alias("key"))
     buckets = keys.groupBy("key").agg(
@@ -291,6 +303,16 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100)) ->
     more = second.where(is_link).select("a", "b")
     if not more.isEmpty():
         label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    if shared:
+        ids = held.select(F.col("node").alias("id"), "doc_id")
+        # a component's smallest node, which has no label, may be a row of any of its ids
+        nodes = label.unionByName(label.select(F.col("component").alias("id"), "component").distinct())
+        placed = materialise(nodes.join(ids, "id").select("doc_id", "component").distinct(), "placed")
+        least = placed.groupBy("component").agg(F.min("doc_id").alias("least"))
+        label = salted_lookup(placed, least, ["component"]).select(F.col("doc_id").alias("id"), F.col("least").alias("component"))
+        for end in ("a", "b"):
+            every = salted_lookup(every, ids.select(F.col("id").alias(end), F.col("doc_id").alias("_id")), [end]).drop(end).withColumnRenamed("_id", end)
+        every = every.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     degree = every.select(F.col("a").alias("id")).unionByName(every.select(F.col("b").alias("id"))).groupBy("id").agg(
         F.count(F.lit(1)).alias("confirmed_links")
     )
