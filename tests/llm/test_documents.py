@@ -308,6 +308,33 @@ def test_classifiers_on_odd_rows(odd, none, labels, module):
     assert module.rate(none, model, F.lit(True)).count() == 0
 
 
+def test_quality_learns_from_all_pairs_of_all_rows(spark):
+    """More labelled rows than the former sample of 6,000: weights, threshold and scale follow all of them, as in a plain fit on all pairs."""
+    import numpy as np
+
+    draw = random.Random(4)
+    line = lambda bad: " ".join(draw.choice(["plain", "words", "stand", "here,", "more.", "##" if bad else "some"]) for _ in range(draw.randrange(4, 30)))
+    some = [(line(i % 4 == 0 or draw.random() < 0.2), int(i % 4 != 0)) for i in range(200)]
+    rows = [(i, some[0 if i < 6900 else i % 200]) for i in range(7000)]
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in rows], "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in rows], "doc_id long, quality int")
+    model = quality_model.train(docs, labels, lambda i: i.isNotNull())
+
+    x, y = np.array([quality_model.features(text.encode()) for _, (text, _) in rows]), np.array([y for _, (_, y) in rows])
+    assert np.allclose(model.centre, x.mean(axis=0), atol=1e-6) and np.allclose(model.spread, np.maximum(x.std(axis=0), 1e-3), atol=1e-5)
+    kinds, counts = np.unique(np.c_[model.scaled(x), y], axis=0, return_counts=True)
+    z, good, bad = kinds[:, :-1], kinds[:, -1] == 1, kinds[:, -1] == 0
+    difference = (z[good][:, None] - z[bad][None]).reshape(-1, z.shape[1])
+    share = (counts[good][:, None] * counts[bad][None]).ravel() / counts[good].sum() / counts[bad].sum()
+    wrong = share / (1 + np.exp(np.clip(difference @ model.weights, -30, 30)))
+    # at the least loss over all pairs the gradient is nothing
+    assert np.abs(model.weights).max() > 0.1 and np.abs(1e-3 * model.weights - wrong @ difference).max() < 2e-4
+    raw = model.raw(x)
+    assert abs(model.scale - raw.std()) < 1e-2 * raw.std()
+    right = lambda c: (raw[y == 1] >= c).mean() * 0.7 + (raw[y == 0] < c).mean() * 0.3
+    assert right(model.threshold) >= max(map(right, np.unique(raw))) - 0.02
+
+
 def test_label_model_finds_accuracies():
     import numpy as np
 

@@ -16,15 +16,20 @@ def bounded(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return rows.orderBy(drawn, key).limit(limit)
 
 
+def agreed(labels: DataFrame, target: str, learnable) -> DataFrame:
+    """(doc_id, y) of the learnable ids whose labels agree; null labels and null ids are left out."""
+    known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & learnable(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min(target).alias("y"), F.max(target).alias("most")).where("y = most")
+    return known.select("doc_id", F.col("y").cast("int").alias("y"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, target: str, learnable, limit: int) -> DataFrame:
     """(text, y) of at most ``limit`` learnable labelled documents.
 
     Ids whose labels disagree, null labels and null ids are left out.  The sample of ids is what is broadcast; ``limit`` bounds it.  Of the
     rows under one id, the text with the smallest hash counts, so the rows are as many as the ids however often one occurs.
     """
-    known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & learnable(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.min(target).alias("y"), F.max(target).alias("most")).where("y = most").select("doc_id", "y")
-    ids = F.broadcast(bounded(known, "doc_id", limit))
+    ids = F.broadcast(bounded(agreed(labels, target, learnable), "doc_id", limit))
     found = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
     one = F.min(F.struct(F.xxhash64("text").alias("drawn"), "text"))
     return found.groupBy("doc_id", "y").agg(one.alias("first")).select("first.text", "y")
