@@ -1,6 +1,7 @@
 import warnings
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +245,55 @@ def test_memory_budgets():
     assert pq.memory_budget(0, 1, 1) == (0.1, 2.0)
     assert pq.memory_budget(50 * 2**30, 10, 100) == (5.0, 5.0) and pq.memory_budget(0, 90, 100) == (0.1, 45.0)
     assert pq.code_parts(64, None, 10) == 16 and pq.code_parts(64, 1.0, 2**27) == 8 and pq.code_parts(64, 0.1, 10) == 64
+
+
+@pytest.mark.parametrize("name", ["graph_search", "graph_search_recompute"])
+def test_a_search_reads_a_written_graph(spark, sf, name):
+    """It needs the graph more than once: one that isn't written is built as often, and within the time of a broadcast."""
+    from vectrine.plans import catalog
+
+    plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan
+
+
+@pytest.mark.parametrize("name,wide,early", [("mips", 24, True), ("l2", 24, True), ("cosine", 24, True), ("mips", 4096, False)])
+def test_many_queries_walk_at_once(monkeypatch, name, wide, early):
+    """Hits and visited nodes of a slice of queries are those of one beam for each; the shard holds copies, and rows were filtered away."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(400, 8)).astype(np.float32)
+    x[300:] = x[draw.integers(0, 10, 100)]
+    kind = pa.list_(pa.float32())
+    rows = pa.table({"id": np.arange(400) * 3, "embedding": pa.array(list(x), kind), "shard": pa.array([0] * 400, pa.int32())})
+    built = graph._build(name, 8, 40, 1.2, rows)
+    place = (built["node"].to_numpy() // 3).tolist()
+    shard = built.append_column("embedding", pa.array([x[i] for i in place], kind)).take(draw.permutation(400)[:380])
+    q = draw.normal(size=(300, 8)).astype(np.float32)
+    q[:100] = x[300:]
+    asked = pa.table({"qid": np.arange(300), "embedding": pa.array(list(q), kind)})
+
+    def no_beam(*args):
+        raise AssertionError("one query at a time")
+
+    with monkeypatch.context() as m:
+        m.setattr(graph, "beam", no_beam)
+        found = graph._search(name, 5, wide, 1, None, 0.0, "global", None, early, shard, asked)
+    monkeypatch.setattr(graph._Walk, "search", lambda self, part, *_: [None] * len(part))
+    assert found.equals(graph._search(name, 5, wide, 1, None, 0.0, "global", None, early, shard, asked))
+
+
+def test_recall_is_tuned_on_vectors_without_near_shards(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROWS_PER_SHARD", 64)
+    x = np.random.default_rng(5).normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    data = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, embedding array<float>").cache()
+    asked = data.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding")
+    golden = knn.exact_top_k(data, asked, 10).select("qid", "id").cache()
+    built = graph.build(data, "mips", 16, 64, rows=3000).cache()
+    plain = graph.search(built, data, asked, 10, rows=3000, complexity=128)
+    assert recall(plain, golden) < 0.95
+    assert recall(graph.search(built, data, asked, 10, rows=3000, **graph.tuned(built, data, asked, golden, 10, 3000)), golden) >= 0.95
+    books = pq.train(data, 4, 16)
+    codes = pq.encode(data, books).cache()
+    assert recall(pq.shortlist(codes, books, asked, 64, "mips", 3000), golden) < 0.95
+    wide = pq.enough(codes, books, asked, golden, 64, "mips", 3000)
+    assert recall(pq.shortlist(codes, books, asked, wide, "mips", 3000), golden) >= 0.95
