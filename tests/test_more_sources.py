@@ -318,3 +318,18 @@ def test_mean_pool_of_a_group_without_marks(spark):
     got = {(r["g"], r["at"]): r["value"] for r in embed.mean_pool(rows, "g", "v", "m").collect()}
     assert got == {("a", 0): 0.0, ("a", 1): 0.0, ("b", 0): 1.0, ("b", 1): 2.0}
     assert embed.mean_pool(rows, "g", "v").where("g = 'b' and at = 1").first()["value"] == 4.0
+
+
+def test_local_files_are_read_without_a_list_of_paths(spark, tmp_path, monkeypatch):
+    """Spark looks up each path of a list, one of each file; names with signs of patterns, links and empty files are read as they are."""
+    from vectrine.sources import files
+
+    (tmp_path / "a").mkdir()
+    for name, text in (("a/x[1].txt", "one"), ("b.txt", ""), (".c.txt", "hidden"), ("d.bin", "other")):
+        (tmp_path / name).write_text(text)
+    (tmp_path / "e.txt").symlink_to(tmp_path / "a/x[1].txt")
+    monkeypatch.setattr(files, "_escaped", None)
+    found = {r["file_name"]: (r["file_path"], r["size"], r["text"]) for r in files.read(spark, [str(tmp_path)], [".txt"]).collect()}
+    assert found == {
+        "x[1].txt": (f"{tmp_path}/a/x[1].txt", 3, "one"), "b.txt": (f"{tmp_path}/b.txt", 0, ""), "e.txt": (f"{tmp_path}/e.txt", 3, "one")
+    }
